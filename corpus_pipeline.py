@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, simhash
+from tallyspark.llm import bpe, secrets, simhash, tiling, toxicity
 from tallyspark.llm.common import materialize, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the limit stay; the network is fitted on the documents at hand and their labels."""
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, net).where(F.col("toxicity") < toxicity.LIMIT).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest doc_id."""
     found = simhash.near_duplicates(docs, radius=3, width=3)
@@ -16,12 +23,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover a benchmark item go."""
+    found = tiling.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(materialize(found), "doc_id", "left_anti").select(docs.columns)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets in their texts are replaced."""
+    return secrets.redact(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_dedup", near_dedup), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("secrets", hide_secrets), ("bpe", encode)]
 ORACLE_SQL = None
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -149,11 +149,10 @@ def ranked(df: DataFrame, within: list[str], order: list[Column], out: str, per_
     bucket counts gives each bucket's first number and a window inside the
     bucket the rest.  Order between buckets is arbitrary but fixed.
     """
+    df = materialize(df)
     n = df.count()
     buckets = max(16, -(-n // per_bucket))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    from pyspark.sql import Window
-
     keys = [*within, "_bucket"]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

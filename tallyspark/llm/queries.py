@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, html_text, pivots, simhash
+from tallyspark.llm import bpe, html_text, pivots, secrets, shards, simhash, substrings, tiling, toxicity, warc
 from tallyspark.llm.common import table
 
 
@@ -16,20 +16,50 @@ def op1_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.assign(table(spark, sf_dir, "documents"), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxicity")
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), score.alias("score"), (score >= toxicity.LIMIT).cast("int").alias("predicted"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=13)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "start", F.length("found").alias("n_chars"), "masked", "probability", "secret")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pivot_near_dedup, op3_bpe, op8_simhash, op10_html_text)
+    f.__name__: f
+    for f in (op1_pivot_near_dedup, op2_string_tiling, op3_bpe, op4_warc_derivatives, op5_shards, op6_toxicity, op7_substring_dedup, op8_simhash, op9_secrets, op10_html_text)
 }
-ORACLE: dict[str, str] = {}
+#: What SQL cannot express, or too slowly on whole tables, is tested against brute force instead.
+ORACLE: dict[str, str] = {"op4_warc_derivatives": warc.oracle_sql()}
