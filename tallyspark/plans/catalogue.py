@@ -5,6 +5,699 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import columns as C
+from tallyspark.operators import activity, adapters, audit, dedup, devices, export, folds, pricing, reports
+from tallyspark.operators import ledger as ledgers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: Ranges of the registered reports; the stand-in facts lie in January 2024.
+DAY, NEXT, START, END = "2024-01-10", "2024-01-11", "2024-01-08", "2024-01-22"
+NOW = "2024-01-31 00:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.token_events(table(spark, sf_dir, "events"))
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.with_cost(token_events(spark, sf_dir))
+
+
+def query(sql: str | None = None, *needs: str):
+    """Register a query under its function's name; `needs` are the common table expressions that its SQL begins with."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = (f"WITH {', '.join(PARTS[n] for n in needs)} " if needs else "") + sql
+        return f
+
+    return add
+
+
+_PRICES = ", ".join(f"('{k}', {a}, {b}, {c}, {d}, {e})" for k, a, b, c, d, e in pricing.PRICES)
+_SUMS = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in reports.SUMS)
+_TOTAL = "input_tokens + output_tokens + cache_read_tokens + cache_write_tokens + reasoning_tokens"
+_RANK = "CASE {q} WHEN 'exact' THEN 3 WHEN 'inferred' THEN 2 ELSE 1 END"
+_QUALITY = "CASE max(CASE quality WHEN 'exact' THEN 3 WHEN 'inferred' THEN 2 ELSE 1 END) WHEN 3 THEN 'exact' WHEN 2 THEN 'inferred' ELSE 'unknown' END"
+_MASK = "CASE WHEN length(value) <= 8 THEN '****' ELSE value[1:4] || '...' || value[-4:] END"
+
+PARTS = {
+    "te": f"""te AS (SELECT *, {_TOTAL} AS total_tokens, epoch_us(ts) AS us,
+      CASE WHEN project_path IS NULL THEN NULL ELSE CAST(user_id % 7 AS VARCHAR) END AS project_name,
+      CASE WHEN project_path IS NULL THEN 'unknown' ELSE CASE event_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unknown' END END AS quality FROM (
+      SELECT event_id, ts, user_id, CASE user_id % 4 WHEN 0 THEN 'Claude Code' WHEN 1 THEN 'Codex' WHEN 2 THEN 'Cursor' ELSE 'OpenCode' END AS source,
+      CASE event_id % 6 WHEN 0 THEN 'claude-sonnet-4-6' WHEN 1 THEN 'gpt-5.4-mini-2026-01-01' WHEN 2 THEN 'gpt-5.4' WHEN 3 THEN 'gpt-5-unknown' WHEN 4 THEN 'mystery' END AS model,
+      CAST(floor(value * 100) AS BIGINT) AS input_tokens, k AS output_tokens, event_id % 50 AS cache_read_tokens,
+      CASE WHEN event_type = 'purchase' THEN k ELSE 0 END AS cache_write_tokens, k % 7 AS reasoning_tokens,
+      CASE WHEN event_id % 5 <> 0 THEN 's' || user_id || '-' || (event_id % 3) END AS session_id,
+      CASE WHEN user_id % 3 <> 0 THEN '/p/' || (user_id % 7) END AS project_path,
+      CASE WHEN event_type = 'error' THEN 'subagent' ELSE 'main' END AS agent_kind, CAST(user_id AS VARCHAR) AS stream_id
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)))""",
+    "pr": f"pr(price_key, input_rate, output_rate, cache_read_rate, cache_write_rate, exact_only) AS (VALUES {_PRICES})",
+    "rp": """rp AS (SELECT model, price_key, CASE WHEN price_key IS NULL THEN 'missing' WHEN price_key = model THEN 'exact' ELSE 'prefix' END AS match,
+      input_rate, output_rate, cache_read_rate, cache_write_rate FROM (
+      SELECT m.model, pr.*, row_number() OVER (PARTITION BY m.model ORDER BY length(price_key) DESC NULLS LAST) AS n
+      FROM (SELECT DISTINCT model FROM te WHERE model IS NOT NULL) m LEFT JOIN pr ON m.model = price_key OR (NOT exact_only AND starts_with(m.model, price_key))) WHERE n = 1)""",
+    "pe": """pe AS (SELECT te.*, rp.price_key IS NOT NULL AS price_known, input_tokens * coalesce(input_rate, 0) + (output_tokens + reasoning_tokens) * coalesce(output_rate, 0)
+      + cache_read_tokens * coalesce(cache_read_rate, 0) + cache_write_tokens * coalesce(cache_write_rate, 0) AS cost_nano FROM te LEFT JOIN rp ON te.model = rp.model)""",
+    "hb": f"""hb AS (SELECT s."start", s."start" + INTERVAL 1 HOUR AS "end", {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in reports.SUMS)} FROM
+      (SELECT unnest(generate_series(TIMESTAMP '{DAY}', TIMESTAMP '{DAY}' + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS "start") s LEFT JOIN
+      (SELECT date_trunc('hour', ts) AS h, {_SUMS} FROM pe WHERE ts >= TIMESTAMP '{DAY}' AND ts < TIMESTAMP '{NEXT}' GROUP BY 1) e ON s."start" = e.h)""",
+    "sl": """sl AS (SELECT * FROM (SELECT *, us AS start_us, us + CASE WHEN nxt IS NULL OR nxt - us > 300000000 THEN 30000000 ELSE nxt - us END AS end_us FROM
+      (SELECT *, lead(us) OVER (PARTITION BY stream_id ORDER BY us, event_id) AS nxt FROM te)) WHERE end_us > start_us)""",
+    "wi": """wi AS (SELECT day, min(start_us) AS start_us, max(end_us) AS end_us FROM (SELECT *, sum(CASE WHEN reach IS NULL OR start_us > reach THEN 1 ELSE 0 END) OVER (ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS i FROM
+      (SELECT 0 AS day, start_us, end_us, max(end_us) OVER (ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sl)) GROUP BY day, i)""",
+    "ba": f"""ba AS (SELECT source, session_id, project_path AS bp, project_name AS bn, quality AS bq FROM (SELECT *, row_number() OVER (PARTITION BY source, session_id ORDER BY
+      ({_RANK.format(q="quality")}) * 100 + CASE WHEN project_path IS NOT NULL THEN 20 ELSE 0 END DESC, event_id) AS n FROM pe WHERE session_id IS NOT NULL AND total_tokens > 0) WHERE n = 1)""",
+    "ae": """ae AS (SELECT pe.* EXCLUDE (project_path, project_name), CASE WHEN bq IS NOT NULL THEN bp ELSE pe.project_path END AS project_path,
+      coalesce(CASE WHEN bq IS NOT NULL THEN bn ELSE pe.project_name END, 'Unknown Project') AS project_name FROM pe LEFT JOIN ba ON pe.source = ba.source AND pe.session_id = ba.session_id WHERE total_tokens > 0)""",
+    "ak": """ak AS (SELECT *, coalesce(session_id, coalesce(project_path, 'Unknown Project') || '|' || CAST(CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS VARCHAR)) AS session_key FROM ae)""",
+    "ps": f"""ps AS (SELECT project_path, project_name, {_SUMS}, min(ts) AS first_at, max(ts) AS last_at, {_QUALITY} AS quality, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources,
+      coalesce(array_to_string(list_sort(list(DISTINCT model) FILTER (WHERE model IS NOT NULL)), ';'), '') AS models, count(DISTINCT source || '|' || session_key) AS sessions FROM ak GROUP BY 1, 2)""",
+    "ss": f"""ss AS (SELECT a.source, a.session_key, {", ".join(f"a.{c}" for c in reports.SUMS)}, first_at, last_at, models, a.quality, m.project_path, m.project_name, m.session_id,
+      coalesce(m.session_id[1:10], strftime(first_at, '%H:%M') || ' session') AS label FROM
+      (SELECT source, session_key, {_SUMS}, min(ts) AS first_at, max(ts) AS last_at, {_QUALITY} AS quality, coalesce(array_to_string(list_sort(list(DISTINCT model) FILTER (WHERE model IS NOT NULL)), ';'), '') AS models FROM ak GROUP BY 1, 2) a
+      JOIN (SELECT *, row_number() OVER (PARTITION BY source, session_key ORDER BY ({_RANK.format(q="quality")}) * 100 + CASE WHEN project_path IS NOT NULL THEN 10 ELSE 0 END + 1 DESC, event_id) AS n FROM ak) m
+      ON a.source = m.source AND a.session_key = m.session_key AND m.n = 1)""",
+    "sv": """sv AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Context' ELSE 'Reported Cost' END AS label, CASE WHEN event_id % 2 = 0 THEN 'tokens' ELSE 'cents' END AS unit, source, FALSE AS included,
+      CASE WHEN event_id % 2 = 0 THEN 'contextOnly' ELSE 'derived' END AS quality, model, cache_read_tokens AS value FROM te)""",
+    "fi": f"""li AS (SELECT doc_id, row_number() OVER () AS g, unnest(string_split(text || chr(10) || 'api_token = "' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 24) || '"', chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+      fi AS (SELECT doc_id, 'Secret assignment' AS rule_name, value, {_MASK} AS masked FROM
+      (SELECT doc_id, unnest(regexp_extract_all(line, '{audit.RULES[-1].pattern.replace("'", "''")}', 1)) AS value FROM li)
+      WHERE length(value) >= 12 AND NOT regexp_matches(lower(value), '^(\\*+|x+)$|{"|".join(audit.PLACEHOLDERS)}'))""",
+    "dv": """dv AS (SELECT CAST(o_custkey AS VARCHAR) AS device_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence, o_orderkey, o_orderdate, CAST(o_orderkey AS VARCHAR) AS digest, o_totalprice FROM orders)""",
+}
+
+
+# Totals
+
+@query(f"SELECT {_SUMS} FROM pe", "te", "pr", "rp", "pe")
+def token_totals(spark, sf_dir):
+    return reports.totals(priced(spark, sf_dir))
+
+
+@query(f"SELECT source, {_SUMS} FROM pe GROUP BY source", "te", "pr", "rp", "pe")
+def totals_by_source(spark, sf_dir):
+    return reports.totals(priced(spark, sf_dir), "source")
+
+
+@query(
+    "SELECT model, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, bool_or(price_known) AS price_known FROM pe WHERE model IS NOT NULL GROUP BY model",
+    "te", "pr", "rp", "pe",
+)
+def totals_by_model(spark, sf_dir):
+    return reports.model_totals(priced(spark, sf_dir))
+
+
+@query("SELECT source, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM te GROUP BY source", "te")
+def lightweight_totals(spark, sf_dir):
+    return reports.lightweight(token_events(spark, sf_dir))
+
+
+@query("SELECT source, round(CASE WHEN sum(input_tokens + cache_read_tokens) > 0 THEN sum(cache_read_tokens) * 100.0::DOUBLE / sum(input_tokens + cache_read_tokens) ELSE 0 END, 6) AS efficiency FROM te GROUP BY source", "te")
+def cache_efficiency(spark, sf_dir):
+    sums = reports.totals(priced(spark, sf_dir), "source")
+    return sums.select("source", F.round(C.cache_efficiency("cache_read_tokens", "input_tokens"), 6).alias("efficiency"))
+
+
+@query("SELECT model, price_key, match, input_rate, output_rate, cache_read_rate, cache_write_rate FROM (SELECT model, price_key, match, CAST(input_rate AS BIGINT) AS input_rate, CAST(output_rate AS BIGINT) AS output_rate, CAST(cache_read_rate AS BIGINT) AS cache_read_rate, CAST(cache_write_rate AS BIGINT) AS cache_write_rate FROM rp)", "te", "pr", "rp")
+def price_lookup(spark, sf_dir):
+    return pricing.resolve_prices(token_events(spark, sf_dir))
+
+
+@query("SELECT source, model, CAST(sum(cost_nano) AS BIGINT) AS cost_nano, count(*) AS events FROM pe WHERE model IS NOT NULL GROUP BY ALL", "te", "pr", "rp", "pe")
+def model_costs(spark, sf_dir):
+    return priced(spark, sf_dir).where("model IS NOT NULL").groupBy("source", "model").agg(F.sum("cost_nano").alias("cost_nano"), F.count("*").alias("events"))
+
+
+@query("SELECT model, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM pe WHERE model IS NOT NULL AND NOT price_known GROUP BY model", "te", "pr", "rp", "pe")
+def unpriced_models(spark, sf_dir):
+    return priced(spark, sf_dir).where("model IS NOT NULL AND NOT price_known").groupBy("model").agg(F.sum("total_tokens").alias("total_tokens"))
+
+
+# Hours and days
+
+def _buckets(spark, sf_dir):
+    return reports.hourly_buckets(priced(spark, sf_dir), DAY, NEXT)
+
+
+@query("SELECT * FROM hb", "te", "pr", "rp", "pe", "hb")
+def hourly_buckets(spark, sf_dir):
+    return _buckets(spark, sf_dir)
+
+
+@query('SELECT "start", "end", total_tokens FROM hb WHERE total_tokens > 0 ORDER BY total_tokens DESC, "start" LIMIT 5', "te", "pr", "rp", "pe", "hb")
+def hourly_top5(spark, sf_dir):
+    return reports.top_hours(_buckets(spark, sf_dir)).select("start", "end", "total_tokens")
+
+
+@query("SELECT count(*) FILTER (WHERE total_tokens > 0) AS active_hours, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, max(total_tokens) AS peak_tokens, CAST(CASE WHEN count(*) FILTER (WHERE total_tokens > 0) > 0 THEN sum(total_tokens) // count(*) FILTER (WHERE total_tokens > 0) ELSE 0 END AS BIGINT) AS average_tokens FROM hb", "te", "pr", "rp", "pe", "hb")
+def hourly_summary(spark, sf_dir):
+    return reports.hourly_summary(_buckets(spark, sf_dir))
+
+
+@query('SELECT "start", "end", total_tokens FROM hb WHERE total_tokens > 0 ORDER BY total_tokens DESC, "start" LIMIT 1', "te", "pr", "rp", "pe", "hb")
+def peak_bucket(spark, sf_dir):
+    return reports.peak(_buckets(spark, sf_dir))
+
+
+@query(f"SELECT \"start\", total_tokens FROM hb ORDER BY abs(epoch_us(\"start\") - epoch_us(TIMESTAMP '{DAY} 07:40:00')), \"start\" LIMIT 1", "te", "pr", "rp", "pe", "hb")
+def nearest_bucket(spark, sf_dir):
+    away = F.abs(C.micros("start") - C.micros(F.lit(f"{DAY} 07:40:00").cast("timestamp_ntz")))
+    return _buckets(spark, sf_dir).agg(F.min_by(F.struct("start", "total_tokens"), F.struct(away, "start")).alias("b")).select("b.*")
+
+
+@query('SELECT "start" FROM (SELECT "start", row_number() OVER (ORDER BY "start") AS n, count(*) OVER () AS c FROM hb) WHERE (n - 1) % greatest(1, c // 4) = 0 OR n = c', "te", "pr", "rp", "pe", "hb")
+def axis_ticks(spark, sf_dir):
+    from pyspark.sql import Window
+
+    at, every = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("start")), F.count("*").over(Window.partitionBy(F.lit(0)))  # at most 48 rows
+    return _buckets(spark, sf_dir).select("start", at.alias("n"), every.alias("c")).where("(n - 1) % greatest(1, c div 4) = 0 OR n = c").select("start")
+
+
+@query(
+    f"""SELECT a.*, e.events, CAST(t.active_us AS BIGINT) AS active_us FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, {_SUMS} FROM pe GROUP BY 1) a JOIN (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM pe GROUP BY 1) e ON a.day = e.day
+    JOIN (SELECT day, sum(CASE WHEN nxt IS NULL OR nxt - us > 300000000 THEN 30000000 ELSE nxt - us END) AS active_us FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, us, lead(us) OVER (PARTITION BY stream_id, strftime(ts, '%Y-%m-%d') ORDER BY us, event_id) AS nxt FROM te) GROUP BY 1) t ON a.day = t.day""",
+    "te", "pr", "rp", "pe",
+)
+def daily_rollup(spark, sf_dir):
+    return reports.daily(priced(spark, sf_dir))
+
+
+@query(f"SELECT CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM te WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'", "te")
+def daily_range_sum(spark, sf_dir):
+    return reports.daily_range_sum(reports.daily(priced(spark, sf_dir)), START, END)
+
+
+@query(f"SELECT CAST(sum(total_tokens) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS BIGINT) AS last_7, CAST(sum(total_tokens) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) AS BIGINT) AS last_30, CAST(sum(total_tokens) AS BIGINT) AS all_time FROM te WHERE ts < TIMESTAMP '{NOW}'", "te")
+def period_totals(spark, sf_dir):
+    return reports.period_totals(token_events(spark, sf_dir), NOW)
+
+
+@query(
+    f"""SELECT current, previous, CASE WHEN current = previous THEN 'flat' WHEN previous = 0 THEN NULL WHEN current > previous THEN 'up' ELSE 'down' END AS direction,
+    CASE WHEN current = previous THEN '0% from yesterday' WHEN previous = 0 THEN 'No usage yesterday' ELSE CAST(CAST(floor(abs((current - previous) * 100.0::DOUBLE / previous)) AS BIGINT) AS VARCHAR) || '% from yesterday' END AS text FROM
+    (SELECT CAST(coalesce(sum(total_tokens) FILTER (WHERE ts >= TIMESTAMP '{DAY}' AND ts < TIMESTAMP '{NEXT}'), 0) AS BIGINT) AS current, CAST(coalesce(sum(total_tokens) FILTER (WHERE ts < TIMESTAMP '{DAY}' AND ts >= TIMESTAMP '{DAY}' - INTERVAL 1 DAY), 0) AS BIGINT) AS previous FROM te)""",
+    "te",
+)
+def previous_comparison(spark, sf_dir):
+    return reports.compared(token_events(spark, sf_dir), DAY)
+
+
+# Projects, sessions, models, sources
+
+@query("SELECT * FROM ps", "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps")
+def project_stats(spark, sf_dir):
+    return reports.project_stats(priced(spark, sf_dir))
+
+
+@query("SELECT * FROM ss", "te", "pr", "rp", "pe", "ba", "ae", "ak", "ss")
+def session_stats(spark, sf_dir):
+    return reports.session_stats(priced(spark, sf_dir))
+
+
+@query("SELECT source, session_key, cost_nano, total_tokens FROM ss ORDER BY cost_nano DESC, total_tokens DESC, last_at DESC, label, session_key LIMIT 8", "te", "pr", "rp", "pe", "ba", "ae", "ak", "ss")
+def session_top8(spark, sf_dir):
+    return reports.ordered(reports.session_stats(priced(spark, sf_dir)), "sessions", 8).select("source", "session_key", "cost_nano", "total_tokens")
+
+
+@query(
+    """, kn AS (SELECT *, row_number() OVER (ORDER BY cost_nano DESC, total_tokens DESC, project_name, project_path) AS n FROM ps WHERE quality <> 'unknown'), tt AS (SELECT sum(total_tokens) AS t, sum(cost_nano) AS c FROM pe)
+    SELECT project_name AS title, total_tokens, cost_nano, CAST(1 AS BIGINT) AS projects, sessions FROM kn WHERE n <= 4
+    UNION ALL SELECT * FROM (SELECT 'Other Projects', CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS a, CAST(coalesce(sum(cost_nano), 0) AS BIGINT) AS b, count(*), CAST(coalesce(sum(sessions), 0) AS BIGINT) FROM kn WHERE n > 4) WHERE a > 0 OR b > 0
+    UNION ALL SELECT * FROM (SELECT 'Untracked Usage', CAST(greatest((SELECT t FROM tt) - (SELECT coalesce(sum(total_tokens), 0) FROM kn), 0) AS BIGINT) AS a, CAST(greatest((SELECT c FROM tt) - (SELECT coalesce(sum(cost_nano), 0) FROM kn), 0) AS BIGINT) AS b,
+      (SELECT count(*) FROM ps WHERE quality = 'unknown'), CAST((SELECT coalesce(sum(sessions), 0) FROM ps WHERE quality = 'unknown') AS BIGINT)) WHERE a > 0 OR b > 0""",
+    "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps",
+)
+def project_breakdown(spark, sf_dir):
+    events = priced(spark, sf_dir)
+    return reports.project_breakdown(reports.project_stats(events), reports.totals(events))
+
+
+ORACLE["project_breakdown"] = ORACLE["project_breakdown"].replace(" , kn AS", ", kn AS", 1)
+
+
+@query("SELECT CAST(coalesce(sum(cost_nano) FILTER (WHERE quality <> 'unknown'), 0) AS BIGINT) AS attributed_nano, CAST(sum(cost_nano) AS BIGINT) AS cost_nano, (SELECT count(*) FROM ss WHERE quality <> 'unknown') AS attributed_sessions FROM ps", "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps", "ss")
+def attributed_cost(spark, sf_dir):
+    events = priced(spark, sf_dir)
+    return reports.attributed_cost(reports.project_stats(events), reports.session_stats(events))
+
+
+@query(
+    """SELECT source, model, CAST(total_tokens AS BIGINT) AS total_tokens, CAST(cost_nano AS BIGINT) AS cost_nano, CAST(coalesce(active_us, 0) AS BIGINT) AS active_us FROM (SELECT source, model, sum(total_tokens) AS total_tokens, sum(cost_nano) AS cost_nano FROM pe WHERE model IS NOT NULL AND total_tokens > 0 GROUP BY 1, 2)
+    LEFT JOIN (SELECT source, model, sum(CASE WHEN nxt IS NULL OR nxt - us > 300000000 THEN 30000000 ELSE nxt - us END) AS active_us FROM (SELECT source, model, us, lead(us) OVER (PARTITION BY source,
+      coalesce(session_id, coalesce(project_path, 'Unknown Project') || '|' || CAST(CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS VARCHAR)) ORDER BY us, event_id) AS nxt FROM pe WHERE model IS NOT NULL AND total_tokens > 0) GROUP BY 1, 2) USING (source, model)""",
+    "te", "pr", "rp", "pe",
+)
+def model_stats_by_source(spark, sf_dir):
+    return reports.event_model_stats(priced(spark, sf_dir))
+
+
+def _model_inputs(spark, sf_dir):
+    """What sources report themselves (Codex), what events show of the others, and totals by model beyond both."""
+    rows = priced(spark, sf_dir).where("model IS NOT NULL")
+    by = lambda df: df.groupBy("model", "source").agg(F.sum("total_tokens").alias("total_tokens"), F.sum("cost_nano").alias("cost_nano")).withColumn("active_us", F.lit(0).cast("long"))
+    explicit = by(rows.where("source = 'Codex' AND event_id % 6 < 2"))
+    events = by(rows.where("source IN ('Claude Code', 'Cursor')"))
+    legacy = rows.groupBy("model").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.sum("total_tokens").alias("total_tokens"), F.sum("cost_nano").alias("cost_nano")).withColumn("active_us", F.lit(0).cast("long"))
+    return explicit, events, legacy
+
+
+@query(
+    """, x AS (SELECT model, source, sum(total_tokens) AS t, sum(cost_nano) AS c FROM pe WHERE model IS NOT NULL AND source = 'Codex' AND event_id % 6 < 2 GROUP BY 1, 2),
+    e AS (SELECT model, source, sum(total_tokens) AS t, sum(cost_nano) AS c FROM pe WHERE model IS NOT NULL AND source IN ('Claude Code', 'Cursor') AND model NOT IN (SELECT model FROM x) GROUP BY 1, 2),
+    l AS (SELECT model, sum(total_tokens) AS t, sum(cost_nano) AS c FROM pe WHERE model IS NOT NULL AND model NOT IN (SELECT model FROM x) GROUP BY 1),
+    u AS (SELECT pe.model, array_to_string(list_sort(list(DISTINCT pe.source)), '+') AS s FROM pe WHERE model IS NOT NULL AND source NOT IN ('Claude Code', 'Cursor') GROUP BY 1),
+    r AS (SELECT l.model, coalesce(u.s, 'fallback') AS source, greatest(l.t - coalesce(q.t, 0), 0) AS t, greatest(l.c - coalesce(q.c, 0), 0) AS c FROM l LEFT JOIN (SELECT model, sum(t) AS t, sum(c) AS c FROM e GROUP BY 1) q ON l.model = q.model LEFT JOIN u ON l.model = u.model),
+    a AS (SELECT * FROM x UNION ALL SELECT * FROM e UNION ALL SELECT * FROM r WHERE t > 0 OR c > 0)
+    SELECT model, source, CAST(t AS BIGINT) AS total_tokens, CAST(c AS BIGINT) AS cost_nano, CAST(0 AS BIGINT) AS active_us, CASE WHEN count(*) OVER (PARTITION BY model) > 1 THEN model || '|' || source ELSE model END AS id FROM a""",
+    "te", "pr", "rp", "pe",
+)
+def model_stats(spark, sf_dir):
+    return reports.model_stats(*_model_inputs(spark, sf_dir))
+
+
+@query("SELECT label, unit, source, included, quality, CAST(sum(value) AS BIGINT) AS value FROM sv GROUP BY 1, 2, 3, 4, 5 HAVING sum(value) > 0", "te", "sv")
+def supplemental_stats(spark, sf_dir):
+    return reports.supplemental_stats(_supplemental(spark, sf_dir))
+
+
+@query("SELECT model, source, quality, CAST(sum(value) AS BIGINT) AS total_tokens FROM sv WHERE unit = 'tokens' AND quality = 'contextOnly' AND model IS NOT NULL GROUP BY 1, 2, 3", "te", "sv")
+def context_only_models(spark, sf_dir):
+    return reports.context_only_models(_supplemental(spark, sf_dir))
+
+
+def _supplemental(spark, sf_dir):
+    even = F.col("event_id") % 2 == 0
+    pick = lambda a, b: F.when(even, a).otherwise(b)
+    return token_events(spark, sf_dir).select(pick("Context", "Reported Cost").alias("label"), pick("tokens", "cents").alias("unit"), "source", F.lit(False).alias("included"), pick("contextOnly", "derived").alias("quality"), "model", F.col("cache_read_tokens").alias("value"))
+
+
+@query(
+    f"""SELECT a.*, CAST(coalesce(active_us, 0) AS BIGINT) AS active_us FROM (SELECT source, {_SUMS} FROM pe GROUP BY 1) a LEFT JOIN (SELECT source, sum(end_us - start_us) AS active_us FROM sl GROUP BY 1) USING (source)""",
+    "te", "pr", "rp", "pe", "sl",
+)
+def source_stats(spark, sf_dir):
+    return reports.source_stats(priced(spark, sf_dir))
+
+
+@query("SELECT list_sort(list(DISTINCT source)) AS all_sources, list_sort(list(DISTINCT source) FILTER (WHERE model = 'gpt-5.4')) AS some, list_sort(list(DISTINCT source) FILTER (WHERE source NOT IN ('Codex', 'Cursor'))) AS uncovered FROM te", "te")
+def source_sets(spark, sf_dir):
+    every, some = F.collect_set("source"), F.collect_set(F.when(F.col("model") == "gpt-5.4", F.col("source")))
+    return token_events(spark, sf_dir).agg(F.array_sort(F.array_union(every, some)).alias("all_sources"), F.array_sort(some).alias("some"), F.array_sort(F.array_except(every, F.array(F.lit("Codex"), F.lit("Cursor")))).alias("uncovered"))
+
+
+@query("SELECT DISTINCT source, project_path FROM te WHERE project_path IS NOT NULL", "te")
+def distinct_paths(spark, sf_dir):
+    return token_events(spark, sf_dir).where("project_path IS NOT NULL").select("source", "project_path").distinct()
+
+
+# Activity
+
+def _slices(spark, sf_dir):
+    return activity.slices(token_events(spark, sf_dir))
+
+
+@query("SELECT event_id, stream_id, start_us, end_us FROM sl", "te", "sl")
+def activity_slices(spark, sf_dir):
+    return _slices(spark, sf_dir).select("event_id", "stream_id", "start_us", "end_us")
+
+
+@query("SELECT CAST(sum(end_us - start_us) AS BIGINT) AS active_us FROM sl", "te", "sl")
+def active_seconds_total(spark, sf_dir):
+    return activity.active_time(_slices(spark, sf_dir))
+
+
+@query("SELECT agent_kind, CAST(sum(end_us - start_us) AS BIGINT) AS active_us FROM sl GROUP BY 1", "te", "sl")
+def active_by_kind(spark, sf_dir):
+    return activity.active_time(_slices(spark, sf_dir), "agent_kind")
+
+
+@query("SELECT model, CAST(sum(end_us - start_us) AS BIGINT) AS active_us FROM sl GROUP BY 1", "te", "sl")
+def active_by_model(spark, sf_dir):
+    return activity.active_time(_slices(spark, sf_dir), "model")
+
+
+@query("SELECT CAST(sum(end_us - start_us) AS BIGINT) AS wall_us FROM wi", "te", "sl", "wi")
+def wall_clock(spark, sf_dir):
+    return activity.wall_clock(_slices(spark, sf_dir))
+
+
+_CONCURRENT = "(SELECT max(n) FROM (SELECT sum(d) OVER (ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT start_us AS t, 1 AS d FROM mi UNION ALL SELECT end_us, -1 FROM mi)))"
+_MERGED = """mi AS (SELECT stream_id, min(start_us) AS start_us, max(end_us) AS end_us FROM (SELECT *, sum(CASE WHEN reach IS NULL OR start_us > reach THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS i FROM
+  (SELECT *, max(end_us) OVER (PARTITION BY stream_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sl)) GROUP BY stream_id, i)"""
+PARTS["mi"] = _MERGED
+
+
+@query(f"SELECT CAST({_CONCURRENT} AS BIGINT) AS max_streams", "te", "sl", "mi")
+def max_concurrency(spark, sf_dir):
+    return activity.max_concurrency(activity.islands(_slices(spark, sf_dir), "stream_id"))
+
+
+@query(
+    f"""SELECT CAST(sum(end_us - start_us) AS BIGINT) AS total_us, CAST(sum(end_us - start_us) FILTER (WHERE agent_kind = 'main') AS BIGINT) AS main_us, CAST(sum(end_us - start_us) FILTER (WHERE agent_kind = 'subagent') AS BIGINT) AS subagent_us, count(DISTINCT stream_id) AS streams,
+    CAST((SELECT sum(end_us - start_us) FROM wi) AS BIGINT) AS wall_us, CAST({_CONCURRENT} AS BIGINT) AS max_streams FROM sl""",
+    "te", "sl", "wi", "mi",
+)
+def work_time(spark, sf_dir):
+    return activity.work_time(token_events(spark, sf_dir))
+
+
+# Duplicates and sessions
+
+@query(
+    """SELECT user_id, CAST(max(input_tokens) AS BIGINT) AS input_tokens, CAST(max(output_tokens) AS BIGINT) AS output_tokens, max(ts) AS ts, arg_min(model, event_id) FILTER (WHERE model IS NOT NULL) AS model FROM te GROUP BY user_id""",
+    "te",
+)
+def request_dedup_max(spark, sf_dir):
+    rows = token_events(spark, sf_dir).withColumn("ord", F.col("event_id"))
+    return dedup.largest_per_request(rows, "user_id", ["input_tokens", "output_tokens"]).select("user_id", "input_tokens", "output_tokens", "ts", "model")
+
+
+@query(
+    """SELECT user_id, source_file, points, span, first FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, span DESC, first, source_file) AS n FROM (SELECT user_id, 'f' || (event_id % 3) AS source_file, count(DISTINCT us) AS points, max(us) - min(us) AS span, min(us) AS first FROM te GROUP BY 1, 2)) WHERE n = 1""",
+    "te",
+)
+def activity_best_source(spark, sf_dir):
+    rows = token_events(spark, sf_dir).withColumn("source_file", F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")))
+    return dedup.best_activity_source(rows, "user_id", "source_file")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1")
+def latest_per_id(spark, sf_dir):
+    return dedup.newest(table(spark, sf_dir, "lineitem"), "l_orderkey", F.desc("l_shipdate"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")).select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@query("SELECT event_id, coalesce(model, (SELECT arg_max(b.model, b.event_id) FROM te b WHERE b.user_id = a.user_id AND b.model IS NOT NULL)) AS model FROM te a", "te")
+def model_backfill(spark, sf_dir):
+    rows = token_events(spark, sf_dir)
+    return dedup.backfill_model(rows, rows.select("user_id", "model", "event_id"), "user_id", "event_id").select("event_id", "model")
+
+
+def _two_sides(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    side = lambda n, keep, model: c.where(keep).select(F.concat(F.lit("s"), (F.col("c_custkey") % 500).cast("string")).alias("session_id"), model.alias("model"), F.when(F.col("c_nationkey") % 7 == n, "subagent").otherwise("main").alias("agent_kind"), (F.col("c_nationkey") % 2 == n).alias("has_source"), F.concat(F.lit(f"/{n}/"), F.col("c_custkey").cast("string")).alias("rollout_path"), F.floor(F.col("c_acctbal")).cast("long").alias("file_size"), F.lit(0).cast("long").alias("file_time"), F.when(F.col("c_nationkey") % 3 != n, F.concat(F.lit("/p"), F.col("c_nationkey").cast("string"))).alias("project_path"), F.when(F.col("c_nationkey") % 3 == 1, "exact").otherwise("inferred").alias("quality"), (F.col("c_custkey") * 2 + n).alias("ord"))
+    return side(0, "c_custkey % 3 <> 0", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))).unionByName(side(1, "c_custkey % 3 <> 1", F.col("c_mktsegment")))
+
+
+@query(
+    """, s AS (SELECT 's' || (c_custkey % 500) AS session_id, CASE WHEN n = 1 OR c_custkey % 2 = 0 THEN c_mktsegment END AS model, CASE WHEN c_nationkey % 7 = n THEN 'subagent' ELSE 'main' END AS agent_kind, c_nationkey % 2 = n AS has_source, '/' || n || '/' || c_custkey AS rollout_path, CAST(floor(c_acctbal) AS BIGINT) AS file_size,
+    CASE WHEN c_nationkey % 3 <> n THEN '/p' || c_nationkey END AS project_path, CASE WHEN c_nationkey % 3 = 1 THEN 'exact' ELSE 'inferred' END AS quality, c_custkey * 2 + n AS ord FROM customer, (VALUES (0), (1)) v(n) WHERE c_custkey % 3 <> n),
+    p AS (SELECT session_id, project_path, quality FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE quality WHEN 'exact' THEN 3 ELSE 2 END DESC, ord) AS k FROM s WHERE project_path IS NOT NULL) WHERE k = 1),
+    f AS (SELECT session_id, rollout_path FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY file_size DESC, ord) AS k FROM s) WHERE k = 1)
+    SELECT g.*, f.rollout_path, p.project_path, coalesce(p.quality, 'unknown') AS quality FROM (SELECT session_id, arg_min(model, ord) FILTER (WHERE model IS NOT NULL) AS model, CASE WHEN bool_or(agent_kind = 'subagent') THEN 'subagent' ELSE 'main' END AS agent_kind, bool_or(has_source) AS has_source FROM s GROUP BY 1) g JOIN f USING (session_id) LEFT JOIN p USING (session_id)""",
+    "te",
+)
+def session_merge(spark, sf_dir):
+    return dedup.merge_sessions(_two_sides(spark, sf_dir))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def anti_join_complete(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
+
+
+@query("SELECT c_custkey, min(o_orderdate) AS earliest, max(o_orderdate) AS latest FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def session_left_activity(spark, sf_dir):
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("earliest"), F.max("o_orderdate").alias("latest"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(seen, "c_custkey", "left")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS session_id, CAST(greatest(floor(o_totalprice / 1000), coalesce(q, 0)) AS BIGINT) AS input_tokens, CASE WHEN m = 1 THEN one_model END AS model FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(floor(l_quantity)) AS BIGINT) AS q, count(DISTINCT l_returnflag) AS m, min(l_returnflag) AS one_model FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""
+)
+def resolve_max(spark, sf_dir):
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("input_tokens"), F.lit(None).cast("string").alias("model"))
+    models = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("session_id"), F.floor("l_quantity").cast("long").alias("input_tokens"), F.col("l_returnflag").alias("model"))
+    return dedup.resolve_totals(sessions, models, ["input_tokens"])
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS session_id, CAST(sum(CASE WHEN l_returnflag = 'N' AND floor(l_quantity) % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS calls FROM lineitem GROUP BY 1")
+def unmetered_calls(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("session_id"), F.when(F.col("l_returnflag") == "N", " ").otherwise("side").alias("task"), (F.floor("l_quantity").cast("long") % 2).alias("input_tokens"), F.lit(1).cast("long").alias("api_calls"))
+    return dedup.unmetered_calls(rows, ["input_tokens"])
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS header FROM conversations")
+def header_forward_fill(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumns({"head": F.when(F.col("role") == "user", F.col("turn")), "at": F.struct("turn", "role", "text")})
+    return dedup.forward_fill(rows, ["conv_id"], "at", "head", "header").select("conv_id", "turn", "header")
+
+
+# Folds
+
+def _running(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("rollout"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").cast("long").alias("ord"), F.floor("l_quantity").cast("long").alias("q"))
+    w = Window.partitionBy("rollout").orderBy("ts", "ord", "q").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"total": F.sum("q").over(w), "ord": F.row_number().over(Window.partitionBy("rollout").orderBy("ts", "ord", "q")).cast("long")})
+    zero = F.lit(0).cast("long")
+    return rows.select("rollout", "ts", "ord", F.col("total").alias("t_input"), zero.alias("t_cached"), F.col("total").alias("t_output"), zero.alias("t_reasoning"), F.col("q").alias("l_input"), zero.alias("l_cached"), F.col("q").alias("l_output"), zero.alias("l_reasoning"), "q")
+
+
+_FOLD = "SELECT CAST(l_orderkey AS VARCHAR) AS rollout, l_shipdate AS ts, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, floor(l_quantity)) AS ord, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem"
+
+
+@query(f"SELECT rollout, ts, ord, q AS input_tokens, q AS output_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(0 AS BIGINT) AS reasoning_tokens FROM ({_FOLD}) WHERE q > 0")
+def counter_fold(spark, sf_dir):
+    return folds.counter_events(_running(spark, sf_dir))
+
+
+@query(f"SELECT rollout, ts, ord, q AS input_tokens, q AS output_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(0 AS BIGINT) AS reasoning_tokens FROM ({_FOLD}) WHERE q > 0")
+def counter_fold_resets(spark, sf_dir):
+    """Every total falls at each third report: increments stand in for the difference there."""
+    from pyspark.sql import Window
+
+    rows = _running(spark, sf_dir).withColumn("part", F.expr("(ord - 1) div 3"))
+    w = Window.partitionBy("rollout", "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("q").over(w) + (10 - F.col("part")) * 1_000_000
+    rows = rows.withColumn("t_input", total).withColumn("t_output", F.col("t_input"))
+    return folds.counter_events(rows.withColumns({"l_input": F.col("q"), "l_output": F.col("q")}))
+
+
+@query(f"SELECT rollout, ts, ord, t AS t_input, CAST(sum(q) OVER (PARTITION BY rollout ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t_output FROM (SELECT *, CAST(sum(q) OVER (PARTITION BY rollout ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM ({_FOLD})) QUALIFY ord > 2 AND t > CAST(sum(CASE WHEN ord <= 2 THEN q ELSE 0 END) OVER (PARTITION BY rollout) AS BIGINT)")
+def replay_suppression(spark, sf_dir):
+    """Each rollout begins as a fork whose first two reports repeat its parent's."""
+    rows = _running(spark, sf_dir)
+    null = lambda kind="string": F.lit(None).cast(kind)
+    base = rows.select("rollout", (F.col("ord") * 10).alias("ord"), "ts", F.lit("token_count").alias("entry"), null().alias("session_id"), null().alias("parent_id"), null().alias("thread_source"), null().alias("turn_id"), null().alias("turn_key"), null().alias("child_key"), null("long").alias("t_reported"), *folds.TOTAL, *folds.LAST)
+    first = rows.where("ord = 1").select("rollout").withColumn("ts", null("timestamp_ntz"))
+    empty = {c: null("long") for c in ("t_reported", *folds.TOTAL, *folds.LAST)} | {c: null() for c in ("thread_source", "turn_id", "turn_key", "child_key")}
+    meta = first.withColumns({"ord": F.lit(1).cast("long"), "entry": F.lit("session_meta"), "session_id": F.lit("child"), "parent_id": F.lit("parent")} | empty)
+    context = first.withColumns({"ord": F.lit(25).cast("long"), "entry": F.lit("turn_context"), "session_id": null(), "parent_id": null()} | empty)
+    found = folds.without_replays(base.unionByName(meta).unionByName(context))
+    return found.select("rollout", "ts", F.expr("ord div 10").alias("ord"), "t_input", "t_output")
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT user_id, ts, us, k, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n, CAST(sum(k) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT *, epoch_us(ts) AS us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id < 30)),
+    r AS (SELECT user_id, n, us, total, day, us AS p_us, total AS p_total, 0.0::DOUBLE AS v FROM s WHERE n = 1 UNION ALL
+    SELECT s.user_id, s.n, s.us, s.total, s.day, CASE WHEN s.day <> r.day OR s.us - r.p_us >= 1000000 THEN s.us ELSE r.p_us END, CASE WHEN s.day <> r.day OR s.us - r.p_us >= 1000000 THEN s.total ELSE r.p_total END,
+    CASE WHEN s.day <> r.day THEN 0.0 WHEN s.us - r.p_us < 1000000 THEN r.v WHEN r.v > 0 THEN 0.65::DOUBLE * ((s.total - r.p_total) * 1e6 / (s.us - r.p_us)) + 0.35::DOUBLE * r.v ELSE (s.total - r.p_total) * 1e6 / (s.us - r.p_us) END FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)
+    SELECT CAST(user_id AS VARCHAR) AS key, us AS at_us, total AS tokens, round(v, 6) AS rate FROM r"""
+)
+def velocity_ewma(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = token_events(spark, sf_dir).where("user_id < 30").withColumn("day", C.day_key("ts"))
+    w = Window.partitionBy("user_id", "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    samples = rows.select(F.col("user_id").cast("string").alias("key"), "day", F.col("us").alias("at_us"), F.sum("output_tokens").over(w).alias("tokens"))
+    return folds.velocities(samples).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    """SELECT CAST(l_orderkey AS VARCHAR) AS session, CASE WHEN ord = 1 THEN 'carry' ELSE 'event' END AS kind, ord * 1000000 AS at_us, q AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(0 AS BIGINT) AS cache_write_tokens, CAST(0 AS BIGINT) AS reasoning_tokens, CAST(q AS DOUBLE) AS cost FROM
+    (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, floor(l_quantity)) AS ord, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem) WHERE q > 0"""
+)
+def delta_ledger(spark, sf_dir):
+    rows = _running(spark, sf_dir)
+    null, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    seen = rows.select(F.col("rollout").alias("session"), (F.col("ord") * 1_000_000).alias("observed_us"), null.alias("previous_us"), zero.alias("started_us"), null.alias("earliest_us"), null.alias("latest_us"), F.col("t_input").alias("input_tokens"), *(zero.alias(c) for c in C.COUNTERS[1:]), F.col("t_input").cast("double").alias("cost"), *(null.alias(r) for r in pricing.RATES))
+    return folds.ledger(seen)
+
+
+@query("SELECT count(*) AS count, CAST(sum(floor(l_quantity)) AS BIGINT) AS tokens FROM lineitem")
+def ledger_status(spark, sf_dir):
+    zero = F.lit(0).cast("long")
+    return ledgers.status(table(spark, sf_dir, "lineitem").select(F.floor("l_quantity").cast("long").alias("input_tokens"), *(zero.alias(c) for c in C.COUNTERS[1:])))
+
+
+# Devices
+
+def _envelopes(spark, sf_dir):
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("device_id"), at.alias("sequence"), "o_orderkey", "o_orderdate", F.col("o_orderkey").cast("string").alias("digest"), "o_totalprice")
+
+
+@query("SELECT device_id, sequence, digest, FALSE AS conflict FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY sequence DESC) AS n FROM dv) WHERE n = 1", "dv")
+def sequence_latest_wins(spark, sf_dir):
+    return devices.latest_wins(_envelopes(spark, sf_dir))
+
+
+@query("SELECT coalesce(m.device_id, c.device_id) AS device_id, CASE WHEN m.device_id IS NULL THEN 'removed' WHEN c.device_id IS NULL OR m.s > c.s THEN 'changed' ELSE 'retained' END AS change FROM (SELECT device_id, max(sequence) AS s FROM dv WHERE o_orderkey % 5 <> 0 GROUP BY 1) m FULL JOIN (SELECT device_id, max(sequence) AS s FROM dv WHERE o_orderkey % 3 <> 0 GROUP BY 1) c ON m.device_id = c.device_id", "dv")
+def manifest_diff(spark, sf_dir):
+    e = _envelopes(spark, sf_dir)
+    top = lambda keep: e.where(keep).groupBy("device_id").agg(F.max("sequence").alias("sequence"))
+    return devices.manifest_diff(top("o_orderkey % 5 <> 0"), top("o_orderkey % 3 <> 0"))
+
+
+@query("SELECT d.o_orderkey, CASE WHEN s.sequence IS NULL OR d.sequence > s.sequence THEN 'replace' WHEN d.sequence < s.sequence THEN 'stale' WHEN d.digest = s.digest THEN 'repeat' ELSE 'conflict' END AS verdict FROM dv d LEFT JOIN (SELECT * FROM dv WHERE sequence = 2) s ON d.device_id = s.device_id", "dv")
+def anchor_validation(spark, sf_dir):
+    e = _envelopes(spark, sf_dir)
+    return devices.verdicts(e, e.where("sequence = 2").select("device_id", "sequence", "digest")).select("o_orderkey", "verdict")
+
+
+@query("SELECT 'remote:' || (o_custkey % 10) AS origin_id, arg_max('d' || o_orderkey, (o_orderdate, 'd' || o_orderkey)) AS name, count(*) AS events FROM orders GROUP BY 1")
+def origin_merge(spark, sf_dir):
+    slices = table(spark, sf_dir, "orders").select(F.concat(F.lit("remote:"), (F.col("o_custkey") % 10).cast("string")).alias("origin_id"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderdate").alias("updated"), F.lit(1).cast("long").alias("events"))
+    return devices.merged_origins(slices, ["events"])
+
+
+@query("SELECT source, count(*) AS events FROM te WHERE user_id % 5 = 2 GROUP BY 1", "te")
+def scope_filter(spark, sf_dir):
+    origin = F.when(F.col("user_id") % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("remote:"), (F.col("user_id") % 5).cast("string")))
+    return devices.scoped(token_events(spark, sf_dir).withColumn("origin_id", origin), "remote:2").groupBy("source").agg(F.count("*").alias("events"))
+
+
+@query("SELECT source || ' · dev' || d AS source, d || '|' || stream_id AS stream_id, 'remote:' || d AS origin_id, count(*) AS events FROM (SELECT *, CAST(user_id % 3 AS VARCHAR) AS d FROM te) WHERE d <> '0' GROUP BY ALL", "te")
+def remote_mapping(spark, sf_dir):
+    rows = token_events(spark, sf_dir).withColumn("device_id", (F.col("user_id") % 3).cast("string"))
+    known = spark.range(3).select(F.col("id").cast("string").alias("device_id"), F.concat(F.lit("dev"), F.col("id").cast("string")).alias("name"))
+    return devices.remote_events(rows, F.broadcast(known), "0").groupBy("source", "stream_id", "origin_id").agg(F.count("*").alias("events"))
+
+
+@query("SELECT device_id, coalesce(epoch_us(TIMESTAMP '1998-06-01') - seen > 4 * 86400 * CAST(1000000 AS BIGINT) * 30, TRUE) AS stale FROM (SELECT CAST(o_custkey AS VARCHAR) AS device_id, epoch_us(max(o_orderdate)) AS seen FROM orders GROUP BY 1)")
+def freshness_filter(spark, sf_dir):
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("device_id")).agg(C.micros(F.max("o_orderdate")).alias("last_seen_us")).withColumn("interval_s", F.lit(86400 * 30).cast("long"))
+    return devices.freshness(seen, 896659200 * 1_000_000).select("device_id", "stale")
+
+
+@query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{DAY}' + INTERVAL 1 DAY - INTERVAL 5 DAY AND ts < TIMESTAMP '{DAY}' + INTERVAL 1 DAY")
+def retention_window(spark, sf_dir):
+    return devices.retained(table(spark, sf_dir, "events"), DAY, 5).select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' AND o_orderdate + INTERVAL 10 DAY > TIMESTAMP '1995-05-01'")
+def interval_overlap(spark, sf_dir):
+    windows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("covered_from"), (F.col("o_orderdate") + F.expr("interval 10 day")).alias("covered_to"))
+    return devices.overlapping(windows, "1995-05-01", "1995-06-01").select("o_orderkey")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS device_id, CASE WHEN count(*) OVER w > 1 THEN 'n' || s_nationkey || ' ' || row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(s_suppkey AS VARCHAR)) ELSE 'n' || s_nationkey END AS alias FROM supplier WINDOW w AS (PARTITION BY s_nationkey)")
+def device_alias(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("device_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("name"), F.lit("mac").alias("platform"))
+    return devices.aliases(rows).select("device_id", "alias")
+
+
+@query("SELECT event_id FROM te WHERE input_tokens BETWEEN 0 AND 20000 AND output_tokens BETWEEN 0 AND 20000 AND cache_read_tokens BETWEEN 0 AND 20000 AND cache_write_tokens BETWEEN 0 AND 20000 AND reasoning_tokens BETWEEN 0 AND 20000 AND total_tokens > 0", "te")
+def snapshot_events(spark, sf_dir):
+    return devices.valid_events(token_events(spark, sf_dir), 20_000).select("event_id")
+
+
+@query("SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS missing, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)) AS extra")
+def key_set_equality(spark, sf_dir):
+    return devices.same_keys(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")), "k")
+
+
+# Scalars
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", C.json_long("props", "$.k").alias("k"), C.json_valid("props").alias("valid"))
+
+
+@query("SELECT c_custkey FROM customer WHERE starts_with(c_name, (SELECT min(c_name)[1:12] FROM customer))")
+def key_prefix_scan(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.where(C.key_prefix("c_name", c.agg(F.left(F.min("c_name"), F.lit(12))).head()[0])).select("c_custkey")
+
+
+@query("SELECT event_id, coalesce(session_id[1:10], strftime(ts, '%H:%M') || ' session') AS label, coalesce(session_id, coalesce(project_path, 'Unknown Project') || '|' || CAST(CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS VARCHAR)) AS session_key FROM te", "te")
+def session_labels(spark, sf_dir):
+    return token_events(spark, sf_dir).select("event_id", C.session_label(F.lit(None).cast("string"), "session_id", "ts").alias("label"), C.session_key("session_id", "project_path", "ts").alias("session_key"))
+
+
+@query("SELECT event_id, CASE WHEN t < 1000 THEN CAST(t AS VARCHAR) WHEN t < 10000 THEN regexp_replace(printf('%.2f', round(t / 1000.0::DOUBLE, 2)), '0$', '') || 'K' WHEN t < 999950 THEN printf('%.1f', round(t / 1000.0::DOUBLE, 1)) || 'K' ELSE regexp_replace(printf('%.2f', round(t / 1e6, 2)), '0$', '') || 'M' END AS label FROM (SELECT event_id, total_tokens AS t FROM te WHERE total_tokens % 10 <> 5 AND total_tokens % 100 <> 50)", "te")
+def format_tokens(spark, sf_dir):
+    return token_events(spark, sf_dir).where("total_tokens % 10 <> 5 AND total_tokens % 100 <> 50").select("event_id", C.format_tokens("total_tokens").alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN s <= 0 THEN '0m' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s // 60 % 60 = 0 THEN (s // 3600) || 'h' ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm' END AS label FROM (SELECT event_id, event_id * 7 AS s FROM events)")
+def format_duration(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", C.format_duration(F.col("event_id") * 7).alias("label"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN c >= 1000 THEN '$' || printf('%.1f', c / 1000) || 'K' WHEN c >= 100 THEN '$' || printf('%.0f', c) WHEN c >= 10 THEN '$' || printf('%.1f', c) ELSE '$' || printf('%.2f', c) END AS label FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) + 0.0625 + l_linenumber AS c FROM lineitem WHERE floor(l_extendedprice) % 100 <> 50)")
+def format_cost(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("floor(l_extendedprice) % 100 <> 50")
+    return rows.select("l_orderkey", "l_linenumber", C.format_cost(F.floor("l_extendedprice") + F.lit(0.0625) + F.col("l_linenumber")).alias("label"))
+
+
+@query("SELECT event_id, round(CASE WHEN r <= 0 THEN 0.09 WHEN r <= 20 THEN 0.09 + r * (0.055 - 0.09) / 20 WHEN r <= 40 THEN 0.055 + (r - 20) * (0.035 - 0.055) / 20 WHEN r <= 60 THEN 0.035 + (r - 40) * (0.023 - 0.035) / 20 WHEN r <= 80 THEN 0.023 + (r - 60) * (0.016 - 0.023) / 20 ELSE 0.016 END, 9) AS every FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS r FROM events)")
+def frame_interval(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(C.frame_interval((F.col("event_id") % 100).cast("double")), 9).alias("every"))
+
+
+# Audit and export
+
+def _findings(spark, sf_dir):
+    """Every line of every text, and after it one assignment made from the document's id."""
+    planted = F.concat(F.col("text"), F.lit('\napi_token = "'), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 24), F.lit('"'))
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", planted.alias("text"))
+    return audit.findings(audit.lines(docs, "text", "doc_id"), "doc_id", rules=audit.RULES[-1:])
+
+
+@query("SELECT doc_id, rule_name, masked, count(*) AS findings FROM fi GROUP BY ALL", "fi")
+def secret_findings(spark, sf_dir):
+    return _findings(spark, sf_dir).groupBy("doc_id", "rule_name", "masked").agg(F.count("*").alias("findings"))
+
+
+@query("SELECT 'medium' AS severity, 'environmentSecret' AS category, rule_name, count(*) AS findings FROM fi GROUP BY ALL", "fi")
+def secret_facets(spark, sf_dir):
+    return audit.facets(_findings(spark, sf_dir))
+
+
+@query("SELECT doc_id, masked FROM fi ORDER BY doc_id, masked LIMIT 200", "fi")
+def findings_page(spark, sf_dir):
+    return _findings(spark, sf_dir).orderBy("doc_id", "masked").limit(200).select("doc_id", "masked")
+
+
+@query("SELECT c_custkey, length(v) < 12 OR regexp_matches(v, 'x{12}|example') AS placeholder FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'xxxxxxxxxxxx' WHEN 1 THEN 'an-example-key-1' WHEN 2 THEN 'short' ELSE md5(c_name) END AS v FROM customer)")
+def placeholder_filter(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    v = F.when(k == 0, "xxxxxxxxxxxx").when(k == 1, "an-example-key-1").when(k == 2, "short").otherwise(F.md5("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", audit.is_placeholder(v).alias("placeholder"))
+
+
+_CELLS = lambda **kw: ", ".join(f"{kw.get(c, repr(''))} AS {c}" for c in export.COLUMNS)
+_COUNT_CELLS = {c: f"CAST({c} AS VARCHAR)" for c in export.COUNTS}
+_MONEY, _ISO = "printf('%d.%06d', CAST((cost_nano + 500) // 1000 // 1000000 AS BIGINT), CAST((cost_nano + 500) // 1000 % 1000000 AS BIGINT))", "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+_SPAN = {"start_date": f"'{START}'", "end_date": f"'{END}'"}
+
+
+@query(
+    f"""SELECT {_CELLS(section="'total'", name="'All'", cost_usd=_MONEY, active_seconds="printf('%.3f', (SELECT sum(end_us - start_us) FROM sl) / 1e6)", **_COUNT_CELLS, **_SPAN)} FROM (SELECT {_SUMS} FROM pe)
+    UNION ALL SELECT {_CELLS(section="'source'", name="source", source="source", cost_usd=_MONEY, active_seconds="printf('%.3f', active_us / 1e6)", **_COUNT_CELLS, **_SPAN)} FROM (SELECT source, {_SUMS} FROM pe GROUP BY 1) JOIN (SELECT source, sum(end_us - start_us) AS active_us FROM sl GROUP BY 1) USING (source)
+    UNION ALL SELECT {_CELLS(section="'model'", name="model", source="sources", model="model", total_tokens="CAST(total_tokens AS VARCHAR)", cost_usd=f"CASE WHEN known THEN {_MONEY} ELSE '' END", active_seconds="'0.000'", **_SPAN)} FROM (SELECT model, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, sum(total_tokens) AS total_tokens, sum(cost_nano) AS cost_nano, bool_or(price_known) AS known FROM pe WHERE model IS NOT NULL GROUP BY 1)
+    UNION ALL SELECT {_CELLS(section="'project'", name="project_name", source="sources", cost_usd=_MONEY, start_date=_ISO.format("first_at"), end_date=_ISO.format("last_at"), project_path="coalesce(project_path, '')", attribution_quality="quality", **_COUNT_CELLS)} FROM ps
+    UNION ALL SELECT {_CELLS(section="'session'", name="project_name", source="source", model="models", cost_usd=_MONEY, start_date=_ISO.format("first_at"), end_date=_ISO.format("last_at"), project_path="coalesce(project_path, '')", session_id="coalesce(session_id, '')", attribution_quality="quality", **_COUNT_CELLS)} FROM ss""",
+    "te", "pr", "rp", "pe", "sl", "ba", "ae", "ak", "ps", "ss",
+)
+def export_sections(spark, sf_dir):
+    events = priced(spark, sf_dir)
+    totals = reports.totals(events).crossJoin(activity.active_time(_slices(spark, sf_dir)))  # two rows of one
+    models = reports.model_totals(events).withColumnRenamed("sources", "source").withColumn("active_us", F.lit(0).cast("long"))
+    return export.sections(totals, reports.source_stats(events), models, reports.project_stats(events), reports.session_stats(events), START, END)
