@@ -37,11 +37,13 @@ class Tokenizer:
         to_byte = {c: b for b, c in byte_letters().items()}
         raw = lambda s: bytes(to_byte[c] for c in s)
         vocab = {raw(k): v for k, v in spec["model"]["vocab"].items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         pieces = []
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (m.split(" ") if isinstance(m, str) else m))
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
             pieces.append((a, b))
         self.single = [vocab[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -52,22 +54,17 @@ class Tokenizer:
         self.memo: dict[str, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """The tokens of a short piece: the lowest rank first, leftmost among equals."""
-        ids, find = [self.single[b] for b in data], self.merges.get
-        while len(ids) > 1:
-            best = min((m for m in map(find, zip(ids, ids[1:], strict=False)) if m), default=None)
-            if best is None:
-                return ids
-            out, i, rank = [], 0, best[0]
-            while i < len(ids):
-                m = find((ids[i], ids[i + 1])) if i + 1 < len(ids) else None
-                if m and m[0] == rank:
-                    out.append(m[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        """The tokens of a short piece: the pair of the lowest rank first, leftmost among equals."""
+        ids, rank, made, none = [self.single[b] for b in data], self.rank.get, self.made, len(self.made)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i] = made[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
         return ids
 
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:
