@@ -15,6 +15,8 @@ from tallyspark.llm.common import components, each_group, in_blocks, materialize
 NEAREST, SHARED = 16, 8
 #: The reference points are a sample of about 2 * sqrt(N) vectors, within these bounds.
 FEWEST, MOST = 64, 16_384
+#: No two reference points are as near as this, and so many sampled vectors are looked at for each point wanted.
+APART, LOOKED_AT = 0.8, 4
 #: Vectors of an inverted list that meet in one task are at most twice this.
 BLOCK = 1024
 #: Bits of the signature on which shared reference points are counted.
@@ -34,20 +36,37 @@ def unit(values: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def apart(x: np.ndarray, most: int, limit: float = APART) -> np.ndarray:
+    """Rows in order, less those within the limit of one taken before; at most so many."""
+    taken = np.empty((min(most, len(x)), x.shape[1]))
+    n = 0
+    for row in x:
+        if n == len(taken):
+            break
+        if not n or (taken[:n] @ row).max() < limit:
+            taken[n] = row
+            n += 1
+    return taken[:n]
+
+
 def fit_pivots(classes: DataFrame, nearest: int = NEAREST) -> dict[int, np.ndarray]:
     """For each dimension the reference points, in the order in which lists are posted.
 
     A bounded sample: of each dimension the vectors with the smallest hashes,
-    2 * sqrt(N) of them within FEWEST and MOST.  Those that are among the
-    nearest of few sample vectors come first, so that postings go to short lists.
+    LOOKED_AT for each of 2 * sqrt(N) points within FEWEST and MOST.  Of these
+    each is taken that is not too near to one taken before: points inside one
+    dense group would be ordered by chance, so such a group has one.  Points
+    among the nearest of few sample vectors come first, so that postings go to
+    short lists.
     """
     sizes = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1000).collect()
     pivots = {}
     for dim, n in sizes:
         m = min(MOST, max(FEWEST, 1 << int(np.ceil(np.log2(2 * np.sqrt(n))))))
-        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep")).limit(m).select("vec").collect()
-        x = unit(np.array([r[0] for r in sample]))
-        near = np.argsort(-(x @ x.T), axis=1, kind="stable")[:, : nearest + 1]
+        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep")).limit(LOOKED_AT * m).select("vec").collect()
+        sampled = unit(np.array([r[0] for r in sample]))
+        x = apart(sampled, m)
+        near = np.argsort(-(sampled[: 2 * m] @ x.T), axis=1, kind="stable")[:, :nearest]
         popular = np.bincount(near.ravel(), minlength=len(x))
         pivots[dim] = x[np.argsort(popular, kind="stable")]
     return pivots
