@@ -1,0 +1,436 @@
+"""The corpus operators against plain forms of themselves, and on awkward tables."""
+
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tallyspark.llm import bpe, common, html_text, pivots, queries, secrets, shards, simhash, substrings, tiling, toxicity, warc
+
+from . import brute
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+VOCAB = [f"w{i}" for i in range(400)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def corpus(seed=1):
+    """Copies, near copies, shared passages, short and empty texts."""
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.choice([3, 20, 60, 200])) for _ in range(60)]
+    passage = prose(rng, 30)
+    for k in range(12):
+        texts.append(f"{prose(rng, 15)} {passage}\t{prose(rng, k)}")
+        texts.append(texts[k])
+        words = texts[k].split()
+        words[len(words) // 2] = "Other"
+        texts.append("  ".join(words))
+    texts += ["", None, "one", "One\n", "a b", "a a a a a a a a a a a a a a a a a a", "a a a a a a a a a a a a a a a a a a a a"]
+    return [(i * 3, t) for i, t in enumerate(texts)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"src{k % 3}", len(t or "")) for k, (i, t) in enumerate(rows)], DOCS)
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# SimHash
+
+
+def test_masks_cover_every_pair_within_the_radius():
+    rng = random.Random(0)
+    masks = simhash.covering_masks(3)
+    assert len(masks) == 15
+    for _ in range(3000):
+        differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
+        assert any(differ & m == 0 for m in masks)
+
+
+def test_simhash_equals_brute_force(spark):
+    rows = corpus()
+    got = simhash.near_duplicates(frame(spark, rows))
+    got = {r.doc_id: (f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in got.collect()}
+    assert got == brute.simhash(rows)
+
+
+def test_simhash_links_fingerprints_in_small_blocks(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    fps = {i: base[i % 6] ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 5))) for i in range(300)}
+    links = simhash.near_links(spark.createDataFrame(list(fps.items()), "rep long, fp long"), 3, block=16)
+    got = {r.node: r.component for r in common.components(links).collect()}
+    want = brute.components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert {i: got.get(i, i) for i in fps} == want
+
+
+# Embeddings
+
+
+def test_pivots_equal_brute_force_on_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((20, 32))
+    rows = [(i, (centres[i % 20] + rng.standard_normal(32) * 0.15).tolist()) for i in range(300)]
+    rows += [(1000, rows[0][1]), (1001, [2 * x for x in rows[0][1]]), (1002, None), (1003, [0.0] * 32), (1004, [math.nan] * 32), (1005, [math.inf] + [0.0] * 31), (1006, [None] * 32), (1007, []), (1008, [1.0, 2.0])]
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    rows = [(i, None if v is None else [c if c is None else float(np.float32(c)) for c in v]) for i, v in rows]
+    want, got = brute.vectors(rows), {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()}
+    links = sum(n for n, _, _ in want.values())
+    assert links > 1000
+    assert all(got[i][0] <= n for i, (n, _, _) in want.items())
+    assert sum(n for n, _, _ in got.values()) >= 0.97 * links
+    for i in range(1002, 1009):
+        assert got[i] == (0, i, True)
+
+
+def test_pivots_of_nothing(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert pivots.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    none = pivots.near_duplicates(spark.createDataFrame([(1, None, 0), (1, None, 0), (None, [1.0], 0)], schema))
+    assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in none.collect()) == [(0, 0, True), (1, 0, True), (1, 0, True)]
+
+
+def test_pivot_counts_in_small_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, 1, 8, (np.eye(8)[i % 2] + rng.standard_normal(8) * 0.01).tolist()) for i in range(200)]
+    classes = spark.createDataFrame(rows, "rep long, m long, dim int, vec array<double>")
+    described = common.materialize(pivots.describe(classes, pivots.fit_pivots(classes)))
+    n = {r.rep: r.n for r in pivots.found_links(described, 0.95, block=16).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
+    assert sum(n.values()) >= 0.97 * 200 * 99 and max(n.values()) <= 99
+
+
+# Substrings
+
+
+def test_repeats_equal_brute_force(spark):
+    rows = corpus(3) + [(1000, " ".join(VOCAB[:40])), (999, " ".join(VOCAB[5:30])), (1001, " ".join(VOCAB[20:34] * 3))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute.repeats(rows)
+
+
+def test_repeats_of_awkward_rows(spark):
+    long = prose(random.Random(1), 20)
+    rows = [(1, long), (1, long), (1, "other words"), (None, long), (2, long)]
+    got = substrings.remove_repeats(frame(spark, rows), keep_text=True).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r.kept) for r in got) == sorted([(0, 0, long), (1, 0, long), (1, 0, long), (1, 0, "other words"), (2, 20, "")])
+    assert [r.removed for r in got if r.doc_id == 2] == [[[0, 20]]]
+
+
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    data = ("x" * 300 + " " + prose(random.Random(2), 300)).encode()
+    whole = substrings.word_hashes(data)
+    monkeypatch.setattr(substrings, "CHUNK", 64)
+    assert (substrings.word_hashes(data) == whole).all() and len(whole) == 301
+
+
+# Tiling
+
+
+@given(st.lists(st.integers(1, 4), max_size=14), st.lists(st.integers(0, 4), max_size=20), st.integers(2, 4))
+@settings(max_examples=150, deadline=None)
+def test_tiles_equal_greedy_tiling(item, doc, least):
+    ours, plain = tiling.tiles(item, doc, least), brute.tiles(item, doc, least)
+    assert all(item[p : p + n] == doc[q : q + n] for p, q, n in ours)
+    assert sorted((n for _, _, n in ours), reverse=True)[:1] == sorted((n for _, _, n in plain), reverse=True)[:1]
+    for k in (0, 1):
+        taken = [x for t in ours for x in range(t[k], t[k] + t[2])]
+        assert len(taken) == len(set(taken))
+
+
+def benchmark_case(spark):
+    rng = random.Random(9)
+    items = [(i, prose(rng, 30)) for i in range(8)] + [(90, "just three words"), (91, None), (92, ""), (None, "x y z")]
+    parts = items[0][1].split()
+    moved = " ".join(parts[15:] + ["gap"] + parts[:15])
+    rows = [(1, prose(rng, 50) + " " + items[1][1].upper() + "."), (2, prose(rng, 20) + " " + moved), (3, prose(rng, 80)), (4, " ".join(items[2][1].split()[:8])), (5, "say just three words now"), (6, None), (7, ""), (1, items[3][1])]
+    return frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_contamination(spark, held):
+    docs, items = benchmark_case(spark)
+    got = {(r.doc_id, r.item_id): r for r in tiling.matches(docs, items, broadcast_bytes=held).collect()}
+    assert set(got) == {(1, 1), (2, 0), (5, 90), (1, 3)}
+    assert got[2, 0].n_tiles == 2 and got[2, 0].coverage == 1.0
+
+
+def test_contamination_of_nothing(spark, empty):
+    docs, items = benchmark_case(spark)
+    assert tiling.matches(empty, items).count() == 0
+    assert tiling.matches(docs, items.limit(0)).count() == 0
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+PIECES = ["a", "e", " ", "  ", "\n", "\t", "é", "ß", "漢", "😀", "1", "²", "ing", "the", "'s", "'LL", "!", "_", "<|endoftext|>", "<|end", "\x1c", "\x85", "　", "​"]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join) | st.text(st.characters(codec="utf-8"), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_bpe_equals_the_library(text):
+    ours, theirs = bpe.tokenizer(PATH), Tokenizer_of()
+    ids = [i for p in ours.encode(text) for i in p]
+    assert ids == theirs.encode(text, add_special_tokens=False).ids == [i for p in ours.encode_all(text) for i in p]
+    assert "".join(ours.decode(ids)) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def Tokenizer_of(cache={}):  # noqa: B006, N802
+    return cache.setdefault(0, Tokenizer.from_file(PATH))
+
+
+@pytest.mark.parametrize("word", ["a" * 3000, "ab" * 1500, "ingthe" * 500, "".join(random.Random(1).choices("abcdefghilnorst", k=4000))])
+def test_bpe_stream_is_stable(library, word):
+    t = bpe.tokenizer(PATH)
+    parts = [word[k : k + 7].encode() for k in range(0, len(word), 7)]
+    assert list(t.stream(parts)) == library.encode(word, add_special_tokens=False).ids
+
+
+@given(st.lists(st.integers(0, 50256), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_decoding_any_ids(ids):
+    assert "".join(bpe.tokenizer(PATH).decode(ids)) == Tokenizer_of().decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_rows(spark, empty):
+    rows = [(1, "Hello <|endoftext|> world"), (2, None), (None, ""), (1, "x" * 5000)]
+    got = bpe.encode_documents(frame(spark, rows), PATH, keep_ids=True).collect()
+    for r, (i, t) in zip(got, rows, strict=True):
+        ids = Tokenizer_of().encode(t or "", add_special_tokens=False).ids
+        assert (r.doc_id, r.ids, r.n_tokens) == (i, ids, len(ids))
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.encode_documents(empty, PATH).count() == 0
+
+
+# WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>One &amp; two</p><script>x</script>"), (2, None, None), (None, "http://b/", "é" * 50)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses(pages))
+    warc.write(made, str(tmp_path / "out"))
+    found = {r.headers["warc-record-id"]: r for r in warc.read(spark, str(tmp_path / "out")).collect()}
+    assert len(found) == 6 and all(r.whole for r in found.values())
+    for r in made.collect():
+        f = found[r.record_id]
+        assert f.block == r.block and f.headers["warc-refers-to"] == r.refers_to and f.headers["warc-source-payload-digest"] == r.source_digest
+        assert f.headers["warc-block-digest"] == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest()
+    assert {r.block for r in made.where("record_type = 'conversion'").collect()} == {"One & two", "", "é" * 50}
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+# Shards
+
+
+def test_shards(spark):
+    rng = random.Random(4)
+    texts = ["hot copy"] * 150 + [f"pair {k // 2}" for k in range(60)] + [f"single {k}" for k in range(137)] + [None, ""]
+    rng.shuffle(texts)
+    got = shards.assign(frame(spark, list(enumerate(texts))), 16).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for r in got:
+        t = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(t) + 1, zlib.crc32(t))
+    by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(16)}
+    assert all(v == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    links, cut = shards.cut_share(spark.createDataFrame(got)).head()
+    assert cut < 0.95 * links  # a group of nine shards' size cannot stay whole
+    pairs = {}
+    for r in got:
+        pairs.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(v) > 1 for k, v in pairs.items() if k and k.startswith("pair")) <= 3
+
+
+def test_shards_of_awkward_rows(spark, empty):
+    assert shards.assign(empty).count() == 0
+    got = shards.assign(frame(spark, [(1, "a"), (1, "a"), (None, None)])).collect()
+    assert sorted(r.slot for r in got) == [0, 0, 0] and len({r.shard for r in got}) == 3
+
+
+# Toxicity
+
+
+def toxic_rows(n=500, seed=0):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = [rng.choice(VOCAB) for _ in range(rng.choice([5, 40, 300]))]
+        bad = rng.random() < 0.2
+        if bad:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(["badword,", "Vileword", "nastyterm!"]))
+        out.append((i, " ".join(words), int(bad)))
+    return out
+
+
+def test_gradients_are_right():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network.new()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, label = rng.standard_normal((5, 3, 4 + 2 * toxicity.LEARNED)), np.array([1.0, 0, 1])
+    mask = np.arange(5)[:, None] < np.array([5, 2, 4])
+    g, _, _ = net.gradients(x, mask, label)
+    for k in ("Wf", "Wb", "Uf", "Ub", "cb", "A", "a", "v", "w", "b"):
+        p = net.p[k]
+        i = tuple(rng.integers(n) for n in p.shape)
+        was, e, loss = p[i], 1e-3, []
+        for d in (e, -e):
+            p[i] = was + d
+            loss.append(net.gradients(x, mask, label)[2])
+        p[i] = was
+        assert (loss[0] - loss[1]) / (2 * e) == pytest.approx(g[k][i], abs=1e-4)
+
+
+def test_toxicity_is_learnt(spark):
+    rows = toxic_rows()
+    net = toxicity.fit([t for _, t, _ in rows[:400]], [y for _, _, y in rows[:400]])
+    score = toxicity.Scorer(net).scores([t for _, t, _ in rows[400:]])
+    right = [(s >= toxicity.LIMIT) == bool(y) for s, (_, _, y) in zip(score, rows[400:], strict=True)]
+    assert sum(right) >= 0.95 * len(right)
+    odd = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (None, "badword", 9.0)], "doc_id long, text string, Toxicity double")
+    found = toxicity.scored(odd, net)
+    assert found.columns == ["doc_id", "text", "toxicity"] and all(0 <= r.toxicity <= 1 for r in found.collect())
+
+
+def test_a_long_text_is_scored_to_its_end():
+    rows = toxic_rows()
+    net = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    clean = prose(random.Random(8), 5000)
+    low, high = toxicity.Scorer(net).scores([clean, clean + " badword vileword nastyterm"])
+    assert low < toxicity.LIMIT <= high
+
+
+def test_every_word_is_in_a_window():
+    for n in (0, 1, 64, 65, 112, 113, 1000):
+        starts = toxicity.windows(n)
+        assert {w for a in starts for w in range(a, min(n, a + toxicity.WINDOW))} == set(range(n))
+
+
+def test_training_without_both_labels(spark, empty):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    net = toxicity.train(frame(spark, [(1, "x")]), labels)
+    assert toxicity.Scorer(net).scores(["anything"])[0] < toxicity.LIMIT
+    assert toxicity.scored(empty, net).count() == 0
+
+
+def test_held_out_rows(spark):
+    ids = [r.id for r in spark.range(200).where(toxicity.held_out("id")).collect()]
+    assert ids == [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
+
+
+# Secrets
+
+
+def test_secrets(spark):
+    token, sha = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "5ce7e9921c55ff86c2cacfbc7cc734a7f5c63132"
+    rows = [(1, f'Words token = "{token}" and more'), (2, f"see commit {sha} of the build"), (3, "password: your_password_here_1234"), (4, None), (5, ""), (None, "key ghp_" + "a1B2c3D4e5F6" * 3), (1, "x")]
+    got = {(r.doc_id, r.secret): r for r in secrets.scan(frame(spark, rows)).collect()}
+    assert got[1, True].value == token and got[1, True].start == 6 and (2, False) in got and (3, False) in got and (None, True) in got
+    clean = secrets.redact(frame(spark, rows))
+    texts = {(r.doc_id, r.text) for r in clean.collect()}
+    assert (1, 'Words token = "[SECRET]" and more') in texts and (2, rows[1][1]) in texts and (None, "key [SECRET]") in texts and (1, "x") in texts
+    assert clean.columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
+def test_candidates_stand_where_they_are_said_to(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice(["token=abcdefgh1234 ", "é ", "word ", "AKIA" + "A1" * 8 + "\n", '"']) for _ in range(60))
+    found = secrets.candidates(frame(spark, [(1, text)])).collect()
+    assert len(found) > 10 and all(text[r.start : r.start + len(r.found)] == r.found for r in found)
+    assert all(text[: r.start].endswith(r.before) and text[r.start + len(r.found) :].startswith(r.after) for r in found)
+
+
+def test_forest_on_other_findings(spark):
+    made = secrets.labelled_findings(spark, 4000)
+    model = secrets.fit(made.limit(2000))
+    from pyspark.ml.feature import VectorAssembler
+
+    rest = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.with_features(secrets.labelled_findings(spark, 6000).exceptAll(made)))
+    hit = model.transform(rest).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).head()[0]
+    assert hit > 0.95
+
+
+def test_secrets_of_nothing(spark, empty):
+    assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
+# HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
+<div class="cookie-notice">We use cookies, many, many cookies.</div><div class="content"><article><h1>A &amp; B</h1><p>First, a   paragraph
+with <b>bold</b>er text, and more, and more of it.<p>Second, <a href=x>linked</a>, text.<script>var t="</p>";</script></p><ul><li>one<li>two</ul><form>Your name</form></article>
+<div id="comments"><p>Reader says, well, hello, all of you, dear people.</p></div></div><aside>Related, things</aside><footer>&copy; me</footer></body></html>"""
+
+
+def test_html():
+    assert html_text.main_text(PAGE) == "A & B First, a paragraph with bolder text, and more, and more of it. Second, linked, text. one two"
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p>", "&am", "</div></div>", "<div>" * 5000, "<script>x", "<!-- x", "<nav>a</nav>"])
+def test_html_of_odd_pages(page):
+    assert html_text.main_text(page) == {"<": "<", "&am": "&am"}.get(page, "")
+
+
+def test_html_plain_text_and_cut_pages():
+    assert html_text.main_text("just text") == "just text"
+    assert html_text.main_text("<article><p>One, two, three &am") == "One, two, three &am"
+    assert html_text.main_text("<div>" * 3000 + "<p>deep, text</p>") == "deep, text"
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = html_text.extract_pages(pages).collect()
+    assert [r.n_chars for r in got] == [len(r.text) for r in got] and got[2].text == "" and got[0] == got[1]
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+# Shared
+
+
+def test_components_equal_brute_force(spark):
+    rng = random.Random(7)
+    for n in (0, 1, 40):
+        edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(n)] + ([(i, i + 1) for i in range(100, 140)] if n > 1 else [])
+        got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        nodes = {x for e in edges if e[0] != e[1] for x in e}
+        assert got == brute.components(nodes, [e for e in edges if e[0] != e[1]])
+
+
+def test_ranks_are_gapless(spark):
+    df = spark.range(500).withColumn("g", F.col("id") % 3)
+    got = common.ranked(df, ["g"], [F.col("id")], "n", per_bucket=20).collect()
+    for g in range(3):
+        assert sorted(r.n for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run_on_whole_tables(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    table = {"op1": "embeddings", "op10": "pages"}.get(name.split("_")[0], "documents")
+    n = common.table(spark, SF, table).count()
+    rows = df.count()
+    assert rows == n or name.split("_")[0] in ("op2", "op4", "op9")
