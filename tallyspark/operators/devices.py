@@ -98,13 +98,33 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return lost(a, b, "missing").crossJoin(lost(b, a, "extra"))  # two rows of one
 
 
-def digest_of_rows(rows: DataFrame, key: str, columns: list[str], buckets: int = 64) -> DataFrame:
+def digest_of_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, digest) that is equal for equal sets of rows, whatever their order.
 
-    Rows are digested, digests sorted within buckets, and the bucket digests
-    digested: no list holds all rows of a key.
+    Rows are digested, digests sorted within the 256 buckets of their first two
+    digits, and the bucket digests digested: no list holds all rows of a key.
     """
     row = C.sha256(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
-    each = rows.select(key, row.alias("d")).withColumn("b", F.pmod(F.xxhash64("d"), F.lit(buckets)))
+    each = rows.select(key, row.alias("d")).withColumn("b", F.substring("d", 1, 2))
     parts = each.groupBy(key, "b").agg(C.sha256(F.array_join(F.array_sort(F.collect_list("d")), "\n")).alias("d"))
     return parts.groupBy(key).agg(C.sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n")).alias("digest"))
+
+
+def sync_decisions(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(device_id, decision, sequence): upload with the next sequence if source and content changed, else a heartbeat.
+
+    now: (device_id, signature, digest); before: the same and the last sequence.
+    """
+    last = before.select("device_id", F.col("signature").alias("_s"), F.col("digest").alias("_d"), F.col("sequence").alias("_n"))
+    same = F.coalesce((F.col("signature") == F.col("_s")) | (F.col("digest") == F.col("_d")), F.lit(False))
+    n = F.coalesce("_n", F.lit(0).cast("long"))
+    return now.join(last, "device_id", "left").select("device_id", F.when(same, "heartbeat").otherwise("upload").alias("decision"), F.when(same, n).otherwise(n + 1).alias("sequence"))
+
+
+def storage_quota(stored: DataFrame, incoming: DataFrame, most: int) -> DataFrame:
+    """(device_id, used, fits): bytes stored with each incoming snapshot in the place of the device's own."""
+    own = stored.groupBy("device_id").agg(F.sum("bytes").alias("_own"))
+    total = stored.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("_all"))
+    out = incoming.join(own, "device_id", "left").crossJoin(total)  # one row
+    used = F.col("_all") - F.coalesce("_own", F.lit(0)) + F.col("bytes")
+    return out.select("device_id", used.alias("used"), (used <= most).alias("fits"))

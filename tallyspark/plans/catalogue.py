@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import columns as C
 from tallyspark.operators import activity, adapters, audit, dedup, devices, export, folds, pricing, reports
 from tallyspark.operators import ledger as ledgers
+from tallyspark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -612,6 +613,33 @@ def key_set_equality(spark, sf_dir):
     return devices.same_keys(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")), "k")
 
 
+@query("SELECT k AS s_nationkey, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT k, d[1:2] AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM (SELECT s_nationkey AS k, sha256(s_suppkey || '|' || s_name) AS d FROM supplier) GROUP BY k, d[1:2]) GROUP BY k")
+def content_digest(spark, sf_dir):
+    return devices.digest_of_rows(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_suppkey", "s_name"])
+
+
+@query("SELECT c.device_id, CASE WHEN c.o_orderkey % 3 = p.o_orderkey % 3 OR c.o_orderkey % 5 = p.o_orderkey % 5 THEN 'heartbeat' ELSE 'upload' END AS decision, CASE WHEN c.o_orderkey % 3 = p.o_orderkey % 3 OR c.o_orderkey % 5 = p.o_orderkey % 5 THEN 1 ELSE coalesce(p.sequence, 0) + 1 END AS sequence FROM dv c LEFT JOIN (SELECT * FROM dv WHERE sequence = 1) p ON c.device_id = p.device_id WHERE c.sequence = 2", "dv")
+def sync_decisions(spark, sf_dir):
+    seen = _envelopes(spark, sf_dir).select("device_id", (F.col("o_orderkey") % 3).alias("signature"), (F.col("o_orderkey") % 5).alias("digest"), "sequence")
+    return devices.sync_decisions(seen.where("sequence = 2").drop("sequence"), seen.where("sequence = 1"))
+
+
+@query("SELECT device_id, used, used <= 400000000 AS fits FROM (SELECT a.device_id, CAST(t.s - o.s + floor(a.o_totalprice) AS BIGINT) AS used FROM dv a JOIN (SELECT device_id, sum(floor(o_totalprice)) AS s FROM dv WHERE sequence <= 2 GROUP BY 1) o ON a.device_id = o.device_id, (SELECT sum(floor(o_totalprice)) AS s FROM dv WHERE sequence <= 2) t WHERE a.sequence = 3)", "dv")
+def storage_quota(spark, sf_dir):
+    sized = _envelopes(spark, sf_dir).withColumn("bytes", F.floor("o_totalprice").cast("long"))
+    return devices.storage_quota(sized.where("sequence <= 2"), sized.where("sequence = 3").select("device_id", "bytes"), 400_000_000)
+
+
+@query(f"SELECT source, max(us) AS last_us, epoch_us(TIMESTAMP '{NOW}') - max(us) <= CASE source WHEN 'Cursor' THEN 90 ELSE 30 END * CAST(40000000 AS BIGINT) AS active FROM te GROUP BY 1", "te")
+def active_tools(spark, sf_dir):
+    """The clock is set so that the last events of the month are recent for some tools."""
+    now = 1706659200 * 1_000_000
+    events = token_events(spark, sf_dir).withColumn("us", F.lit(now) - F.floor((F.lit(now) - F.col("us")) / 40).cast("long"))
+    seen = live.active_tools(events, now)
+    last = token_events(spark, sf_dir).groupBy("source").agg(F.max("us").alias("last_us"))
+    return last.join(seen.select("source", "active"), "source")
+
+
 # Scalars
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")

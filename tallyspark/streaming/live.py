@@ -92,3 +92,11 @@ def active_tools(events: DataFrame, now_us: int) -> DataFrame:
         limit = F.when(F.col("source") == source, seconds).otherwise(limit)
     last = events.groupBy("source").agg(F.max("us").alias("last_us"))
     return last.withColumn("active", F.lit(now_us) - F.col("last_us") <= limit * 1_000_000)
+
+
+def recent_tool_use(lines: DataFrame, since_us: int, text: str = "text") -> DataFrame:
+    """(path, active): whether a log has a tool call or its result at or after a time."""
+    parts = F.from_json(F.get_json_object(text, "$.message.content"), "array<struct<type: string>>")
+    used = F.coalesce(F.exists(parts, lambda c: c["type"].isin("tool_use", "tool_result")), F.lit(False))
+    at = C.micros(C.iso_timestamp(F.get_json_object(text, "$.timestamp")))
+    return lines.groupBy("path").agg(F.coalesce(F.bool_or(used & (at >= since_us)), F.lit(False)).alias("active"))
