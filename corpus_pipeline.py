@@ -13,7 +13,7 @@ from tallyspark.llm.common import materialize, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit stay; the network is fitted on the documents at hand and their labels."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, net).where(F.col("toxicity") < toxicity.LIMIT).select(docs.columns)
+    return toxicity.scored(docs, net, "_pipeline_score").where(F.col("_pipeline_score") < toxicity.LIMIT).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

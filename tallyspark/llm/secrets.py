@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -155,9 +153,9 @@ def redact(docs: DataFrame, path: str | None = "source", mark: str = "[SECRET]")
     Secrets are joined by doc_id, null to null.  A document's values are
     replaced longest first, so that one within another leaves no rest.
     """
-    found = scan(docs, path).where("secret").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_values"))
-    found = found.withColumn("_values", F.array_sort("_values", lambda a, b: F.length(b) - F.length(a)))
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate("_values", F.col("text").cast("string"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return reduce(lambda d, c: d.drop(c), ("_id", "_values"), joined.withColumns(changed)).select(docs.columns)
+    found = scan(docs, path).where("secret").groupBy(F.col("doc_id").alias("_secrets_of")).agg(F.collect_set("value").alias("_secret_values"))
+    found = found.withColumn("_secret_values", F.array_sort("_secret_values", lambda a, b: F.length(b) - F.length(a)))
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_secrets_of")), "left")
+    text = F.when(F.col("_secret_values").isNull(), F.col("text")).otherwise(F.aggregate("_secret_values", F.col("text").cast("string"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_secret_values").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
+    return joined.withColumns(changed).select(docs.columns)
