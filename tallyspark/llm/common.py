@@ -33,9 +33,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
     It cuts lineage, survives lost executors and is computed once however
     often it is used.  Collecting garbage lets Spark's cleaner drop the
-    shuffle files that only the finished job needed.
+    shuffle files that only finished jobs needed; those of the last one go
+    when the next begins, as Spark holds on to it until then.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tallyspark-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

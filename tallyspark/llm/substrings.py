@@ -116,27 +116,28 @@ def extend(shared: DataFrame, length: int) -> DataFrame:
     """Both ways from each shared anchor: the hashes of the windows of `length` words that chose it.
 
     Overlapping windows together make up the maximal repeats; each is named by
-    96 bits of its words.
+    96 bits of its words.  later: an earlier document holds the anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, marks = b.column("doc_id").to_numpy(), b.column("mark").to_numpy()
-            first, n = b.column("first"), b.column("n")
+            first, n, later = b.column("first"), b.column("n"), b.column("later")
             for i, text in enumerate(b.column("text")):
                 words = word_hashes(_bytes(text.as_py()))
                 lo, count = np.asarray(first[i].values.to_numpy()), np.asarray(n[i].values.to_numpy())
-                at = np.unique(np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()))
+                at, once = np.unique(np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()), return_index=True)
+                behind = np.repeat(later[i].values.to_numpy(zero_copy_only=False), count)[once]
                 one, two = spans(words, length, LEFT)[at], spans(words, length, RIGHT)[at]
                 for k in range(0, len(at), 200_000):
                     s = slice(k, k + 200_000)
                     m = len(at[s])
                     yield pa.record_batch(
-                        [pa.array(one[s].view(np.int64)), pa.array((two[s] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(m, ids[i])), pa.array(np.full(m, marks[i])), pa.array(at[s].astype(np.int32))],
-                        ["w", "c", "doc_id", "mark", "at"],
+                        [pa.array(one[s].view(np.int64)), pa.array((two[s] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(m, ids[i])), pa.array(np.full(m, marks[i])), pa.array(at[s].astype(np.int32)), pa.array(behind[s])],
+                        ["w", "c", "doc_id", "mark", "at", "later"],
                     )
 
-    return shared.mapInArrow(run, "w long, c int, doc_id long, mark long, at int")
+    return shared.mapInArrow(run, "w long, c int, doc_id long, mark long, at int, later boolean")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -150,17 +151,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     """
     spark = docs.sparkSession
     found = materialize(find_anchors(docs, length, anchor))
-    keys = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    keys = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "a")
     keys = materialize(keys)
-    places = found.join(keys, "anchor").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("p"))
-    places = materialize(places.select("doc_id", "mark", F.col("p.first").alias("first"), F.col("p.n").alias("n")))
+    places = found.join(keys, "anchor").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "n", (F.col("a") < F.col("doc_id")).alias("later")))).alias("p"))
+    places = materialize(places.select("doc_id", "mark", *(F.col(f"p.{c}").alias(c) for c in ("first", "n", "later"))))
     discard(spark, found)
     discard(spark, keys)
-    windows = materialize(extend(docs.join(places, ["doc_id", "mark"]).select("doc_id", "mark", "text", "first", "n"), length))
+    windows = materialize(extend(docs.join(places, ["doc_id", "mark"]).select("doc_id", "mark", "text", "first", "n", "later"), length))
     discard(spark, places)
     least = windows.groupBy("w", "c").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w", "c", "a")
     least = materialize(least)
-    again = windows.join(least, ["w", "c"]).where("a < doc_id").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    again = windows.where("later").join(least, ["w", "c"]).where("a < doc_id").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("at"))
     again = materialize(again)
     discard(spark, windows)
     discard(spark, least)
