@@ -1,0 +1,191 @@
+"""Near copies of texts: Jaccard similarity of their five-word shingles, found by MinHash bands and verified exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import components, each_group, in_blocks, materialize
+
+#: Words of a shingle.  Two texts are near copies from a similarity of NUMER / DENOM on.
+WIDTH, NUMER, DENOM = 5, 4, 5
+#: Minima of a signature: bands of so many rows.  At similarity 0.8 a pair shares a band with probability 0.9996.
+BANDS, ROWS = 20, 5
+#: Minima that two signatures must share before the texts are compared; at 0.8 fewer are shared once in ten thousand times.
+SHARED = 65
+#: Members of a bucket that meet in one task are at most twice this; shingles whose minima are taken at once.
+BLOCK, STEP = 512, 2048
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def line_of(text: str | None) -> bytes:
+    """Lower-cased words joined by one space: texts that share it are equal."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def key_of(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line, 7) - (1 << 63)
+
+
+def shingles(line: bytes) -> set[bytes]:
+    """Runs of five words; of fewer words, or none, the whole line."""
+    words = line.split()
+    if len(words) < WIDTH:
+        return {line}
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return {line[a:b] for a, b in zip(starts[: len(words) - WIDTH + 1].tolist(), ends[WIDTH - 1 :].tolist(), strict=True)}
+
+
+def near(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return DENOM * both >= NUMER * (len(a) + len(b) - both)
+
+
+def minima(found: set[bytes]) -> np.ndarray:
+    """The smallest value of each hash function over the shingles, in steps of bounded memory."""
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in found]), np.uint64)
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), STEP):
+        np.minimum(low, (_FACTORS[:, None] * hashes[None, at : at + STEP]).min(1), out=low)
+    return low
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, sign, buckets): a byte of each minimum, and each band's bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, signs, buckets = [], [], []
+            for t in b.column(1):
+                line = line_of(t.as_py())
+                low = minima(shingles(line))
+                keys.append(key_of(line))
+                signs.append(low.astype(np.uint8).tobytes())
+                buckets.append([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)])
+            yield pa.record_batch([b.column(0), pa.array(keys, pa.int64()), pa.array(signs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "key", "sign", "buckets"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, sign binary, buckets array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def agreement(group: pa.Table) -> np.ndarray:
+    """How many minima each two members of a block pair share; zero where another block pair compares them."""
+    own = group.column("_own").to_numpy()
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint8).reshape(len(own), -1)
+    left = np.flatnonzero(own == lo)
+    right = left if lo == hi else np.flatnonzero(own == hi)
+    common = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(sign.shape[1]):
+        common += sign[left, k][:, None] == sign[right, k][None, :]
+    out = np.zeros((len(own), len(own)), np.uint8)
+    out[np.ix_(left, right)] = common
+    out[np.ix_(right, left)] = common.T
+    return out
+
+
+def forest(w: np.ndarray, bar: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with w >= bar that takes the largest first (Prim)."""
+    n = len(w)
+    best, via, todo, out = np.zeros(n, np.int16), np.zeros(n, np.int64), np.ones(n, bool), []
+    for _ in range(n):
+        at = int(np.argmax(np.where(todo, best, -1)))
+        if best[at] >= bar:
+            out.append((at, int(via[at])))
+        todo[at] = False
+        more = w[at] > best
+        best[more], via[more] = w[at][more], at
+    return out
+
+
+def _pairs(dealt: DataFrame, every: bool) -> DataFrame:
+    """(a, b) of the dealt buckets: each block pair's spanning forest, or every likely pair of different components."""
+    keys = ["bucket", "lo", "hi"]
+
+    def links(group: pa.Table) -> pa.RecordBatch | None:
+        key, part = group.column("key").to_numpy(), group.column("part").to_numpy()
+        w = agreement(group)
+        if every:
+            i, j = np.nonzero(np.triu((w >= SHARED) & (part[:, None] != part[None, :]), 1))
+        else:
+            found = np.array(forest(w, SHARED), np.int64).reshape(-1, 2)
+            i, j = found[:, 0], found[:, 1]
+        if not len(i):
+            return None
+        return pa.record_batch([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["a", "b"])
+
+    dealt = dealt.select(*keys, "_own", "key", "sign", "part").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lambda it: each_group(it, keys, links), "a long, b long").where("a <> b").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b), written, with `near`: what the exact similarity of the two texts says."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [key_of(line_of(t.as_py())) for t in b.column(0)]
+            yield pa.record_batch([pa.array(keys, pa.int64()), b.column(0)], ["key", "text"])
+
+    wanted = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(keyed, "key long, text string")
+    texts = materialize(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            memo: dict[int, set[bytes]] = {}
+            out = []
+            for x, y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if len(memo) > 64:
+                    memo.clear()
+                for k, text in ((x, s), (y, t)):
+                    if k not in memo:
+                        memo[k] = shingles(line_of(text.as_py()))
+                out.append(near(memo[x], memo[y]))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "near"])
+
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
+    return materialize(both.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long, near boolean"))
+
+
+def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) for each document.
+
+    Texts with the same words are one class.  Two classes are near copies if
+    the Jaccard similarity of their five-word shingles is at least 0.8;
+    component_id is the smallest doc_id that links of near copies reach.
+    Candidates share a MinHash band; a bucket of two is a candidate, a larger
+    one is compared by signatures in bounded block pairs.  Of those first a
+    spanning forest is verified on the texts, then every likely pair that the
+    verified links have not joined.  A null or empty text is a class like any
+    other.  Repeated rows each get their row; a null doc_id is kept and names
+    no component.  An empty table gives an empty result.
+    """
+    prints = materialize(signatures(docs))
+    classes = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("buckets").alias("buckets")))
+    postings = classes.select("key", F.explode("buckets").alias("bucket"))
+    sizes = materialize(postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"))
+    many = in_blocks(postings, "bucket", "key", sizes.where("n > 2").select("bucket", "n"), block)
+    signs = classes.select("key", "sign")
+    first = _pairs(many.join(signs, "key").withColumn("part", F.lit(0).cast("long")), False)
+    pairs = materialize(first.unionByName(sizes.where("n = 2").select("a", "b")).distinct())
+    tested = verified(docs, pairs)
+    found = components(tested.where("near"))
+    parts = found.select(F.col("node").alias("key"), "component")
+    held = many.join(signs, "key").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
+    rest = materialize(_pairs(held, True).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        found = components(tested.where("near").unionByName(verified(docs, rest).where("near")))
+        parts = found.select(F.col("node").alias("key"), "component")
+    named = classes.select("key", "rep").join(parts, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("part"))
+    least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    named = materialize(named.join(least, "part").select("key", "component_id"))
+    return prints.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

@@ -1,0 +1,53 @@
+"""The near-dedup stage on planted near copies, against brute force."""
+
+import itertools
+import random
+
+import corpus_pipeline as pipeline
+from tallyspark.llm import near_copies
+
+from . import brute
+from .test_operators import SF, frame, prose
+
+
+def jaccard_components(rows):
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return brute.components(list(sets), links), links
+
+
+def planted(seed=1):
+    """Texts with copies that differ in a few words, some just under the limit, and a dense group of such copies."""
+    rng, rows = random.Random(seed), []
+    for k in range(80):
+        words = prose(rng, rng.choice([3, 60, 100, 300])).split()
+        rows.append(" ".join(words))
+        for n in (1, 2, 4, 6):
+            other = list(words)
+            for at in rng.sample(range(len(words)), min(n, len(words))):
+                other[at] = f"changed{n}"
+            rows.append("  ".join(other).upper() if k % 2 else " ".join(other))
+    base = prose(rng, 120).split()
+    for k in range(100):
+        other = list(base)
+        other[rng.randrange(120)] = other[rng.randrange(120)] = f"x{k}"
+        rows.append(" ".join(other))
+    return [(i * 2, t) for i, t in enumerate([*rows, "", None, rows[0]])]
+
+
+def test_planted_near_copies_equal_brute_force(spark):
+    rows = planted()
+    want, links = jaccard_components(rows)
+    assert len(links) > 500
+    for block in (near_copies.BLOCK, 16):
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, rows), block).collect()} == want
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    rows = planted(2)
+    want, _ = jaccard_components(rows)
+    assert {r.doc_id for r in pipeline.near_dedup(spark, frame(spark, rows), SF).collect()} == set(want.values())
