@@ -194,8 +194,8 @@ def velocities(samples: DataFrame, key: str = "string", weight: float = 0.65, le
     weight, least_s = min(max(weight, 0.0), 1.0), max(least_s, 0.1)
 
     def step(state: Velocity | None, row: Any) -> tuple[Velocity, list[tuple]]:
-        state, rate = velocity(state, row.day, row.at_us / 1e6, int(row.tokens), weight, least_s)
-        return state, [(row.key, row.at_us, row.tokens, rate)]
+        state, rate = velocity(state, row.day, row.at_us, int(row.tokens), weight, least_s * 1e6)  # whole microseconds: seconds since 1970 lose digits
+        return state, [(row.key, row.at_us, row.tokens, rate * 1e6)]
 
     return fold(samples, ["key"], ["at_us"], step, f"key {key}, at_us long, tokens long, rate double")
 

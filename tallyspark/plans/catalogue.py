@@ -509,9 +509,13 @@ def replay_suppression(spark, sf_dir):
     SELECT CAST(user_id AS VARCHAR) AS key, us AS at_us, total AS tokens, round(v, 6) AS rate FROM r"""
 )
 def velocity_ewma(spark, sf_dir):
+    return _velocity(token_events(spark, sf_dir).where("user_id < 30"))
+
+
+def _velocity(events):
     from pyspark.sql import Window
 
-    rows = token_events(spark, sf_dir).where("user_id < 30").withColumn("day", C.day_key("ts"))
+    rows = events.withColumn("day", C.day_key("ts"))
     w = Window.partitionBy("user_id", "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     samples = rows.select(F.col("user_id").cast("string").alias("key"), "day", F.col("us").alias("at_us"), F.sum("output_tokens").over(w).alias("tokens"))
     return folds.velocities(samples).withColumn("rate", F.round("rate", 6))
@@ -534,6 +538,12 @@ def ledger_status(spark, sf_dir):
     return ledgers.status(table(spark, sf_dir, "lineitem").select(F.floor("l_quantity").cast("long").alias("input_tokens"), *(zero.alias(c) for c in C.COUNTERS[1:])))
 
 
+@query(ORACLE["velocity_ewma"].replace(" WHERE user_id < 30", ""))
+def velocity_ewma_all(spark, sf_dir):
+    """velocity_ewma over every user."""
+    return _velocity(token_events(spark, sf_dir))
+
+
 # Devices
 
 def _envelopes(spark, sf_dir):
@@ -663,6 +673,16 @@ def format_tokens(spark, sf_dir):
     return token_events(spark, sf_dir).where("total_tokens % 10 <> 5 AND total_tokens % 100 <> 50").select("event_id", C.format_tokens("total_tokens").alias("label"))
 
 
+_TENTHS, _HUNDREDTHS = "(({0} + {1} // 20) // ({1} // 10) // 10) || '.' || (({0} + {1} // 20) // ({1} // 10) % 10)", "regexp_replace((({0} + {1} // 200) // ({1} // 100) // 100) || '.' || lpad(CAST(({0} + {1} // 200) // ({1} // 100) % 100 AS VARCHAR), 2, '0'), '0$', '')"
+_UNITS = lambda t: " ".join(f"WHEN {t} < {top} THEN CASE WHEN {t} >= {10 * unit} THEN {_TENTHS.format(t, unit)} ELSE {_HUNDREDTHS.format(t, unit)} END || '{name}'" for top, unit, name in ((999_950, 1000, "K"), (999_950_000, 1_000_000, "M"), (10**18, 10**9, "B")))
+
+
+@query(f"SELECT event_id, CASE WHEN total_tokens < 1000 THEN CAST(total_tokens AS VARCHAR) {_UNITS('total_tokens')} END AS label FROM te", "te")
+def format_tokens_all(spark, sf_dir):
+    """format_tokens of every event; the SQL rounds ties up in whole numbers, as the operator does."""
+    return token_events(spark, sf_dir).select("event_id", C.format_tokens("total_tokens").alias("label"))
+
+
 @query("SELECT event_id, CASE WHEN s <= 0 THEN '0m' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s // 60 % 60 = 0 THEN (s // 3600) || 'h' ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm' END AS label FROM (SELECT event_id, event_id * 7 AS s FROM events)")
 def format_duration(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.format_duration(F.col("event_id") * 7).alias("label"))
@@ -670,10 +690,19 @@ def format_duration(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN c >= 1000 THEN '$' || printf('%.1f', c / 1000) || 'K' WHEN c >= 100 THEN '$' || printf('%.0f', c) WHEN c >= 10 THEN '$' || printf('%.1f', c) ELSE '$' || printf('%.2f', c) END AS label FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) + 0.0625 + l_linenumber AS c FROM lineitem WHERE floor(l_extendedprice) % 100 <> 50)")
 def format_cost(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("floor(l_extendedprice) % 100 <> 50")
+    return _cost_labels(table(spark, sf_dir, "lineitem").where("floor(l_extendedprice) % 100 <> 50"))
+
+
+def _cost_labels(rows):
     return rows.select("l_orderkey", "l_linenumber", C.format_cost(F.floor("l_extendedprice") + F.lit(0.0625) + F.col("l_linenumber")).alias("label"))
 
 
+@query(ORACLE["format_cost"].replace(" WHERE floor(l_extendedprice) % 100 <> 50", ""))
+def format_cost_all(spark, sf_dir):
+    """format_cost of every line; the sixteenth keeps each amount off a rounding tie."""
+    return _cost_labels(table(spark, sf_dir, "lineitem"))
+
+
 @query("SELECT event_id, round(CASE WHEN r <= 0 THEN 0.09 WHEN r <= 20 THEN 0.09 + r * (0.055 - 0.09) / 20 WHEN r <= 40 THEN 0.055 + (r - 20) * (0.035 - 0.055) / 20 WHEN r <= 60 THEN 0.035 + (r - 40) * (0.023 - 0.035) / 20 WHEN r <= 80 THEN 0.023 + (r - 60) * (0.016 - 0.023) / 20 ELSE 0.016 END, 9) AS every FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS r FROM events)")
 def frame_interval(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(C.frame_interval((F.col("event_id") % 100).cast("double")), 9).alias("every"))
@@ -681,11 +710,11 @@ def frame_interval(spark, sf_dir):
 
 # Audit and export
 
-def _findings(spark, sf_dir):
+def _findings(spark, sf_dir, rules=audit.RULES[-1:]):
     """Every line of every text, and after it one assignment made from the document's id."""
     planted = F.concat(F.col("text"), F.lit('\napi_token = "'), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 24), F.lit('"'))
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", planted.alias("text"))
-    return audit.findings(audit.lines(docs, "text", "doc_id"), "doc_id", rules=audit.RULES[-1:])
+    return audit.findings(audit.lines(docs, "text", "doc_id"), "doc_id", rules=rules)
 
 
 @query("SELECT doc_id, rule_name, masked, count(*) AS findings FROM fi GROUP BY ALL", "fi")
@@ -703,6 +732,39 @@ def findings_page(spark, sf_dir):
     return _findings(spark, sf_dir).orderBy("doc_id", "masked").limit(200).select("doc_id", "masked")
 
 
+def _rule_sql(r: audit.Rule) -> str:
+    """What one rule finds in li.  DuckDB's patterns have no lookahead, so a prefix that is ruled out is looked at in the value."""
+    near = " OR ".join(f"contains(line, '{x}')" for x in r.near) or "TRUE"
+    head = "rpad(translate(split_part(value, '.', 1), '-_', '+/'), CAST(ceil(length(split_part(value, '.', 1)) / 4) * 4 AS INTEGER), '=')"
+    named = f"TRY(decode(from_base64({head})))"
+    valid = {"Private key block": "TRUE", "JWT": f"coalesce(json_extract_string(CASE WHEN json_valid({named}) THEN {named} END, '$.alg'), json_extract_string(CASE WHEN json_valid({named}) THEN {named} END, '$.typ')) IS NOT NULL"}
+    real = f"""length(value) >= {audit.SHORTEST} AND NOT regexp_matches(lower(value), '^(\\*+|x+)$|{"|".join(audit.PLACEHOLDERS)}')"""
+    out = " AND NOT starts_with(value, 'sk-ant-')" if "(?!ant-)" in r.pattern else ""
+    pattern = r.pattern.replace("(?!ant-)", "").replace("'", "''")
+    return f"SELECT doc_id, '{r.name}' AS rule_name, '{r.severity}' AS severity, '{r.category}' AS category, value FROM (SELECT doc_id, unnest(regexp_extract_all(line, '{pattern}', {r.group})) AS value FROM li WHERE {near}) WHERE {valid.get(r.name, real)}{out}"
+
+
+PARTS["fa"] = f"fa AS (SELECT *, CASE WHEN contains(value, 'PRIVATE KEY') THEN '{audit.PEM}' ELSE {_MASK} END AS masked FROM ({' UNION ALL '.join(map(_rule_sql, audit.RULES))}))"
+
+
+@query("SELECT doc_id, rule_name, masked, count(*) AS findings FROM fa GROUP BY ALL", "fi", "fa")
+def secret_findings_all(spark, sf_dir):
+    """secret_findings by all rules."""
+    return _findings(spark, sf_dir, audit.RULES).groupBy("doc_id", "rule_name", "masked").agg(F.count("*").alias("findings"))
+
+
+@query("SELECT severity, category, rule_name, count(*) AS findings FROM fa GROUP BY ALL", "fi", "fa")
+def secret_facets_all(spark, sf_dir):
+    """secret_facets by all rules."""
+    return audit.facets(_findings(spark, sf_dir, audit.RULES))
+
+
+@query("SELECT doc_id, rule_name, masked FROM fa ORDER BY severity, doc_id, rule_name, masked LIMIT 200", "fi", "fa")
+def findings_page_all(spark, sf_dir):
+    """findings_page by all rules, the severe first."""
+    return _findings(spark, sf_dir, audit.RULES).orderBy(C.severity_rank("severity"), "doc_id", "rule_name", "masked").limit(200).select("doc_id", "rule_name", "masked")
+
+
 @query("SELECT c_custkey, length(v) < 12 OR regexp_matches(v, 'x{12}|example') AS placeholder FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'xxxxxxxxxxxx' WHEN 1 THEN 'an-example-key-1' WHEN 2 THEN 'short' ELSE md5(c_name) END AS v FROM customer)")
 def placeholder_filter(spark, sf_dir):
     k = F.col("c_custkey") % 4
