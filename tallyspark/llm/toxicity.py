@@ -18,6 +18,8 @@ WINDOW, STRIDE = 64, 48
 WORDS, TRIGRAMS, LEARNED, HIDDEN = 1 << 16, 1 << 12, 4, 8
 #: Labelled rows that the network is fitted on, at most: those with the smallest hashes.
 ROWS = 5000
+#: Bytes of a word that are one input, and characters that the pieces of a longer word share.
+PIECE, OVERLAP = 64, 5
 #: A document is rejected from this score on.
 LIMIT = 0.3
 #: Words kept in a worker's memo before it starts anew, and windows that are scored at once.
@@ -32,7 +34,7 @@ DECAY = 0.05
 def buckets(words: list[str]) -> tuple[np.ndarray, ...]:
     """Of words less their outer punctuation: each one's bucket; the buckets of the trigrams and of the runs of six
     characters (bytes, in a frame that marks begin and end) from each place of each word; where each word's begin."""
-    bare = [(w.strip(MARKS) or w[:1]).encode("utf-8", "surrogatepass")[:64] for w in words]
+    bare = [(w.strip(MARKS) or w[:1]).encode("utf-8", "surrogatepass")[:PIECE] for w in words]
     own = np.fromiter((zlib.crc32(w) for w in bare), np.int64, len(bare)) % WORDS
     data = np.frombuffer(b"<" + b"><".join(bare) + b">", np.uint8).astype(np.uint32)
     sizes = np.fromiter(map(len, bare), np.int64, len(bare))  # as many trigrams as bytes, with both frames
@@ -58,7 +60,28 @@ def _all_buckets(words: list[str], step: int = 20_000) -> tuple[np.ndarray, ...]
 
 
 def split(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Words; one of more than PIECE bytes in successive pieces of at most so many that overlap by OVERLAP characters."""
+    words = (text or "").lower().split()
+    if all(len(w) * 4 <= PIECE or len(w.encode("utf-8", "surrogatepass")) <= PIECE for w in words):
+        return words
+    return [p for w in words for p in _pieces(w)]
+
+
+def _fits(word: str) -> int:
+    """How many of its first characters have at most PIECE bytes."""
+    sizes = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word])
+    return int(np.searchsorted(sizes, PIECE, "right"))
+
+
+def _pieces(word: str) -> Iterator[str]:
+    at = 0
+    while len(word) - at > PIECE // 4:
+        end = at + _fits(word[at : at + PIECE])
+        yield word[at:end]
+        if end == len(word):
+            return
+        at = end - OVERLAP
+    yield word[at:]
 
 
 def windows(n: int) -> list[int]:
