@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 #: Names that go before a secret, as in `token = "..."`.
 NAMES = r"(?:passwords?|passwd|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth[_-]?keys?|private[_-]?keys?|credentials?)"
 ASSIGNED = rf"(?i:\b[a-z0-9_-]{{0,32}}{NAMES}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)"
-PREFIXED = r"\b(?:sk-[A-Za-z0-9_-]{20,256}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,256}|npm_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,256}|(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{5,4096}\.[A-Za-z0-9_-]{10,4096}\.[A-Za-z0-9_-]{10,4096})"
-PEM = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
-RANDOM = r"\b(?=[A-Za-z_]{0,32}[0-9])[A-Za-z0-9_+/=-]{20,4096}"
-CANDIDATE = rf"{ASSIGNED}[^\s\"',;]{{8,4096}}|{PREFIXED}|{PEM}|{RANDOM}"
+PREFIXED = r"\b(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|npm_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16,}|AIza[A-Za-z0-9_-]{35,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
+#: A key block to its END line, or to the text's end without one.
+PEM = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]{0,32}PRIVATE KEY-----|\z)"
+#: A whole token with a digit; what stands before an equals sign is a name and no part of it.
+RANDOM = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/=-]{20,}"
+CANDIDATE = rf"{ASSIGNED}(?:{PEM}|[^\s\"',;]{{8,}})|{PREFIXED}|{PEM}|{RANDOM}"
 #: Characters of text on either side in which neighbouring words are looked for.
 NEAR = 64
 #: A short dictionary: common words and those of placeholders and identifiers.
@@ -103,7 +105,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     assign = F.concat(name, pick("eq", " = ", "=", ": ", '="', ' = "', ': "'))
     prose, code = F.concat(word("a"), F.lit(" "), word("b"), F.lit(" ")), F.concat(word("c"), F.lit(" = "))
     known = pick(
-        "known", F.concat(F.lit("sk-"), F.left(letters, F.lit(40))), F.concat(F.lit("ghp_"), F.left(letters, F.lit(36))), F.concat(F.lit("AKIA"), F.upper(F.left(hexes, F.lit(16)))), F.concat(F.lit("xoxb-"), F.left(letters, F.lit(30)))
+        "known", F.concat(F.lit("sk-"), F.left(letters, F.lit(40))), F.concat(F.lit("ghp_"), F.left(letters, F.lit(36))), F.concat(F.lit("AKIA"), F.upper(F.left(hexes, F.lit(16)))), F.concat(F.lit("xoxb-"), F.left(letters, F.lit(30))),
+        F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(letters, 8), F.lit("\n-----END RSA PRIVATE KEY-----")),
     )
     random = pick("random", F.left(hexes, F.lit(40)), F.left(hexes, F.lit(32)), hexes, F.left(letters, size), F.concat(F.left(letters, F.lit(9)), F.lit("!"), F.left(hexes, F.lit(3))))
     placeholder = F.concat_ws("_", word("p"), word("q"), word("r"), pick("s", "1234", "here", "0000", "example", "xxxx", "2024"))
@@ -111,8 +114,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     number = F.concat(F.lit("20240101"), F.lpad(F.pmod(F.xxhash64(i), F.lit(10**15)).cast("string"), 15, "0"))
     real = F.pmod(i, F.lit(2)) == 1
     kind = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(6))
+    alone = real & (kind == 3)
+    mixed = F.concat(letters, F.left(hexes, F.lit(8)))
+    slashed = pick("alone", F.left(hexes, F.lit(40)), hexes, F.left(letters, F.lit(40)), F.concat_ws("/", F.left(mixed, F.lit(13)), F.substring(mixed, 14, 7), F.substring(mixed, 21, 18)), F.concat_ws("+", F.left(mixed, F.lit(15)), F.substring(mixed, 16, 25)))
     found = (
-        F.when(real & (kind < 4), F.concat(assign, random))
+        F.when(real & (kind < 3), F.concat(assign, random))
+        .when(alone, slashed)
         .when(real, known)
         .when(kind == 0, F.concat(assign, placeholder))
         .when(kind == 1, placeholder)
@@ -121,7 +128,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         .when(kind == 4, F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)))
         .otherwise(F.concat(assign, F.repeat(pick("rep", "x", "*", "abc", "0", "1234"), 12)))
     )
-    before = F.when(real, pick("before", prose, code, F.lit(""))).when(kind.isin(2, 4), F.concat(prose, said)).otherwise(pick("before2", prose, code))
+    told = F.concat(prose, pick("told", "aws key ", "Authorization: Bearer ", "the api key is ", "login with ", "oauth ", "my secret is "))
+    before = F.when(alone, told).when(real, pick("before", prose, code, F.lit(""))).when(kind.isin(2, 4), F.concat(prose, said)).otherwise(pick("before2", prose, code))
     path = F.when(real, pick("path", "src1", "config.env", "web/app.py", "src12")).otherwise(pick("path2", "src3", "tests/fixtures.py", "docs/readme", "src9", "app.lock"))
     made = spark.range(n).select(real.cast("double").alias("label"), path.alias("path"), found.alias("found"), before.alias("before"), F.concat(F.lit(" "), word("z")).alias("after"))
     return made.withColumn("value", F.regexp_replace("found", F.concat(F.lit("^"), F.lit(ASSIGNED)), F.lit("")))
