@@ -13,6 +13,9 @@ from tallyspark.llm.common import components, each_group, in_blocks, materialize
 
 #: Reference points of a vector's description, and how many of them two linked vectors must share.
 NEAREST, SHARED = 16, 8
+#: The finer the points, the fewer two vectors at the threshold share: up to so many points, so many must be shared.
+SHARED_UP_TO = ((512, SHARED), (1024, 7), (4096, 6))
+SHARED_BEYOND = 5
 #: The reference points are a sample of about 2 * sqrt(N) vectors, within these bounds.
 FEWEST, MOST = 64, 16_384
 #: No two reference points are as near as this, and so many sampled vectors are looked at for each point wanted.
@@ -72,6 +75,11 @@ def fit_pivots(classes: DataFrame, nearest: int = NEAREST) -> dict[int, np.ndarr
     return pivots
 
 
+def shared_of(points: int) -> int:
+    """How many reference points two linked vectors must share where there are so many."""
+    return next((n for most, n in SHARED_UP_TO if points <= most), SHARED_BEYOND)
+
+
 def describe(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
     """classes with `order`, the numbers of the nearest reference points, nearest first."""
     held = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST points of each dimension
@@ -93,22 +101,29 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
     return classes.mapInArrow(run, f"rep long, m long, dim int, vec {kind}, order array<int>")
 
 
-def found_links(described: DataFrame, threshold: float, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def found_links(described: DataFrame, threshold: float, nearest: int = NEAREST, shared: int | dict[int, int] = SHARED, block: int = BLOCK) -> DataFrame:
     """(rep, root, n): for a vector in a list, how many rows it links there and the local component's smallest.
 
     Two sets of `nearest` points that share `shared` of them have a common one
     among the first nearest - shared + 1 in the fixed order, so only those are
     posted.  A pair that meets in several lists counts in its first common one.
+    `shared` may differ by dimension.  Signatures fold the points, so what they
+    have in common is taken as an upper bound: their own collisions are added.
     """
-    first = nearest - shared + 1
-    posted = F.slice(F.array_sort("order"), 1, first)
+    by_dim = shared if isinstance(shared, dict) else {}
+    least = SHARED if isinstance(shared, dict) else shared
+    first = F.lit(nearest - least + 1)
+    for d, n in ((d, n) for d, n in by_dim.items() if n != least):
+        first = F.when(F.col("dim") == d, nearest - n + 1).otherwise(first)
+    posted = F.slice(F.array_sort("order"), F.lit(1), first)
     postings = described.select("rep", "m", "dim", "vec", "order", F.explode(posted).alias("pivot")).withColumn("list", F.xxhash64("dim", "pivot"))
     sizes = materialize(described.select("dim", F.explode(posted).alias("pivot")).groupBy(F.xxhash64("dim", "pivot").alias("list")).agg(F.count("*").alias("n")).where("n > 1"))
     keys = ["list", "lo", "hi"]
 
     def links(group: pa.Table) -> pa.RecordBatch | None:
         rep, m, own = (group.column(c).to_numpy() for c in ("rep", "m", "_own"))
-        lo, hi, pivot = (group.column(c)[0].as_py() for c in ("lo", "hi", "pivot"))
+        lo, hi, pivot, dim = (group.column(c)[0].as_py() for c in ("lo", "hi", "pivot", "dim"))
+        need = by_dim.get(dim, least)
         n = len(rep)
         order = np.stack([np.asarray(o) for o in group.column("order").to_pylist()])
         bits = np.zeros((n, SIGNATURE), bool)
@@ -121,7 +136,9 @@ def found_links(described: DataFrame, threshold: float, nearest: int = NEAREST,
         common = np.zeros((len(left), len(right)), np.uint16)
         for w in range(sign.shape[1]):
             common += np.bitwise_count(sign[left, w][:, None] & sign[right, w][None, :])
-        i, j = np.nonzero(common >= min(shared, order.shape[1]))
+        lost = (order.shape[1] - bits.sum(1)).astype(np.uint16)
+        common += np.minimum(lost[left][:, None], lost[right][None, :])
+        i, j = np.nonzero(common >= min(need, order.shape[1]))
         if lo == hi:
             i, j = i[i < j], j[i < j]
         a, b = left[i], right[j]
@@ -133,7 +150,7 @@ def found_links(described: DataFrame, threshold: float, nearest: int = NEAREST,
         a, b = a[keep], b[keep]
         if not len(a):
             return None
-        heads = np.sort(order, axis=1)[:, :first]
+        heads = np.sort(order, axis=1)[:, : nearest - need + 1]
         once = np.zeros(len(a), bool)
         for at in range(0, len(a), 65_536):
             s = slice(at, at + 65_536)
@@ -146,16 +163,16 @@ def found_links(described: DataFrame, threshold: float, nearest: int = NEAREST,
         return pa.record_batch([pa.array(rep[some]), pa.array(rep[root[some]]), pa.array(count[some].astype(np.int64))], ["rep", "root", "n"])
 
     dealt = in_blocks(postings, "list", "rep", sizes, block)
-    dealt = dealt.select(*keys, "_own", "pivot", "rep", "m", "vec", "order").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "_own", "dim", "pivot", "rep", "m", "vec", "order").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(lambda it: each_group(it, keys, links), "rep long, root long, n long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, nearest: int = NEAREST, shared: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector.
 
     Links are pairs with a cosine of at least the threshold, in double
-    precision, found among vectors that share reference points; no other pair
-    counts.  Equal vectors are one class of the index and link each other.
+    precision, found among vectors that share reference points, the fewer the
+    more points there are; no other pair counts.  Equal vectors are one class of the index and link each other.
     Vectors that are null, empty, zero or hold null or non-finite components,
     and vectors of different dimension, link with nothing.  Repeated rows count
     as other vectors; a row with a null vec_id is kept, has no component and is
@@ -173,7 +190,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, nearest: int =
         found = components(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
         counts = found.select(F.col("node").alias("rep"), F.lit(0).cast("long").alias("n"))
     else:
-        links = materialize(found_links(described, threshold, nearest, shared))
+        need = {dim: shared or shared_of(len(points)) for dim, points in pivots.items()}
+        links = materialize(found_links(described, threshold, nearest, need))
         found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
         counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     named = classes.select("k1", "k2", "rep", "m").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
