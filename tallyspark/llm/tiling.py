@@ -106,7 +106,8 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]], seed: int) -> None:
         self.seed = seed
         self.ids: dict[str, int] = {}
-        self.items = {i: [self.ids.setdefault(w, len(self.ids) + 1) for w in tokens(t)] for i, t in items}
+        self.items = {r: [self.ids.setdefault(w, len(self.ids) + 1) for w in tokens(t)] for r, (_, t) in enumerate(items)}
+        self.names = [i for i, _ in items]  # an id may name several texts
         self.of: dict[int, set[int]] = defaultdict(set)
         for i, ids in self.items.items():
             for h in rolling(np.asarray(ids), min(seed, len(ids))).tolist() if ids else ():
@@ -180,7 +181,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, see
                 for i in sorted(bench.candidates(doc)):
                     share, n, longest = coverage(bench.items[i], doc.tolist(), seed)
                     if share >= covered:
-                        rows.append((doc_id, i, share, n, longest))
+                        rows.append((doc_id, bench.names[i], share, n, longest))
             if rows:
                 yield _batch(rows)
 
@@ -190,13 +191,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, see
 def _by_shuffle(docs: DataFrame, items: DataFrame, covered: float, seed: int) -> DataFrame:
     """The same for a benchmark too large to broadcast: distinct seeds of both sides meet in a shuffle."""
 
-    def seeds_of(whole: bool):
+    def widths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {n for t in b.column(0) if 0 < (n := len(tokens(t.as_py()))) < seed}
+            yield pa.record_batch([pa.array(sorted(found), pa.int32())], ["width"])
+
+    def seeds_of(short: list[int] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, hashes = [], []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     words = tokens(text.as_py())
-                    widths = [min(seed, len(words))] if whole else range(1, seed + 1)
+                    widths = [min(seed, len(words))] if short is None else [*short, seed]
                     found = {xxhash.xxh64_intdigest("\x1f".join(words[k : k + w])) - (1 << 63) for w in widths if w for k in range(len(words) - w + 1)}
                     ids += [i] * len(found)
                     hashes += found
@@ -204,9 +210,9 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, covered: float, seed: int) ->
 
         return run
 
-    short = items.where(F.size(F.split(F.trim("item"), r"\s+")) < seed).limit(1).count() > 0
-    a = docs.mapInArrow(seeds_of(not short), "id long, seed long")
-    b = items.select("item_id", "item").mapInArrow(seeds_of(True), "id long, seed long").withColumnRenamed("id", "item_id")
+    short = sorted(r.width for r in items.select("item").mapInArrow(widths_of, "width int").distinct().collect())
+    a = docs.mapInArrow(seeds_of(short), "id long, seed long")
+    b = items.select("item_id", "item").mapInArrow(seeds_of(None), "id long, seed long").withColumnRenamed("id", "item_id")
     pairs = materialize(a.withColumnRenamed("id", "doc_id").join(materialize(b), "seed").select("doc_id", "item_id").distinct())
     joined = pairs.join(docs.distinct(), "doc_id").join(items.distinct(), "item_id").select("doc_id", "item_id", "text", "item")
 
