@@ -89,6 +89,20 @@ def each_group(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callabl
         yield out
 
 
+def each_run(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """Call work on stretches of whole groups of a sorted partition; holds one group and one batch."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, now]) if rest is not None and rest.num_rows else now
+        end = _cuts(rest, keys)[-1]
+        if end and (out := work(rest.slice(0, end).combine_chunks())) is not None:
+            yield out
+        rest = rest.slice(end).combine_chunks()
+    if rest is not None and rest.num_rows and (out := work(rest)) is not None:
+        yield out
+
+
 def _cuts(t: pa.Table, keys: list[str]) -> list[int]:
     """Where groups begin; the last is the beginning of the group that may go on."""
     if not t.num_rows:

@@ -20,7 +20,7 @@ def test_stages_on_the_smallest_tables(spark):
             assert out.columns == docs.columns
             assert out.join(docs.select("doc_id"), "doc_id", "left_anti").count() == 0
         if name == "near_dedup":
-            found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+            found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
             assert {r.doc_id for r in out.select("doc_id").collect()} == set(found.values())
         if name == "decontamination":
             hit = {r.doc_id for r in tiling.matches(docs, table(spark, SF, "benchmark")).collect()}

@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline as pipeline
-from tallyspark.llm import near_copies
+from tallyspark.llm import simhash
 
 from . import brute
 from .test_operators import SF, frame, prose
@@ -39,15 +41,21 @@ def planted(seed=1):
     return [(i * 2, t) for i, t in enumerate([*rows, "", None, rows[0]])]
 
 
-def test_planted_near_copies_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_planted_near_copies_against_brute_force(spark, block):
+    """Nothing is joined that brute force does not join, and of its groups all but pairs just at the limit are found."""
     rows = planted()
     want, links = jaccard_components(rows)
     assert len(links) > 500
-    for block in (near_copies.BLOCK, 16):
-        assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, rows), block).collect()} == want
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows), block=block).collect()}
+    assert set(got) == set(want) and all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == c for i, c in want.items()) >= 0.98 * len(want)
+    dense = [got[i] for i in got if want[i] == want[800]]
+    assert len(dense) > 90 and max(map(dense.count, dense)) >= 0.98 * len(dense)
 
 
 def test_stage_keeps_one_of_each_group(spark):
     rows = planted(2)
     want, _ = jaccard_components(rows)
-    assert {r.doc_id for r in pipeline.near_dedup(spark, frame(spark, rows), SF).collect()} == set(want.values())
+    left = {r.doc_id for r in pipeline.near_dedup(spark, frame(spark, rows), SF).collect()}
+    assert left >= set(want.values()) and len(left) <= 1.02 * len(set(want.values()))
