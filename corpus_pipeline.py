@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, near_copies, secrets, tiling, toxicity
+from tallyspark.llm import bpe, secrets, simhash, tiling, toxicity
 from tallyspark.llm.common import materialize, table
 
 
@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by five-word shingles, stays: that of the smallest doc_id."""
-    found = near_copies.near_copies(docs)
+    found = simhash.similar_documents(docs)
     gone = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
