@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 
 #: Words of a window, and how far the next one begins after it; the last one ends with the text.
 WINDOW, STRIDE = 64, 48
-#: Buckets of hashed words and of hashed character trigrams, learned dimensions of each, hidden units each way.
-WORDS, TRIGRAMS, LEARNED, HIDDEN = 1 << 16, 1 << 12, 4, 8
+#: Buckets of hashed words and of hashed runs of six characters, buckets of hashed trigrams, learned dimensions of words
+#: and of characters, hidden units each way.
+WORDS, TRIGRAMS, LEARNED, HIDDEN = 1 << 16, 1 << 12, 12, 12
+#: A word or a run of six characters that fewer training rows hold has no vector of its own.
+LEAST_ROWS = 3
 #: Labelled rows that the network is fitted on, at most: those with the smallest hashes.
 ROWS = 5000
 #: Bytes of a word that are one input, and characters that the pieces of a longer word share.
@@ -24,11 +27,12 @@ PIECE, OVERLAP = 64, 5
 LIMIT = 0.3
 #: Words kept in a worker's memo before it starts anew, and windows that are scored at once.
 MEMO, AT_ONCE = 250_000, 2048
+#: Damps the log odds by which training windows are picked at first.
 CALM = 6.0
+#: Share of words hidden from the network while it is fitted, and the weight of the squares of learned vectors in the loss.
+HIDDEN_SHARE, SQUARES = 0.1, 1e-5
 #: Punctuation that is no part of a word.
 MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
-#: Shrinks learned vectors at each step, against learning single rows by heart.
-DECAY = 0.05
 
 
 def buckets(words: list[str]) -> tuple[np.ndarray, ...]:
@@ -92,45 +96,41 @@ def windows(n: int) -> list[int]:
 
 
 def odds(hits: np.ndarray, misses: np.ndarray, n_hits: int, n_misses: int) -> np.ndarray:
-    """Damped log odds that a row with this bucket is labelled 1, scaled for the network."""
-    return (np.log((hits + CALM * n_hits / (n_hits + n_misses)) / (n_hits + CALM)) - np.log((misses + CALM * n_misses / (n_hits + n_misses)) / (n_misses + CALM))).astype(np.float32) / 3
+    """Damped log odds that a row with this bucket is labelled 1."""
+    return np.log((hits + CALM * n_hits / (n_hits + n_misses)) / (n_hits + CALM)) - np.log((misses + CALM * n_misses / (n_hits + n_misses)) / (n_misses + CALM))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum over all places of the products of their rows."""
+    return a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
+
+
 @dataclass
 class Network:
-    """Weights, and the label statistics of each bucket that its inputs hold besides the learned ones.
-
-    A word's input: log odds of its bucket, mean and largest log odds of its
-    trigrams' buckets and largest of its longer runs', its learned vector, the
-    mean learned vector of its trigrams.
-    """
+    """The weights.  A word's input is its learned vector and the sum, over the root of their number, of the learned
+    vectors of its characters: of its trigrams and of its runs of six."""
 
     p: dict[str, np.ndarray]
-    word_odds: np.ndarray
-    gram_odds: np.ndarray
-    long_odds: np.ndarray
 
     @classmethod
     def new(cls, seed: int = 42) -> Network:
-        rng, d, h = np.random.default_rng(seed), 4 + 2 * LEARNED, HIDDEN
+        rng, d, h = np.random.default_rng(seed), 2 * LEARNED, HIDDEN
         normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        p = {"word": np.zeros((WORDS, LEARNED), np.float32), "gram": (rng.standard_normal((TRIGRAMS, LEARNED)) * 0.05).astype(np.float32)}
+        p = {"word": np.zeros((WORDS, LEARNED), np.float32), "run": np.zeros((WORDS, LEARNED), np.float32), "gram": (rng.standard_normal((TRIGRAMS, LEARNED)) * 0.05).astype(np.float32)}
         for way in "fb":
             p |= {f"W{way}": normal(d, 3 * h), f"U{way}": normal(h, 3 * h), f"c{way}": np.zeros(3 * h, np.float32)}
         p |= {"A": normal(2 * h, h), "a": np.zeros(h, np.float32), "v": normal(h), "w": normal(2 * h), "b": np.full(1, -2, np.float32)}
-        return cls(p, np.zeros(WORDS, np.float32), np.zeros(TRIGRAMS, np.float32), np.zeros(WORDS, np.float32))
+        return cls(p)
 
-    def inputs(self, words: np.ndarray, grams: np.ndarray, starts: np.ndarray, word_odds: np.ndarray, gram_odds: np.ndarray, long_odds: np.ndarray) -> np.ndarray:
+    def inputs(self, words: np.ndarray, grams: np.ndarray, runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The input rows of words; what has starts[i] as its first place is word i's."""
         n = np.diff(np.append(starts, len(grams)))[:, None]
-        mean = np.add.reduceat(gram_odds, starts)[:, None] / n
-        most = np.maximum.reduceat(gram_odds, starts)[:, None]
-        longest = np.maximum.reduceat(long_odds, starts)[:, None]
-        return np.hstack((word_odds[:, None], mean, most, longest, self.p["word"][words], np.add.reduceat(self.p["gram"][grams], starts) / n)).astype(np.float32)
+        letters = np.add.reduceat(self.p["gram"][grams] + self.p["run"][runs], starts) / np.sqrt(n)
+        return np.hstack((self.p["word"][words], letters)).astype(np.float32)
 
     def run(self, gates: list[np.ndarray], mask: np.ndarray) -> tuple[list[np.ndarray], list[list]]:
         """Hidden states (T, B, h) of each way; gates: (T, B, 3h) input parts; also what the backward pass needs."""
@@ -174,7 +174,7 @@ class Network:
         dscore = weight * (dweight - (weight * dweight).sum(0))
         de = dscore[:, :, None] * p["v"] * (1 - e * e)
         g["v"] = (e * dscore[:, :, None]).sum((0, 1))
-        g["A"], g["a"] = np.einsum("tbi,tbj->ij", s, de), de.sum((0, 1))
+        g["A"], g["a"] = _outer(s, de), de.sum((0, 1))
         ds = weight[:, :, None] * dpool + de @ p["A"].T
         dx = np.zeros_like(x)
         t = len(mask)
@@ -192,19 +192,64 @@ class Network:
                 inner = np.concatenate((dz, dr, dn * r), 1)
                 du += before.T @ inner
                 dh = np.where(mask[k][:, None], live * z + inner @ u.T, dh)
-            g[f"U{way}"], g[f"W{way}"], g[f"c{way}"] = du, np.einsum("tbi,tbj->ij", x, dgates), dgates.sum((0, 1))
+            g[f"U{way}"], g[f"W{way}"], g[f"c{way}"] = du, _outer(x, dgates), dgates.sum((0, 1))
             dx += dgates @ w.T
         return g, dx, loss
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 5, steps: int = 200, rate: float = 0.02, seed: int = 42) -> Network:
-    """Adam on windows of each row: the one with the largest log odds, of rows labelled 0 another at random, and in
-    the last two epochs the one that the network itself scores highest.
+class Rows:
+    """Training rows as numbers of their distinct words, and what each of these is made of."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        number: dict[str, int] = {}
+        self.rows = [np.fromiter((number.setdefault(w, len(number)) for w in split(t)), np.int32) for t in texts]
+        self.own, self.grams, self.runs, self.starts = _all_buckets(list(number))
+        self.ends = np.append(self.starts[1:], len(self.grams))
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the characters of these words stand, word after word, and how many each has."""
+        sizes = self.ends[ids] - self.starts[ids]
+        return np.repeat(self.starts[ids] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
+
+    def held_by(self, y: np.ndarray) -> dict[str, np.ndarray]:
+        """For words and runs (2, WORDS): how many rows of each label hold a bucket."""
+        out = {"word": np.zeros((2, WORDS)), "run": np.zeros((2, WORDS))}
+        for r, label in zip(self.rows, y, strict=True):
+            distinct = np.unique(r)
+            out["word"][label, np.unique(self.own[distinct])] += 1
+            out["run"][label, np.unique(self.runs[self.places(distinct)[0]])] += 1
+        return out
+
+    def likely(self, y: np.ndarray, held: dict[str, np.ndarray], rng: np.random.Generator) -> list[tuple[np.ndarray, int]]:
+        """Of each row the window whose words' log odds are largest, of rows labelled 0 another at random.
 
-    The log odds that a training row sees leave that row out, so that words of
-    one row alone tell nothing of it.  Without rows of both labels the network
-    knows nothing and gives every text one score, low unless all labels are 1.
-    Few rows are gone through more often, in smaller batches, for `steps` steps.
+        The odds leave the row itself out, so that words of one row alone tell nothing of it.
+        """
+        n1, n0 = int(y.sum()), int(len(y) - y.sum())
+        without = {k: [odds(np.maximum(h[1] - c, 0), np.maximum(h[0] - (1 - c), 0), n1 - c, n0 - (1 - c)) for c in (0, 1)] for k, h in held.items()}
+        out: list[tuple[np.ndarray, int]] = []
+        for r, label in zip(self.rows, y, strict=True):
+            value = np.zeros(0)
+            if len(r):
+                at, sizes = self.places(r)
+                value = np.maximum(without["word"][label][self.own[r]], np.maximum.reduceat(without["run"][label][self.runs[at]], np.concatenate(([0], np.cumsum(sizes)[:-1]))))
+            total = np.concatenate(([0], np.cumsum(np.maximum(value, 0) ** 3)))
+            begins = windows(len(r))
+            best = max(begins, key=lambda a: total[min(len(r), a + WINDOW)] - total[a])
+            out.append((r[best : best + WINDOW], int(label)))
+            if not label and len(begins) > 1:
+                a = begins[rng.integers(len(begins))]
+                out.append((r[a : a + WINDOW], 0))
+        return out
+
+
+def fit(texts: list[str | None], labels: list[int], epochs: int = 4, steps: int = 300, rate: float = 0.01, seed: int = 42) -> Network:
+    """Adam on windows of each row: first those with the largest log odds, and from the middle on also the one that
+    the network itself scores highest, picked anew in each epoch.
+
+    Without rows of both labels the network knows nothing and gives every text
+    one score, low unless all labels are 1.  Few rows are gone through more
+    often, in smaller batches, for `steps` steps.
     """
     net, rng = Network.new(seed), np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
@@ -212,72 +257,58 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 5, steps: int
         net.p["w"][:] = 0
         net.p["b"][:] = 4 * (y.mean() - 0.5) if len(y) else -2
         return net
-    row_of: dict[str, int] = {}
-    rows = [np.fromiter((row_of.setdefault(w, len(row_of)) for w in split(t)), np.int32) for t in texts]
-    own, grams, longs, starts = _all_buckets(list(row_of))
-    ends = np.append(starts[1:], len(grams))
-    del row_of
-    place_of = lambda ids: np.repeat(starts[ids] - np.cumsum(ends[ids] - starts[ids]) + ends[ids] - starts[ids], ends[ids] - starts[ids]) + np.arange((ends[ids] - starts[ids]).sum())
-    counts = {"word": np.zeros((2, WORDS)), "gram": np.zeros((2, TRIGRAMS)), "long": np.zeros((2, WORDS))}
-    for r, label in zip(rows, y, strict=True):
-        distinct = np.unique(r)
-        counts["word"][label, np.unique(own[distinct])] += 1
-        places = place_of(distinct)
-        counts["gram"][label, np.unique(grams[places])] += 1
-        counts["long"][label, np.unique(longs[places])] += 1
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    net.word_odds, net.gram_odds, net.long_odds = (odds(counts[k][1], counts[k][0], n1, n0) for k in ("word", "gram", "long"))
-    without = {k: [odds(np.maximum(counts[k][1] - c, 0), np.maximum(counts[k][0] - (1 - c), 0), n1 - c, n0 - (1 - c)) for c in (0, 1)] for k in counts}
-    picked: list[tuple[np.ndarray, int]] = []
-    for r, label in zip(rows, y, strict=True):
-        long = np.maximum.reduceat(without["long"][label][longs[place_of(r)]], np.concatenate(([0], np.cumsum(ends[r] - starts[r])[:-1]))) if len(r) else np.zeros(0)
-        total = np.concatenate(([0], np.cumsum(np.maximum(np.maximum(without["word"][label][own[r]], long), 0) ** 3)))
-        places = windows(len(r))
-        best = max(places, key=lambda a: total[min(len(r), a + WINDOW)] - total[a])
-        picked.append((r[best : best + WINDOW], int(label)))
-        if not label and len(places) > 1:
-            at = places[rng.integers(len(places))]
-            picked.append((r[at : at + WINDOW], 0))
+    data = Rows(texts)
+    held = data.held_by(y)
+    known = {k: (h.sum(0) >= LEAST_ROWS)[:, None] for k, h in held.items()}
+    for k in known:
+        net.p[k] = (rng.standard_normal(net.p[k].shape) * 0.05 * known[k]).astype(np.float32)
+    likely = data.likely(y, held, rng)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, batch = 0, min(128, max(16, len(picked) // 20))
-    epochs = max(epochs, -(-steps * batch // len(picked)))
+    step, batch, picked = 0, min(128, max(16, len(likely) // 20)), likely
+    epochs = max(epochs, -(-steps * batch // len(likely)))
     for epoch in range(epochs):
-        if epoch == epochs - 2:  # what now scores highest of each row is what the largest score will be taken from
-            picked += [(r[a : a + WINDOW], int(c)) for r, c, (_, a) in zip(rows, y, Scorer(net).found(texts), strict=True)]
+        if epoch in (epochs // 2, epochs * 3 // 4):
+            picked = likely + [(r[a : a + WINDOW], int(c)) for r, c, (_, a) in zip(data.rows, y, Scorer(net).found(texts), strict=True)]
         order = rng.permutation(len(picked))
         for k in range(0, len(order), batch):
-            chosen = [picked[i] for i in order[k : k + batch]]
-            label = np.array([c for _, c in chosen], np.float32)
-            mask = np.arange(max(1, max(len(f) for f, _ in chosen)))[:, None] < np.array([len(f) for f, _ in chosen])
-            x = np.zeros((*mask.shape, 4 + 2 * LEARNED), np.float32)
-            j, t = np.nonzero(mask.T)
-            ids = np.concatenate([f for f, _ in chosen])
-            if len(ids):
-                places, sizes = place_of(ids), ends[ids] - starts[ids]
-                g_of, hit = grams[places], label[j] == 1
-                seen = lambda k, at, y: np.where(y, without[k][1][at], without[k][0][at])
-                each = np.repeat(hit, sizes)
-                x[t, j] = net.inputs(own[ids], g_of, np.concatenate(([0], np.cumsum(sizes)[:-1])), seen("word", own[ids], hit), seen("gram", g_of, each), seen("long", longs[places], each))
-            mask[0] = True
-            g, dx, _ = net.gradients(x, mask, label)
-            if len(ids):
-                d = dx[t, j]
-                spread = np.repeat(d[:, 4 + LEARNED :] / sizes[:, None], sizes, 0)
-                g["word"] = np.stack([np.bincount(own[ids], d[:, 4 + i], WORDS) for i in range(LEARNED)], 1)
-                g["gram"] = np.stack([np.bincount(g_of, spread[:, i], TRIGRAMS) for i in range(LEARNED)], 1)
+            g = _batch_gradients(net, data, [picked[i] for i in order[k : k + batch]], known, rng)
             step += 1
-            pace = rate * (0.3 if epoch >= epochs - 2 else 1) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for name, d in g.items():
-                learned = name in ("word", "gram")
-                first[name] += 0.1 * (d - first[name])
-                second[name] += 0.001 * (d * d - second[name])
-                net.p[name] -= (pace * (0.03 if learned else 1) * first[name] / (np.sqrt(second[name]) + 1e-6)).astype(np.float32)
-                if learned:
-                    net.p[name] *= 1 - DECAY
+            pace = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for name, (at, d) in g.items():  # moments of vectors that are not in the batch rest
+                first[name][at] += 0.1 * (d - first[name][at])
+                second[name][at] += 0.001 * (d * d - second[name][at])
+                net.p[name][at] -= (pace * first[name][at] / (np.sqrt(second[name][at]) + 1e-6)).astype(np.float32)
     return net
 
 
+def _batch_gradients(net: Network, data: Rows, chosen: list[tuple[np.ndarray, int]], known: dict[str, np.ndarray], rng: np.random.Generator) -> dict[str, tuple]:
+    """For each of the weights which of its rows have a gradient, and this."""
+    label = np.array([c for _, c in chosen], np.float32)
+    mask = np.arange(max(1, max(len(f) for f, _ in chosen)))[:, None] < np.array([len(f) for f, _ in chosen])
+    x = np.zeros((*mask.shape, 2 * LEARNED), np.float32)
+    j, t = np.nonzero(mask.T)
+    ids, back = np.unique(np.concatenate([f for f, _ in chosen]), return_inverse=True)
+    seen = (rng.random(len(back)) >= HIDDEN_SHARE)[:, None]
+    if len(ids):
+        at, sizes = data.places(ids)
+        x[t, j] = net.inputs(data.own[ids], data.grams[at], data.runs[at], np.concatenate(([0], np.cumsum(sizes)[:-1])))[back] * seen
+    mask[0] = True
+    g, dx, _ = net.gradients(x, mask, label)
+    out = {k: (slice(None), v) for k, v in g.items()}
+    if len(ids):
+        d = dx[t, j] * seen
+        d = np.stack([np.bincount(back, d[:, i], len(ids)) for i in range(2 * LEARNED)], 1)
+        spread = np.repeat(d[:, LEARNED:] / np.sqrt(sizes)[:, None], sizes, 0)
+        for name, where, what in (("word", data.own[ids], d[:, :LEARNED]), ("run", data.runs[at], spread), ("gram", data.grams[at], spread)):
+            rows, place = np.unique(where, return_inverse=True)
+            total = np.stack([np.bincount(place, what[:, i], len(rows)) for i in range(LEARNED)], 1) + SQUARES * net.p[name][rows]
+            if name in known:
+                rows, total = rows[known[name][rows, 0]], total[known[name][rows, 0]]
+            out[name] = rows, total.astype(np.float32)
+    return out
+
+
 class Scorer:
     """A fitted network with the input parts of the gates kept for each word that it has met."""
 
@@ -289,7 +320,7 @@ class Scorer:
         """Row 0 of the tables is that of an empty place."""
         self.row: dict[str, int] = {}
         self.used = 1
-        empty = np.zeros((1, 4 + 2 * LEARNED), np.float32)
+        empty = np.zeros((1, 2 * LEARNED), np.float32)
         self.gates = [np.repeat(self._gates(empty, w), 4096, 0) for w in "fb"]
 
     def _gates(self, x: np.ndarray, way: str) -> np.ndarray:
@@ -298,8 +329,7 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 50_000):
             new = words[at : at + 50_000]
-            own, grams, longs, starts = buckets(new)
-            x = self.net.inputs(own, grams, starts, self.net.word_odds[own], self.net.gram_odds[grams], self.net.long_odds[longs])
+            x = self.net.inputs(*buckets(new))
             end = self.used + len(new)
             if end > len(self.gates[0]):
                 self.gates = [np.resize(g, (2 * end, g.shape[1])) for g in self.gates]

@@ -290,7 +290,7 @@ def test_gradients_are_right():
     rng = np.random.default_rng(0)
     net = toxicity.Network.new()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, label = rng.standard_normal((5, 3, 4 + 2 * toxicity.LEARNED)), np.array([1.0, 0, 1])
+    x, label = rng.standard_normal((5, 3, 2 * toxicity.LEARNED)), np.array([1.0, 0, 1])
     mask = np.arange(5)[:, None] < np.array([5, 2, 4])
     g, _, _ = net.gradients(x, mask, label)
     for k in ("Wf", "Wb", "Uf", "Ub", "cb", "A", "a", "v", "w", "b"):
@@ -315,6 +315,21 @@ def test_toxicity_is_learnt(spark):
     assert found.columns == ["doc_id", "text", "toxicity"] and all(0 <= r.toxicity <= 1 for r in found.collect())
 
 
+def test_the_learned_vectors_carry_the_score():
+    """Without what is learned of words and characters the network tells nothing."""
+    rows = toxic_rows(600, 5)
+    net = toxicity.fit([t for _, t, _ in rows[:450]], [y for _, _, y in rows[:450]])
+
+    def right(net):
+        score = toxicity.Scorer(net).scores([t for _, t, _ in rows[450:]])
+        return sum((s >= toxicity.LIMIT) == bool(y) for s, (_, _, y) in zip(score, rows[450:], strict=True)) / 150
+
+    whole = right(net)
+    for k in ("word", "gram", "run"):
+        net.p[k] = np.zeros_like(net.p[k])
+    assert whole >= 0.95 and right(net) <= whole - 0.1
+
+
 def test_a_long_text_is_scored_to_its_end():
     rows = toxic_rows()
     net = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
