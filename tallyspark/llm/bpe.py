@@ -7,6 +7,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -18,7 +19,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: Pieces kept in a worker's memo before it starts anew.
 MEMO = 400_000
 #: Ids decoded at a time.
-STEP = 65_536
+STEP = 16_384
 
 
 def byte_letters() -> dict[int, str]:
@@ -88,51 +89,86 @@ class Tokenizer:
         yield from self.merge(window)
 
     def piece(self, s: str) -> list[int]:
-        if (ids := self.memo.get(s)) is None:
-            data = s.encode("utf-8", "surrogatepass")
-            ids = self.merge(data) if len(data) <= 2 * self.lookahead else list(self.stream([data]))
-            if len(s) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[s] = ids
+        ids = self.merge(s.encode("utf-8", "surrogatepass"))
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        self.memo[s] = ids
         return ids
 
-    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The text between special tokens, and these."""
+    def parts(self, text: str) -> Iterator[tuple[int, int, int | None]]:
+        """Where the text between special tokens begins and ends, and each special token with its id."""
         at = 0
         for m in self.specials.finditer(text) if self.specials else ():
-            yield text[at : m.start()], False
-            yield m[0], True
+            yield at, m.start(), None
+            yield m.start(), m.end(), self.special[m[0]]
             at = m.end()
-        yield text[at:], False
+        yield at, len(text), None
 
     def encode(self, text: str) -> Iterator[list[int]]:
-        for part, special in self.parts(text):
-            if special:
-                yield [self.special[part]]
-            else:
-                for m in self.cut.finditer(part):
-                    yield self.piece(m[0])
-
-    def encode_all(self, text: str) -> list[list[int]]:
-        """As encode(), for a text that is in memory anyway."""
-        out: list[list[int]] = []
-        for part, special in self.parts(text):
-            if special:
-                out.append([self.special[part]])
-            else:
-                out += map(self.piece, self.cut.findall(part))
-        return out
+        """Tokens as soon as they are stable.
+
+        A short piece is stable where the next begins, and is remembered; what
+        is longer goes through stream() in parts.  Nothing that grows with the
+        text is held.
+        """
+        known, short = self.memo.get, self.lookahead // 4
+        for begin, end, special in self.parts(text):
+            if special is not None:
+                yield [special]
+                continue
+            for m in self.cut.finditer(text, begin, end):
+                s = m[0]
+                if (ids := known(s)) is not None:
+                    yield ids
+                elif len(s) <= short:
+                    yield self.piece(s)
+                else:
+                    yield from self._long(s)
+
+    def _long(self, s: str) -> Iterator[list[int]]:
+        some: list[int] = []
+        for i in self.stream(s[k : k + 4096].encode("utf-8", "surrogatepass") for k in range(0, len(s), 4096)):
+            some.append(i)
+            if len(some) == STEP:
+                yield some
+                some = []
+        yield some
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as its bytes become whole characters; bytes that are no UTF-8 give U+FFFD."""
-        state, window = codecs.getincrementaldecoder("utf-8")("replace"), []
-        for i in ids:
-            window.append(i)
-            if len(window) == STEP:
-                yield state.decode(b"".join(map(self.bytes_of.__getitem__, window)))
-                window = []
-        yield state.decode(b"".join(map(self.bytes_of.__getitem__, window)), True)
+        state, ids = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids)
+        while data := b"".join(map(self.bytes_of.__getitem__, islice(ids, STEP))):
+            yield state.decode(data)
+        yield state.decode(b"", True)
+
+    def digests(self, text: str, keep: list[int] | None = None) -> tuple[int, str, str]:
+        """How many tokens, the digest of their ids and that of the text decoded from them; keep takes the ids.
+
+        Encoder and decoder run in step, STEP ids at a time.
+        """
+        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+
+        def passed() -> Iterator[int]:
+            some: list[int] = []
+            for ids in self.encode(text):
+                some += ids
+                if len(some) >= STEP:
+                    yield from told(some)
+                    some = []
+            yield from told(some)
+
+        def told(some: list[int]) -> list[int]:
+            nonlocal n
+            if some:
+                ids_sha.update(("," * bool(n) + str(some)[1:-1].replace(" ", "")).encode())
+                n += len(some)
+                if keep is not None:
+                    keep.extend(some)
+            return some
+
+        for part in self.decode(passed()):
+            text_sha.update(part.encode("utf-8", "surrogatepass"))
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -170,9 +206,9 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
     Encodes as the vocabulary's own library does without added special tokens:
     a special token's string in a text becomes its id.  A null text counts as
-    empty: no tokens, and both digests are those of the empty string.  The text
-    is turned into tokens piece by piece and the digests are fed as the tokens
-    come; keep_ids adds them as a list.
+    empty: no tokens, and both digests are those of the empty string.  Each text
+    runs through encoder and decoder in bounded memory besides the text itself;
+    keep_ids adds the ids as a list.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +216,8 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
         for b in batches:
             rows: list[list] = [[], [], [], []]
             for text in b.column(1):
-                ids = [i for p in t.encode_all(text.as_py() or "") for i in p]
-                sha = hashlib.sha256()
-                for part in t.decode(ids):
-                    sha.update(part.encode("utf-8", "surrogatepass"))
-                out = (len(ids), hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest(), sha.hexdigest(), ids if keep_ids else None)
-                for column, x in zip(rows, out, strict=True):
+                ids: list[int] | None = [] if keep_ids else None
+                for column, x in zip(rows, (*t.digests(text.as_py() or "", ids), ids), strict=True):
                     column.append(x)
             columns = [b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             yield pa.record_batch([*columns, *([pa.array(rows[3], pa.list_(pa.int32()))] if keep_ids else [])], names)
