@@ -29,75 +29,109 @@ ASIDE = re.compile(
 )
 BODY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: Marks that say what an element's page or neighbour has, not what it is; one of the words that name the article.
+HAS = re.compile(r"(?:^|\s)(?:has|with|no|without|show|hide)[_-][\w-]*", re.I)
+IS_BODY = re.compile(r"(?:^|\s)(?:article|content|main|main-content|entry|entry-content|post|post-content|story|hentry|body)(?:$|\s)", re.I)
+#: Elements that an end tag of an inline element does not reach across, and those whose mark may be a mistake.
+WALLS = ("article", "main", "section", "div", "td", "table")
+DOUBTFUL = ("form", "fieldset")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "role", "hidden", "score", "n", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "marks", "role", "hidden", "score", "n", "linked", "commas", "dropped")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = "", role: str = "", hidden: bool = False) -> None:
         self.tag, self.parent, self.marks, self.role, self.hidden = tag, parent, marks, role, hidden
         self.children: list[Node | str] = []
         self.score, self.n, self.linked, self.commas = 0.0, 0, 0, 0
+        self.dropped = tag in DROPPED and tag not in DOUBTFUL or hidden and tag not in ("html", "body")
 
     @property
-    def dropped(self) -> bool:
-        if self.tag in DROPPED or self.hidden or self.role in ASIDE_ROLES:
-            return self.tag not in ("html", "body")
-        return bool(self.marks) and self.tag not in ("html", "body", "article", "main") and ASIDE.search(self.marks) is not None
+    def aside(self) -> bool:
+        """Whether its marks, role or tag say that it is not the article."""
+        if self.tag in ("html", "body"):
+            return False
+        if self.tag in DOUBTFUL or self.role in ASIDE_ROLES:
+            return True
+        return bool(self.marks) and self.tag not in ("article", "main") and ASIDE.search(HAS.sub(" ", self.marks)) is not None
 
 
 def parse(page: str) -> Node:
-    """A forgiving tree: unclosed paragraphs and list items end where the next begins, stray end tags are nothing."""
-    root = at = Node("#root", None)
+    """A forgiving tree: unclosed paragraphs and list items end where the next begins, stray end tags are nothing.
+
+    Open elements are kept by depth, by name, and the blocks among them, so
+    that each tag costs the same however deep it stands.
+    """
+    root = Node("#root", None)
+    stack, named, blocks = [root], {"#root": [0]}, [0]
     end, n = 0, len(page)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            named[stack.pop().tag].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+
+    def deepest(*tags: str) -> int:
+        return max((named[t][-1] for t in tags if named.get(t)), default=0)
+
     while end < n:
         m = TOKEN.search(page, end)
         if m is None:
-            at.children.append(page[end:])
+            stack[-1].children.append(page[end:])
             break
         if m.start() > end:
-            at.children.append(page[end : m.start()])
+            stack[-1].children.append(page[end : m.start()])
         end = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
-            while up is not root and up.tag != tag:
-                if up.tag in ("article", "main", "section", "div", "td", "table") and tag not in BLOCKS:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                at = up.parent
+            depth = deepest(tag)
+            if depth and (tag in BLOCKS or deepest(*WALLS) <= depth):
+                close(depth)
             continue
-        if tag in ENDS_P:
-            up = at
-            while up is not root and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
+        if tag in ENDS_P and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in SIBLINGS:
-            up = at
-            while up is not root and up.tag not in SCOPE[tag] and up.tag not in SIBLINGS[tag]:
-                up = up.parent
-            while up.tag in SIBLINGS[tag]:
-                at = up = up.parent
+            depth = deepest(*SIBLINGS[tag])
+            if depth and depth >= deepest(*SCOPE[tag]):
+                close(depth)
+                while stack[-1].tag in SIBLINGS[tag]:
+                    close(len(stack) - 1)
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         style = attrs.get("style", "").replace(" ", "").lower()
-        node = Node(tag, at, f"{attrs.get('class', '')} {attrs.get('id', '')}".strip(), attrs.get("role", "").lower(), "hidden" in attrs or "display:none" in style or attrs.get("aria-hidden") == "true")
-        at.children.append(node)
+        node = Node(tag, stack[-1], f"{attrs.get('class', '')} {attrs.get('id', '')}".strip(), attrs.get("role", "").lower(), "hidden" in attrs or "display:none" in style or attrs.get("aria-hidden") == "true")
+        stack[-1].children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
-            end = close.end() if close else n
+            close_tag = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+            end = close_tag.end() if close_tag else n
         elif tag not in VOID and not m[3].endswith("/"):
-            at = node
+            named.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            stack.append(node)
     return root
 
 
+def settle(root: Node) -> None:
+    """Drop what is marked as aside, unless most of the page's unlinked text is in it and it is a form, is named as the
+    article too, or holds the article's element."""
+    nodes = walk(root)
+    measure(nodes)
+    whole, holds = root.n - root.linked, set()
+    for node in reversed(nodes):
+        if node.parent is not None and (node in holds or node.tag == "main" or node.tag == "article" and not ASIDE.search(node.marks)):
+            holds.add(node.parent)
+    for node in nodes:
+        if node.aside:
+            kept = node.tag in DOUBTFUL or IS_BODY.search(node.marks) or node in holds
+            node.dropped = not (kept and 2 * (node.n - node.linked) > whole)
+
+
 def walk(root: Node) -> list[Node]:
     """The elements that are not dropped, parents first; without recursion, as a page may nest without end."""
     out, todo = [], [root]
@@ -146,6 +180,7 @@ def score(nodes: list[Node]) -> list[Node]:
 
 def chosen(root: Node) -> list[Node]:
     """The best container and those of its siblings that read like more of the same, in page order."""
+    settle(root)
     nodes = walk(root)
     ranked = score(nodes)
     if not ranked:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -427,6 +428,20 @@ def test_html_plain_text_and_cut_pages():
     assert html_text.main_text("<div>" * 3000 + "<p>deep, text</p>") == "deep, text"
 
 
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000 + "<li/>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<p>" + "<b>" * 20_000 + "<hr>" * 20_000, "<ul>" + "<table>" * 20_000 + "<li/>" * 20_000])
+def test_html_of_stray_tags_is_quick(page):
+    began = time.perf_counter()
+    assert html_text.main_text(page + "<p>words</p>") == "words"
+    assert time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize("wrap", ["<form>{}</form>", "<div class='content has-sidebar'>{}</div>", "<div class='post share'>{}</div>", "<div class='widget'><article>{}</article></div>", "<div id='with-comments'>{}</div>"])
+def test_html_of_doubtful_wrappers(wrap):
+    text = "<p>" + "One, two, three, four. " * 20 + "</p>"
+    comments = "<div id='comments'><p>" + "Well, dear people. " * 9 + "</p></div>"
+    assert html_text.main_text(wrap.format(text) + comments) == ("One, two, three, four. " * 20).strip()
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
