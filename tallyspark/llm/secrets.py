@@ -6,12 +6,15 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import materialize
+
 #: Names that go before a secret, as in `token = "..."`.
 NAMES = r"(?:passwords?|passwd|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth[_-]?keys?|private[_-]?keys?|credentials?)"
 ASSIGNED = rf"(?i:\b[a-z0-9_-]{{0,32}}{NAMES}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)"
+#: The public forms of known tokens.
 PREFIXED = r"\b(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|npm_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16,}|AIza[A-Za-z0-9_-]{35,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
 #: A key block to its END line, or to the text's end without one.
 PEM = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]{0,32}PRIVATE KEY-----|\z)"
@@ -37,29 +40,42 @@ FEATURES = ["n", "transitions", "digits", "uppers", "distinct", "hexadecimal", "
 TREES, DEPTH, FINDINGS, VOTES = 24, 6, 6000, 0.5
 
 
+def _path(docs: DataFrame, path: str | None) -> Column:
+    return F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
+
+
+def _hits() -> Column:
+    return F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+
+
+def _gaps() -> Column:
+    """The pieces of the text before, between and after the hits."""
+    return F.split("text", CANDIDATE, -1)
+
+
+def _value(found: Column) -> Column:
+    return F.regexp_replace(found, F.concat(F.lit("^"), F.lit(ASSIGNED)), F.lit(""))
+
+
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """(doc_id, path, start, found, value, before, after): what looks like a secret in every whole text.
+    """(doc_id, path, text_hash, nth, start, found, value, before, after): what looks like a secret in every whole text.
 
     The pieces between the matches, which split() gives, stand in line with
-    the matches themselves; so each one's place and neighbours come without a
-    search.  A null text has none.  start counts characters from 0.
+    the matches themselves; so each one's neighbours come without a search,
+    and its place by a running sum over the text's matches.  A null text has
+    none.  start counts characters from 0, nth the matches.
     """
-    where = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path"))
-    hit = docs.where(F.col("text").rlike(CANDIDATE)).withColumns({"hits": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), "gaps": F.split("text", CANDIDATE, -1)})
-    sizes = F.zip_with(F.slice("gaps", 1, F.size("hits")), "hits", lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    near = F.zip_with(
-        F.zip_with(F.slice("gaps", 1, F.size("hits")), F.slice("gaps", F.lit(2), F.size("hits")), lambda a, b: F.struct(F.right(a, F.lit(NEAR)).alias("before"), F.left(b, F.lit(NEAR)).alias("after"))),
-        "hits",
-        lambda n, h: F.struct(h.alias("found"), n["before"].alias("before"), n["after"].alias("after")),
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _path(docs, path).alias("path"))
+    hit = docs.where(F.col("text").rlike(CANDIDATE)).withColumns({"hits": _hits(), "gaps": _gaps(), "text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    pieces = F.arrays_zip(
+        F.col("hits").alias("found"),
+        F.transform(F.slice("gaps", F.lit(1), F.size("hits")), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(NEAR)).alias("text"))).alias("before"),
+        F.transform(F.slice("gaps", F.lit(2), F.size("hits")), lambda g: F.left(g, F.lit(NEAR))).alias("after"),
     )
-    ends = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")), lambda a, s: F.struct((a["end"] + s["g"] + s["h"]).alias("end"), F.concat(a["starts"], F.array(a["end"] + s["g"])).alias("starts"))
-    )
-    out = hit.select("doc_id", "path", near.alias("near"), ends["starts"].alias("starts")).select("doc_id", "path", F.explode(F.arrays_zip("near", "starts")).alias("x"))
-    found, lead = F.col("x.near.found"), F.concat(F.lit("^"), F.lit(ASSIGNED))
-    value = F.regexp_replace(found, lead, F.lit(""))
-    return out.select("doc_id", "path", F.col("x.starts").cast("long").alias("start"), found.alias("found"), value.alias("value"), F.col("x.near.before").alias("before"), F.col("x.near.after").alias("after"))
+    out = hit.select("doc_id", "path", "text_hash", "row", F.posexplode(pieces).alias("nth", "x"))
+    upto = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum(F.col("x.before.n") + F.length("x.found")).over(upto) - F.length("x.found")
+    return out.select("doc_id", "path", "text_hash", "nth", start.cast("long").alias("start"), F.col("x.found").alias("found"), _value(F.col("x.found")).alias("value"), F.col("x.before.text").alias("before"), F.col("x.after").alias("after"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -140,6 +156,15 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(assembled.select("features", "label").coalesce(1))
 
 
+def judged(docs: DataFrame, path: str | None = "source", model: RandomForestClassificationModel | None = None, votes: float = VOTES) -> DataFrame:
+    """candidates() with the forest's probability and, from `votes` on, `secret`."""
+    model = model or fit(labelled_findings(docs.sparkSession))
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    found = PipelineModel([assembler, model]).transform(with_features(candidates(docs, path)))
+    chance = F.round(vector_to_array("probability")[1], 6)
+    return found.withColumns({"probability": chance, "secret": chance >= votes})
+
+
 def scan(docs: DataFrame, path: str | None = "source", model: RandomForestClassificationModel | None = None, votes: float = VOTES) -> DataFrame:
     """(doc_id, start, found, value, masked, probability, secret) of each candidate in every whole text.
 
@@ -147,23 +172,24 @@ def scan(docs: DataFrame, path: str | None = "source", model: RandomForestClassi
     null and empty texts give no rows; a null path counts as empty; repeated
     rows give repeated findings, a null doc_id stays null.
     """
-    model = model or fit(labelled_findings(docs.sparkSession))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    judged = PipelineModel([assembler, model]).transform(with_features(candidates(docs, path)))
-    chance = F.round(vector_to_array("probability")[1], 6)
     masked = F.when(F.length("value") <= 8, "****").otherwise(F.concat(F.left("value", F.lit(4)), F.lit("..."), F.right("value", F.lit(4))))
-    return judged.select("doc_id", "start", "found", "value", masked.alias("masked"), chance.alias("probability"), (chance >= votes).alias("secret"))
+    return judged(docs, path, model, votes).select("doc_id", "start", "found", "value", masked.alias("masked"), "probability", "secret")
 
 
 def redact(docs: DataFrame, path: str | None = "source", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret's value replaced in the text, and n_chars, where docs have it, counted anew.
+    """docs with each secret's value replaced where it stands, and n_chars, where docs have it, counted anew.
 
-    Secrets are joined by doc_id, null to null.  A document's values are
-    replaced longest first, so that one within another leaves no rest.
+    The verdicts on a text's matches are joined by doc_id, path, both null to
+    null, and the text's hash; the text is put together again from its pieces
+    and matches.  Rows without secrets stay as they are.
     """
-    found = scan(docs, path).where("secret").groupBy(F.col("doc_id").alias("_secrets_of")).agg(F.collect_set("value").alias("_secret_values"))
-    found = found.withColumn("_secret_values", F.array_sort("_secret_values", lambda a, b: F.length(b) - F.length(a)))
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_secrets_of")), "left")
-    text = F.when(F.col("_secret_values").isNull(), F.col("text")).otherwise(F.aggregate("_secret_values", F.col("text").cast("string"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_secret_values").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
+    keys = {"doc_id": "_of_doc", "path": "_of_path", "text_hash": "_of_text"}
+    found = judged(docs, path).groupBy(*keys, "nth").agg(F.max("secret").alias("secret"))
+    found = found.groupBy(*(F.col(k).alias(v) for k, v in keys.items())).agg(F.array_sort(F.collect_list(F.struct("nth", "secret"))).alias("_verdicts"), F.max("secret").alias("_any")).where("_any").drop("_any")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of_doc")) & _path(docs, path).eqNullSafe(F.col("_of_path")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_of_text"))
+    joined = docs.withColumn("text", F.col("text").cast("string")).join(materialize(found), same, "left")
+    hidden = F.zip_with(_hits(), "_verdicts", lambda h, v: F.when(v["secret"], F.concat(F.regexp_extract(h, f"^(?:{ASSIGNED})?", 0), F.lit(mark))).otherwise(h))
+    pieces = F.zip_with(_gaps(), hidden, lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+    text = F.when(F.col("_verdicts").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_verdicts").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
     return joined.withColumns(changed).select(docs.columns)
