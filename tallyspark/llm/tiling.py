@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import materialize
@@ -100,34 +101,69 @@ def _free(used: np.ndarray, length: int) -> np.ndarray:
     return total[length:] == total[:-length]
 
 
+def least_seeds(tokens_of_item: int, covered: float, seed: int) -> int:
+    """How many seed positions of an item tiles that cover enough of it hold at least: L - seed + 1 in one of L tokens."""
+    return max(1, math.ceil(covered * tokens_of_item / seed - 1e-9))
+
+
+def rarest(frequency: list[tuple[int, int, int]], spare: int) -> list[int]:
+    """Seeds, of (seed, positions, frequency), less the most frequent ones that together have at most `spare` positions."""
+    out, left = [], spare
+    for h, positions, n in sorted(frequency, key=lambda x: (-x[2], x[0])):
+        if n > 1 and positions <= left:
+            left -= positions
+        else:
+            out.append(h)
+    return out
+
+
 class Benchmark:
-    """Items as token ids, and the items of each seed."""
+    """Items as token ids, and the items of each seed.
+
+    What covers enough of an item shares a certain number of its seed
+    positions, so each item is posted without as many of its most frequent
+    ones as may be missed: a frequent seed is not asked for all items with it.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], seed: int) -> None:
-        self.seed = seed
+    def __init__(self, items: list[tuple[int, str]], seed: int, covered: float) -> None:
+        self.seed, self.covered = seed, covered
         self.ids: dict[str, int] = {}
         self.items = {r: [self.ids.setdefault(w, len(self.ids) + 1) for w in tokens(t)] for r, (_, t) in enumerate(items)}
         self.names = [i for i, _ in items]  # an id may name several texts
-        self.of: dict[int, set[int]] = defaultdict(set)
-        for i, ids in self.items.items():
-            for h in rolling(np.asarray(ids), min(seed, len(ids))).tolist() if ids else ():
-                self.of[h].add(i)
+        self.seeds = {i: rolling(np.asarray(x), min(seed, len(x))) for i, x in self.items.items() if x}
+        n = Counter(h for x in self.seeds.values() for h in set(x.tolist()))
+        self.of: dict[int, list[int]] = defaultdict(list)
+        for i, x in self.seeds.items():
+            own = [(h, m, n[h]) for h, m in Counter(x.tolist()).items()]
+            for h in rarest(own, least_seeds(len(self.items[i]), covered, seed) - 1):
+                self.of[h].append(i)
         self.short = sorted({len(x) for x in self.items.values() if 0 < len(x) < seed})
-        self.known = np.array(sorted(self.of), np.uint64)
+        self.known = np.array(sorted(n), np.uint64)
 
-    def candidates(self, doc: np.ndarray) -> dict[int, int]:
-        """Items that share a seed with the document, and how many of its positions do."""
-        out: dict[int, int] = defaultdict(int)
+    def candidates(self, doc: np.ndarray) -> list[int]:
+        """Items that may be covered: those of whose tokens enough lie in windows that the document holds as well."""
+        found = []
         for width in [self.seed, *self.short]:
             if len(doc) >= width and len(self.known):
                 whole = np.flatnonzero(_free(doc == 0, width))
                 if len(whole):
-                    h = _at(doc, whole, width)
+                    h = np.unique(_at(doc, whole, width))
                     spot = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-                    for x in h[self.known[spot] == h].tolist():
-                        for i in self.of[x]:
-                            out[i] += 1
-        return out
+                    found.append(h[self.known[spot] == h])
+        if not found:
+            return []
+        held = np.unique(np.concatenate(found))
+        some = {i for h in held.tolist() for i in self.of.get(h, ())}
+        return [i for i in sorted(some) if within(self.seeds[i], held, len(self.items[i]), self.seed) >= self.covered]
+
+
+def within(seeds: np.ndarray, held: np.ndarray, n: int, seed: int) -> float:
+    """Share of an item's n tokens in windows whose hashes are held: no tiling covers more."""
+    edge = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(np.isin(seeds, held))
+    edge[at] += 1
+    np.add.at(edge, at + min(seed, n), -1)
+    return np.count_nonzero(np.cumsum(edge[:-1])) / n
 
 
 def _at(doc: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -171,14 +207,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, see
     held = spark.sparkContext.broadcast([tuple(r) for r in items.distinct().collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(held.value, seed)
+        bench = Benchmark(held.value, seed, covered)
         find = bench.ids.get
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = tokens(text.as_py())
                 doc = np.fromiter((find(w, 0) for w in words), np.int64, len(words))
-                for i in sorted(bench.candidates(doc)):
+                for i in bench.candidates(doc):
                     share, n, longest = coverage(bench.items[i], doc.tolist(), seed)
                     if share >= covered:
                         rows.append((doc_id, bench.names[i], share, n, longest))
@@ -189,7 +225,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, see
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, covered: float, seed: int) -> DataFrame:
-    """The same for a benchmark too large to broadcast: distinct seeds of both sides meet in a shuffle."""
+    """The same for a benchmark too large to broadcast: seeds of both sides meet in a shuffle.
+
+    Of each item as many of the seeds that most documents hold are left out as
+    may be missed.  A document's text goes to its candidates once, or once for
+    each of a few parts of them.
+    """
 
     def widths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,32 +240,43 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, covered: float, seed: int) ->
     def seeds_of(short: list[int] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, hashes = [], []
+                ids, hashes, positions, spare = [], [], [], []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     words = tokens(text.as_py())
                     widths = [min(seed, len(words))] if short is None else [*short, seed]
-                    found = {xxhash.xxh64_intdigest("\x1f".join(words[k : k + w])) - (1 << 63) for w in widths if w for k in range(len(words) - w + 1)}
+                    found = Counter(xxhash.xxh64_intdigest("\x1f".join(words[k : k + w])) - (1 << 63) for w in widths if w for k in range(len(words) - w + 1))
                     ids += [i] * len(found)
                     hashes += found
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["id", "seed"])
+                    positions += found.values()
+                    spare += [least_seeds(len(words), covered, seed) - 1] * len(found)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(positions, pa.int32()), pa.array(spare, pa.int32())], ["id", "seed", "positions", "spare"])
 
         return run
 
-    short = sorted(r.width for r in items.select("item").mapInArrow(widths_of, "width int").distinct().collect())
-    a = docs.mapInArrow(seeds_of(short), "id long, seed long")
-    b = items.select("item_id", "item").mapInArrow(seeds_of(None), "id long, seed long").withColumnRenamed("id", "item_id")
-    pairs = materialize(a.withColumnRenamed("id", "doc_id").join(materialize(b), "seed").select("doc_id", "item_id").distinct())
-    joined = pairs.join(docs.distinct(), "doc_id").join(items.distinct(), "item_id").select("doc_id", "item_id", "text", "item")
+    kinds = "id long, seed long, positions int, spare int"
+    items = items.distinct().withColumn("row", F.xxhash64("item_id", "item"))
+    short = sorted(r.width for r in items.select("item").mapInArrow(widths_of, "width int").distinct().collect())  # fewer than `seed`
+    b = materialize(items.select("row", "item").mapInArrow(seeds_of(None), kinds).withColumnRenamed("id", "row"))
+    a = docs.mapInArrow(seeds_of(short), kinds).select(F.col("id").alias("doc_id"), "seed").join(b.select("seed").distinct(), "seed", "left_semi")
+    a = materialize(a.distinct())
+    often = b.join(a.groupBy("seed").agg(F.count("*").alias("n")), "seed")
+    upto = Window.partitionBy("row").orderBy(F.desc("n"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = materialize(often.withColumn("sum", F.sum("positions").over(upto)).where("sum > spare").select("row", "seed"))
+    pairs = a.join(kept, "seed").select("doc_id", "row").distinct().join(items, "row")
+    grouped = materialize(pairs.groupBy("doc_id", F.pmod(F.xxhash64("row"), F.lit(8)).alias("part")).agg(F.collect_list(F.struct("item_id", "item")).alias("items")))
+    joined = grouped.join(docs, "doc_id").select("doc_id", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                ids: dict[str, int] = {}
-                item = [ids.setdefault(w, len(ids) + 1) for w in tokens(r["item"])]
-                share, n, longest = coverage(item, [ids.get(w, 0) for w in tokens(r["text"])], seed)
-                if share >= covered:
-                    rows.append((r["doc_id"], r["item_id"], share, n, longest))
+            for r in range(b.num_rows):
+                words = tokens(b.column(1)[r].as_py())
+                for x in b.column(2)[r].as_py():
+                    ids: dict[str, int] = {}
+                    item = [ids.setdefault(w, len(ids) + 1) for w in tokens(x["item"])]
+                    share, n, longest = coverage(item, [ids.get(w, 0) for w in words], seed)
+                    if share >= covered:
+                        rows.append((b.column(0)[r].as_py(), x["item_id"], share, n, longest))
             if rows:
                 yield _batch(rows)
 

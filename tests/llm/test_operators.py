@@ -149,7 +149,7 @@ def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
 def test_tiles_equal_greedy_tiling(item, doc, least):
     ours, plain = tiling.tiles(item, doc, least), brute.tiles(item, doc, least)
     assert all(item[p : p + n] == doc[q : q + n] for p, q, n in ours)
-    assert sorted((n for _, _, n in ours), reverse=True)[:1] == sorted((n for _, _, n in plain), reverse=True)[:1]
+    assert sorted(n for _, _, n in ours) == sorted(n for _, _, n in plain)
     for k in (0, 1):
         taken = [x for t in ours for x in range(t[k], t[k] + t[2])]
         assert len(taken) == len(set(taken))
