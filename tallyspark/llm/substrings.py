@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +117,8 @@ def extend(shared: DataFrame, length: int) -> DataFrame:
     """Both ways from each shared anchor: the hashes of the windows of `length` words that chose it.
 
     Overlapping windows together make up the maximal repeats; each is named by
-    96 bits of its words.  later: an earlier document holds the anchor.
+    96 bits of its words, 64 and 32 from word hashes that have nothing in
+    common.  later: an earlier document holds the anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +126,12 @@ def extend(shared: DataFrame, length: int) -> DataFrame:
             ids, marks = b.column("doc_id").to_numpy(), b.column("mark").to_numpy()
             first, n, later = b.column("first"), b.column("n"), b.column("later")
             for i, text in enumerate(b.column("text")):
-                words = word_hashes(_bytes(text.as_py()))
+                data = _bytes(text.as_py())
+                words, others = word_hashes(data), np.frombuffer(b"".join(map(xxhash.xxh64_digest, data.split())), np.uint64)
                 lo, count = np.asarray(first[i].values.to_numpy()), np.asarray(n[i].values.to_numpy())
                 at, once = np.unique(np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()), return_index=True)
                 behind = np.repeat(later[i].values.to_numpy(zero_copy_only=False), count)[once]
-                one, two = spans(words, length, LEFT)[at], spans(words, length, RIGHT)[at]
+                one, two = spans(words, length, LEFT)[at], spans(others, length, RIGHT)[at]
                 for k in range(0, len(at), 200_000):
                     s = slice(k, k + 200_000)
                     m = len(at[s])

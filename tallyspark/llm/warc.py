@@ -59,7 +59,8 @@ def derive(found: DataFrame) -> DataFrame:
     and counts its characters.  Columns: record_type, record_id, refers_to,
     target_uri, date, content_type, source_digest, block_digest,
     content_length, block.  An empty payload gives an empty conversion block;
-    repeated responses give repeated records.
+    a null target is an empty one, a null date DATE; repeated responses give
+    repeated records.
     """
     text = plain_text(F.coalesce("payload", F.lit("")))
     base = found.withColumns({"_text": text, "_conversion": record_id(F.lit("conversion"), F.col("record_id")), "_metadata": record_id(F.lit("metadata"), F.col("record_id"))})
@@ -68,18 +69,24 @@ def derive(found: DataFrame) -> DataFrame:
     )
     record = lambda kind, rid, mime, block: F.struct(F.lit(kind).alias("record_type"), F.col(rid).alias("record_id"), F.lit(mime).alias("content_type"), block.alias("block"))
     both = F.array(record("metadata", "_metadata", "application/warc-fields", lines), record("conversion", "_conversion", "text/plain", F.col("_text")))
-    out = base.select(F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("payload_digest").alias("source_digest"), F.explode(both).alias("r"))
+    out = base.select(F.col("record_id").alias("refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit(DATE)).alias("date"), F.col("payload_digest").alias("source_digest"), F.explode(both).alias("r"))
     return out.select(
         "r.record_type", "r.record_id", "refers_to", "target_uri", "date", "r.content_type", "source_digest", digest(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block"
     )
 
 
 def as_records(derived: DataFrame) -> DataFrame:
-    """(value): each record as it stands in a file, without the end mark that the writer puts after it."""
-    head = F.concat(
-        F.lit(f"{VERSION}{EOL}WARC-Type: "), "record_type", F.lit(f"{EOL}WARC-Record-ID: "), "record_id", F.lit(f"{EOL}WARC-Refers-To: "), "refers_to", F.lit(f"{EOL}WARC-Target-URI: "), "target_uri", F.lit(f"{EOL}WARC-Date: "), "date",
-        F.lit(f"{EOL}WARC-Source-Payload-Digest: "), "source_digest", F.lit(f"{EOL}WARC-Block-Digest: "), "block_digest", F.lit(f"{EOL}Content-Type: "), "content_type", F.lit(f"{EOL}Content-Length: "), F.col("content_length").cast("string"), F.lit(END),
+    """(value): each record as it stands in a file, without the end mark that the writer puts after it.
+
+    A header that is null is left out; line breaks in one, as a URL may hold
+    them, are percent-encoded.
+    """
+    named = (
+        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
+        ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     )
+    plain = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    head = F.concat(F.concat_ws(EOL, F.lit(VERSION), *(F.concat(F.lit(f"{name}: "), plain(c)) for name, c in named)), F.lit(END))
     return derived.select(F.concat(head, F.col("block")).alias("value"))
 
 

@@ -254,6 +254,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_of_null_headers(spark, tmp_path):
+    found = spark.createDataFrame([("<urn:uuid:1>", None, None, None, "text", None), ("<urn:uuid:2>", "http://a/\r\nx", "d", "h", None, "s")], "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string")
+    warc.write(warc.derive(found), str(tmp_path / "out"))
+    got = {(r.headers["warc-refers-to"], r.headers["warc-type"]): r for r in warc.read(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 4 and all(r.whole for r in got.values())
+    first, second = got["<urn:uuid:1>", "conversion"], got["<urn:uuid:2>", "conversion"]
+    assert first.block == "text" and "warc-source-payload-digest" not in first.headers and first.headers["warc-date"] == warc.DATE
+    assert second.headers["warc-target-uri"] == "http://a/%0D%0Ax"
+
+
 # Shards
 
 
