@@ -224,45 +224,82 @@ def _stars(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, far int").where("a <> b")
 
 
-def _crossing(dealt: DataFrame) -> DataFrame:
-    """(a, b), once each: candidates of different parts in the runs of equal (bucket, lo, hi).
+_TILE = ["bucket", "lo", "hi"]
+_MEMBER = [*_TILE, "_own", "key", "part", *_SKETCH]
+
+
+def _crossing(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) that are candidates of different parts in one (bucket, lo, hi), of rows sorted by these.
 
     A pair that meets in several tables counts in the first of them.
     """
-    keys = ["bucket", "lo", "hi"]
+    ids = np.stack([t.column(c).to_numpy() for c in _TILE])
+    own, part, s = t.column("_own").to_numpy(), t.column("part").to_numpy(), _longs(t)
+    group = np.cumsum(np.concatenate(([0], (ids[:, 1:] != ids[:, :-1]).any(0))))
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, step = np.arange(len(part)), 1
+    while len(i := i[i + step < len(part)]) and len(i := i[group[i + step] == group[i]]):
+        j = i + step
+        some = np.flatnonzero((part[i] != part[j]) & ((ids[1][i] == ids[2][i]) | (own[i] != own[j])))
+        some = some[_apart(s, i[some], j[some]) <= FAR]
+        found_i.append(i[some])
+        found_j.append(j[some])
+        step += 1
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    first = np.zeros(len(i), bool)
+    for at in range(0, len(i), 4096):
+        k = slice(at, at + 4096)
+        first[k] = _first_table(s[:, i[k]] ^ s[:, j[k]]) == ids[0][i[k]] >> 32
+    return i[first], j[first]
+
+
+def _first_table(differ: np.ndarray) -> np.ndarray:
+    """The first table in which sketches with these differing bits share a bucket."""
     masks = np.array(block_masks(), np.int64)
-    tables = np.stack([np.concatenate((masks, masks << 32)) if k == j else np.zeros(2 * len(masks), np.int64) for k in range(LONGS) for j in range(LONGS)]).reshape(LONGS, LONGS, -1)
-    of_table = tables.transpose(1, 0, 2).reshape(LONGS, -1)  # for each long the masks of all tables, zero where it has no part
-
-    def pairs(t: pa.Table) -> pa.RecordBatch | None:
-        ids = np.stack([t.column(c).to_numpy() for c in keys])
-        own, part, key, s = t.column("_own").to_numpy(), t.column("part").to_numpy(), t.column("key").to_numpy(), _longs(t)
-        group = np.cumsum(np.concatenate(([0], (ids[:, 1:] != ids[:, :-1]).any(0))))
-        found_i, found_j = [], []
-        i, step = np.arange(len(key)), 1
-        while len(i := i[i + step < len(key)]) and len(i := i[group[i + step] == group[i]]):
-            j = i + step
-            met = (part[i] != part[j]) & ((ids[1][i] == ids[2][i]) | (own[i] != own[j]))
-            some = np.flatnonzero(met)
-            some = some[_apart(s, i[some], j[some]) <= FAR]
-            found_i.append(i[some])
-            found_j.append(j[some])
-            step += 1
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
-        first = np.zeros(len(i), bool)
-        for at in range(0, len(i), 4096):
-            x = s[:, i[at : at + 4096]] ^ s[:, j[at : at + 4096]]
-            same = np.zeros((x.shape[1], of_table.shape[1]), np.int64)
-            for k in range(LONGS):
-                same |= x[k][:, None] & of_table[k][None, :]
-            first[at : at + 4096] = (same == 0).argmax(1) == ids[0][i[at : at + 4096]] >> 32
-        i, j = i[first], j[first]
-        if not len(i):
-            return None
-        return pa.record_batch([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["a", "b"])
+    free = [differ[k][:, None] & half[None, :] == 0 for k in range(LONGS) for half in (masks, masks << 32)]
+    return np.hstack(free).argmax(1)
+
+
+def _crossing_members(dealt: DataFrame) -> DataFrame:
+    """The rows of dealt that are in a pair of _crossing(): what must be looked at, without its pairs."""
+
+    def run(t: pa.Table) -> pa.RecordBatch | None:
+        i, j = _crossing(t)
+        return t.take(pa.array(np.unique(np.concatenate((i, j))))).combine_chunks().to_batches()[0] if len(i) else None
 
-    dealt = dealt.select(*keys, "_own", "key", "part", *_SKETCH).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda it: each_run(it, keys, pairs), "a long, b long")
+    dealt = dealt.select(*_MEMBER).repartition(*_TILE).sortWithinPartitions(*_TILE)
+    return dealt.mapInArrow(lambda it: each_run(it, _TILE, run), dealt.schema)
+
+
+def _crossing_links(members: DataFrame) -> DataFrame:
+    """(a, b): the similar pairs of _crossing() among members with their shingles' hashes, as local spanning stars."""
+
+    def run(t: pa.Table) -> pa.RecordBatch | None:
+        i, j = _crossing(t)
+        key, grams = t.column("key").to_numpy(), t.column("grams")
+        sets = {r: np.frombuffer(grams[r].as_py(), np.uint64) for r in np.unique(np.concatenate((i, j))).tolist()}
+        keep = np.fromiter((near(sets[x], sets[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+        root = roots(len(key), i[keep], j[keep])
+        moved = np.flatnonzero(root != np.arange(len(key)))
+        return pa.record_batch([pa.array(key[moved]), pa.array(key[root[moved]])], ["a", "b"]) if len(moved) else None
+
+    members = members.select(*_MEMBER, "grams").repartition(*_TILE).sortWithinPartitions(*_TILE)
+    return members.mapInArrow(lambda it: each_run(it, _TILE, run), "a long, b long")
+
+
+def _grams(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(key, grams), written: the sorted 64-bit hashes of the distinct shingles of each of the keys, which are written."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [line_of(t.as_py()) for t in b.column(0)]
+            grams = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles(x, width)]), np.uint64)).tobytes() for x in lines]
+            yield pa.record_batch([pa.array([_key(x) for x in lines], pa.int64()), pa.array(grams, pa.binary())], ["key", "grams"])
+
+    reps = keys.join(classes, "key").select(F.col("rep").alias("_rep")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(reps, "_rep", "left_semi").select("text").mapInArrow(hashed, "key long, grams binary")
+    return materialize(found.join(keys, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, homes: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -274,21 +311,12 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, homes: DataF
     Shingles are compared by their 64-bit hashes.
     """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lines = [line_of(t.as_py()) for t in b.column(0)]
-            grams = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles(x, width)]), np.uint64)).tobytes() for x in lines]
-            yield pa.record_batch([pa.array([_key(x) for x in lines], pa.int64()), pa.array(grams, pa.binary())], ["key", "grams"])
-
     pairs = materialize(pairs)
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     size = homes.groupBy("home").agg(F.count("*").alias("n"))
     placed = wanted.join(homes, "key", "left").withColumn("home", F.coalesce("home", "key")).join(size, "home", "left")
     placed = materialize(placed.select("key", F.struct("home", F.pmod(F.xxhash64("key"), F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("long")).alias("block")).alias("place")))
-    reps = placed.join(classes, "key").select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grams = texts.join(reps, "_rep", "left_semi").select("text").mapInArrow(hashed, "key long, grams binary")
-    grams = materialize(grams.join(placed.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    grams = _grams(docs, classes, placed.select("key"), width)
     at = lambda c: placed.select(F.col("key").alias(c), F.col("place").alias(f"p{c}"))
     tiled = pairs.join(at("a"), "a").join(at("b"), "b").select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("tile"), "a", "b")
     tiled = materialize(tiled)
@@ -333,9 +361,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -
     First only the tables of one long are looked at, and in each bucket, or
     block of a large one, only pairs with its first member: that joins large
     groups without comparing all of their pairs.  Then all tables give the
-    candidates whose parts are not joined yet, large buckets in bounded block
-    pairs, those within one part not at all.  A null or empty text is a class
-    like any other.  Repeated rows each get their row; a null doc_id is kept
+    texts that have candidates in parts not joined with theirs yet; these meet
+    again with their shingles, large buckets in bounded block pairs, those
+    within one part not at all, and only local spanning stars leave a task.
+    A null or empty text is a class like any other.  Repeated rows each get their row; a null doc_id is kept
     and names no component.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -349,24 +378,25 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -
     stars = materialize(_stars(salted).groupBy("b").agg(F.min("a").alias("a"), F.min_by("a", F.struct("far", "a")).alias("nearest")))
     homes = stars.select(F.col("b").alias("key"), F.col("a").alias("home"))
     tested = verified(docs, classes, stars.select("a", "b").unionByName(stars.select(F.col("nearest").alias("a"), "b")).distinct(), homes, width)
-    parts = _parts(tested)
+    parts = _parts(tested.where("near"))
 
     held = materialize(described.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")))
     every = postings(held)
     small = every.join(hot, "bucket", "left_anti").withColumns({c: F.lit(0) for c in ("_own", "lo", "hi")})
     mixed = materialize(every.join(hot, "bucket").groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket", "n"))
-    rest = _crossing(small.unionByName(in_blocks(every, "bucket", "key", mixed, block)))
-    more = verified(docs, classes, rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), homes, width)
-    parts = _parts(tested.unionByName(more))
+    rest = materialize(_crossing_members(small.unionByName(in_blocks(every, "bucket", "key", mixed, block))))
+    grams = _grams(docs, classes, materialize(rest.select("key").distinct()), width)
+    more = materialize(_crossing_links(rest.join(grams, "key")))
+    parts = _parts(tested.where("near").select("a", "b").unionByName(more))
 
     named = classes.select("key", "rep").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least, "part").select("key", "component_id"))
-    for old in (classes, hot, stars, tested, more, held, mixed):
+    for old in (classes, hot, stars, tested, rest, grams, more, held, mixed):
         discard(spark, old)
     return prints.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 
-def _parts(tested: DataFrame) -> DataFrame:
-    found = components(tested.where("near"))
+def _parts(links: DataFrame) -> DataFrame:
+    found = components(links.select("a", "b"))
     return found.select(F.col("node").alias("key"), F.col("component").alias("part"))
