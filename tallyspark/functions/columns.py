@@ -285,3 +285,22 @@ def json_valid(c: Column | str) -> Column:
 def quoted_value(c: Column | str, key: str) -> Column:
     """The text between quotes after a key, without parsing the line."""
     return F.nullif(F.regexp_extract(_c(c), f'"{key}":"([^"]*)"', 1), F.lit(""))
+
+
+def whole_days(start: Column | str, end: Column | str) -> Column:
+    """Whether a range runs from one midnight to a later one."""
+    midnight = lambda c: _c(c) == F.date_trunc("day", _c(c))
+    return midnight(start) & midnight(end) & (_c(start) < _c(end))
+
+
+#: The refresh intervals that can be chosen, in seconds, and what others become.
+REFRESH, REFRESH_DEFAULT = (60, 180, 300, 600), 180
+
+
+def refresh_interval(c: Column | str) -> Column:
+    return F.when(_c(c).isin(*REFRESH), _c(c)).otherwise(REFRESH_DEFAULT)
+
+
+def enabled(c: Column | str) -> Column:
+    """A reader that no setting names is on."""
+    return F.coalesce(_c(c), F.lit(True))

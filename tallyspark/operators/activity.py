@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 SECOND = 1_000_000
 #: What an event without a near successor counts for, and the longest gap that counts whole.
 TAIL, GAP = 30 * SECOND, 300 * SECOND
-DAY = 86_400 * SECOND
+#: Windows over all streams are cut at multiples of this.
+CELL = 3_600 * SECOND
 
 
 def slices(events: DataFrame, stream: str = "stream_id", ts: str = "us", order: str = "event_id", clip: int | None = None, tail: int = TAIL, gap: int = GAP) -> DataFrame:
@@ -41,23 +42,23 @@ def active_time(intervals: DataFrame, *keys: str, stream: str = "stream_id") ->
     return merged.groupBy(*keys).agg(F.sum(F.col("end_us") - F.col("start_us")).alias("active_us"))
 
 
-def by_day(intervals: DataFrame, width: int = DAY) -> DataFrame:
-    """Intervals cut at multiples of the width, with `day`: windows over all streams then run in one task a day, not one."""
-    days = F.sequence(F.floor(F.col("start_us") / width), F.floor((F.col("end_us") - 1) / width))
-    cut = intervals.withColumn("day", F.explode(days))
-    return cut.withColumns({"start_us": F.greatest("start_us", F.col("day") * width), "end_us": F.least("end_us", (F.col("day") + 1) * width)})
+def by_cell(intervals: DataFrame, width: int = CELL) -> DataFrame:
+    """Intervals cut at multiples of the width, with `cell`: windows over all streams then run in one task a cell, not one."""
+    cells = F.sequence(F.floor(F.col("start_us") / width), F.floor((F.col("end_us") - 1) / width))
+    cut = intervals.withColumn("cell", F.explode(cells))
+    return cut.withColumns({"start_us": F.greatest("start_us", F.col("cell") * width), "end_us": F.least("end_us", (F.col("cell") + 1) * width)})
 
 
-def wall_clock(intervals: DataFrame, width: int = DAY) -> DataFrame:
-    """(wall_us): the time in which any stream is active.  Cutting by day changes no length of a union."""
-    return islands(by_day(intervals, width), "day").agg(F.coalesce(F.sum(F.col("end_us") - F.col("start_us")), F.lit(0)).alias("wall_us"))
+def wall_clock(intervals: DataFrame, width: int = CELL) -> DataFrame:
+    """(wall_us): the time in which any stream is active.  Cutting by cells changes no length of a union."""
+    return islands(by_cell(intervals, width), "cell").agg(F.coalesce(F.sum(F.col("end_us") - F.col("start_us")), F.lit(0)).alias("wall_us"))
 
 
-def max_concurrency(merged: DataFrame, width: int = DAY) -> DataFrame:
+def max_concurrency(merged: DataFrame, width: int = CELL) -> DataFrame:
     """(max_streams): the most streams active at once, of per-stream islands; an end counts before a start at the same time."""
-    cut = by_day(merged, width)
-    edges = cut.select("day", F.col("start_us").alias("t"), F.lit(1).alias("d")).unionByName(cut.select("day", F.col("end_us").alias("t"), F.lit(-1).alias("d")))
-    w = Window.partitionBy("day").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
+    cut = by_cell(merged, width)
+    edges = cut.select("cell", F.col("start_us").alias("t"), F.lit(1).alias("d")).unionByName(cut.select("cell", F.col("end_us").alias("t"), F.lit(-1).alias("d")))
+    w = Window.partitionBy("cell").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
     return edges.select(F.sum("d").over(w).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("max_streams"))
 
 

@@ -128,3 +128,8 @@ def storage_quota(stored: DataFrame, incoming: DataFrame, most: int) -> DataFram
     out = incoming.join(own, "device_id", "left").crossJoin(total)  # one row
     used = F.col("_all") - F.coalesce("_own", F.lit(0)) + F.col("bytes")
     return out.select("device_id", used.alias("used"), (used <= most).alias("fits"))
+
+
+def statuses(readers: DataFrame, scope: str = "all") -> DataFrame:
+    """Reader statuses of a scope: those of one origin are shown for readers that tell origins apart."""
+    return readers if scope == "all" else readers.where(F.col("partitioned") == (scope != "local"))

@@ -64,3 +64,21 @@ def as_json(rows: DataFrame) -> DataFrame:
     """(section, json): each row as an object with sorted keys and no empty cells; write it as text, or collect a report's few rows."""
     cells = F.struct(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in sorted(rows.columns) if c != "section"))
     return rows.select("section", F.to_json(cells).alias("json"))
+
+
+def as_document(totals: DataFrame, sources: DataFrame, models: DataFrame, date: str, most: int = 1000) -> DataFrame:
+    """(json): one object with sorted keys: date, models, sources and totals; tools and models are few, at most `most` each.
+
+    Each frame's columns become an object's keys; arrays are in the order of
+    the tokens, then of the name.
+    """
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        top = df.orderBy(F.desc("total_tokens"), F.asc(name)).limit(most)
+        cells = F.struct(*(F.col(c) for c in sorted(df.columns)))
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("total_tokens")).alias("_k"), F.col(name).alias("_n"), cells.alias("_r"))))
+        return top.agg(F.transform(listed, lambda x: x["_r"]).alias(f"{name}s"))
+
+    total = totals.select(F.struct(*(F.col(c) for c in sorted(totals.columns))).alias("totals"))
+    one = total.crossJoin(rows(sources, "source")).crossJoin(rows(models, "model"))  # three rows of one
+    return one.select(F.to_json(F.struct(F.lit(date).alias("date"), "models", "sources", "totals"), {"ignoreNullFields": "false"}).alias("json"))

@@ -219,7 +219,21 @@ ORDERS = {
     "models": [F.desc, "active_us", F.desc, "total_tokens", F.desc, "cost_nano", F.asc, "model", F.asc, "source"],
     "sources": [F.desc, "active_us", F.desc, "total_tokens", F.desc, "cost_nano", F.asc, "source"],
     "context": [F.desc, "total_tokens", F.asc, "model", F.asc, "source"],
+    "origins": [F.desc, "is_local", F.asc, "lower_name", F.asc, "origin_id"],
+    "supplemental": [F.asc, "label_rank", F.asc, "source", F.desc, "value"],
+    "events": [F.asc, "ts", F.asc, "source", F.asc, "model", *(x for c in C.COUNTERS for x in (F.asc, c))],
+    "ledger": [F.asc, "at_us", F.asc, "session", F.asc, "model"],
+    "devices": [F.asc, "lower_name", F.asc, "device_id"],
 }
+#: Labels of supplemental values in their order; others follow by unit.
+LABELS = ("Context", "Sessions", "Reported Cost")
+
+
+def label_rank(label: str = "label") -> Column:
+    rank = F.lit(len(LABELS))
+    for i, name in enumerate(LABELS):
+        rank = F.when(F.col(label) == name, i).otherwise(rank)
+    return rank
 
 
 def ordered(df: DataFrame, report: str, n: int | None = None) -> DataFrame:
@@ -227,3 +241,33 @@ def ordered(df: DataFrame, report: str, n: int | None = None) -> DataFrame:
     spec = ORDERS[report]
     out = df.orderBy(*(f(c) for f, c in zip(spec[::2], spec[1::2], strict=True)))
     return out.limit(n) if n else out
+
+
+def placed(df: DataFrame, report: str, n: int) -> DataFrame:
+    """The first n of a report with `place` from 1; the window runs over those n rows."""
+    spec = ORDERS[report]
+    order = [f(c) for f, c in zip(spec[::2], spec[1::2], strict=True)]
+    return ordered(df, report, n).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+
+
+def top_picks(projects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(pick, name, cost_nano): the first project with a path, else the first one, and the first session."""
+    first = ORDERS["projects"]
+    order = [f(c) for f, c in zip(first[::2], first[1::2], strict=True)]
+    project = projects.orderBy(F.col("project_path").isNull(), *order).limit(1).select(F.lit("project").alias("pick"), F.col("project_name").alias("name"), "cost_nano")
+    return project.unionByName(ordered(sessions, "sessions", 1).select(F.lit("session").alias("pick"), F.col("label").alias("name"), "cost_nano"))
+
+
+def with_all_sources(sums: DataFrame, names: list[str], shown: bool = True) -> DataFrame:
+    """sums by source, and where shown a row of zeros for each name without one."""
+    if not shown:
+        return sums
+    known = sums.sparkSession.createDataFrame([(n,) for n in names], "source string")
+    measures = [c for c in sums.columns if c != "source"]
+    return known.join(sums, "source", "full").select("source", *(F.coalesce(c, F.lit(0)).alias(c) for c in measures))
+
+
+def by_either_key(a: DataFrame, b: DataFrame, key: str, measures: list[str]) -> DataFrame:
+    """The keys of two maps, each with the sums of both."""
+    both = a.select(key, *measures).unionByName(b.select(key, *measures))
+    return both.groupBy(key).agg(*(F.sum(m).alias(m) for m in measures))

@@ -91,10 +91,7 @@ PARTS = {
       ON a.source = m.source AND a.session_key = m.session_key AND m.n = 1)""",
     "sv": """sv AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Context' ELSE 'Reported Cost' END AS label, CASE WHEN event_id % 2 = 0 THEN 'tokens' ELSE 'cents' END AS unit, source, FALSE AS included,
       CASE WHEN event_id % 2 = 0 THEN 'contextOnly' ELSE 'derived' END AS quality, model, cache_read_tokens AS value FROM te)""",
-    "fi": f"""li AS (SELECT doc_id, row_number() OVER () AS g, unnest(string_split(text || chr(10) || 'api_token = "' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 24) || '"', chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-      fi AS (SELECT doc_id, 'Secret assignment' AS rule_name, value, {_MASK} AS masked FROM
-      (SELECT doc_id, unnest(regexp_extract_all(line, '{audit.RULES[-1].pattern.replace("'", "''")}', 1)) AS value FROM li)
-      WHERE length(value) >= 12 AND NOT regexp_matches(lower(value), '^(\\*+|x+)$|{"|".join(audit.PLACEHOLDERS)}'))""",
+    "li": """li AS (SELECT doc_id, row_number() OVER () AS g, unnest(string_split(text || chr(10) || 'api_token = "' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 24) || '"', chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)""",
     "dv": """dv AS (SELECT CAST(o_custkey AS VARCHAR) AS device_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence, o_orderkey, o_orderdate, CAST(o_orderkey AS VARCHAR) AS digest, o_totalprice FROM orders)""",
 }
 
@@ -502,20 +499,16 @@ def replay_suppression(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT user_id, ts, us, k, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n, CAST(sum(k) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT *, epoch_us(ts) AS us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id < 30)),
+    """WITH RECURSIVE s AS (SELECT user_id, ts, us, k, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n, CAST(sum(k) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT *, epoch_us(ts) AS us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
     r AS (SELECT user_id, n, us, total, day, us AS p_us, total AS p_total, 0.0::DOUBLE AS v FROM s WHERE n = 1 UNION ALL
     SELECT s.user_id, s.n, s.us, s.total, s.day, CASE WHEN s.day <> r.day OR s.us - r.p_us >= 1000000 THEN s.us ELSE r.p_us END, CASE WHEN s.day <> r.day OR s.us - r.p_us >= 1000000 THEN s.total ELSE r.p_total END,
     CASE WHEN s.day <> r.day THEN 0.0 WHEN s.us - r.p_us < 1000000 THEN r.v WHEN r.v > 0 THEN 0.65::DOUBLE * ((s.total - r.p_total) * 1e6 / (s.us - r.p_us)) + 0.35::DOUBLE * r.v ELSE (s.total - r.p_total) * 1e6 / (s.us - r.p_us) END FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)
     SELECT CAST(user_id AS VARCHAR) AS key, us AS at_us, total AS tokens, round(v, 6) AS rate FROM r"""
 )
 def velocity_ewma(spark, sf_dir):
-    return _velocity(token_events(spark, sf_dir).where("user_id < 30"))
-
-
-def _velocity(events):
     from pyspark.sql import Window
 
-    rows = events.withColumn("day", C.day_key("ts"))
+    rows = token_events(spark, sf_dir).withColumn("day", C.day_key("ts"))
     w = Window.partitionBy("user_id", "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     samples = rows.select(F.col("user_id").cast("string").alias("key"), "day", F.col("us").alias("at_us"), F.sum("output_tokens").over(w).alias("tokens"))
     return folds.velocities(samples).withColumn("rate", F.round("rate", 6))
@@ -538,12 +531,6 @@ def ledger_status(spark, sf_dir):
     return ledgers.status(table(spark, sf_dir, "lineitem").select(F.floor("l_quantity").cast("long").alias("input_tokens"), *(zero.alias(c) for c in C.COUNTERS[1:])))
 
 
-@query(ORACLE["velocity_ewma"].replace(" WHERE user_id < 30", ""))
-def velocity_ewma_all(spark, sf_dir):
-    """velocity_ewma over every user."""
-    return _velocity(token_events(spark, sf_dir))
-
-
 # Devices
 
 def _envelopes(spark, sf_dir):
@@ -660,7 +647,8 @@ def json_extract(spark, sf_dir):
 @query("SELECT c_custkey FROM customer WHERE starts_with(c_name, (SELECT min(c_name)[1:12] FROM customer))")
 def key_prefix_scan(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return c.where(C.key_prefix("c_name", c.agg(F.left(F.min("c_name"), F.lit(12))).head()[0])).select("c_custkey")
+    least = F.broadcast(c.agg(F.left(F.min("c_name"), F.lit(12)).alias("prefix")))  # one row
+    return c.join(least, F.col("c_name").startswith(F.col("prefix"))).select("c_custkey")
 
 
 @query("SELECT event_id, coalesce(session_id[1:10], strftime(ts, '%H:%M') || ' session') AS label, coalesce(session_id, coalesce(project_path, 'Unknown Project') || '|' || CAST(CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS VARCHAR)) AS session_key FROM te", "te")
@@ -668,18 +656,13 @@ def session_labels(spark, sf_dir):
     return token_events(spark, sf_dir).select("event_id", C.session_label(F.lit(None).cast("string"), "session_id", "ts").alias("label"), C.session_key("session_id", "project_path", "ts").alias("session_key"))
 
 
-@query("SELECT event_id, CASE WHEN t < 1000 THEN CAST(t AS VARCHAR) WHEN t < 10000 THEN regexp_replace(printf('%.2f', round(t / 1000.0::DOUBLE, 2)), '0$', '') || 'K' WHEN t < 999950 THEN printf('%.1f', round(t / 1000.0::DOUBLE, 1)) || 'K' ELSE regexp_replace(printf('%.2f', round(t / 1e6, 2)), '0$', '') || 'M' END AS label FROM (SELECT event_id, total_tokens AS t FROM te WHERE total_tokens % 10 <> 5 AND total_tokens % 100 <> 50)", "te")
-def format_tokens(spark, sf_dir):
-    return token_events(spark, sf_dir).where("total_tokens % 10 <> 5 AND total_tokens % 100 <> 50").select("event_id", C.format_tokens("total_tokens").alias("label"))
-
-
 _TENTHS, _HUNDREDTHS = "(({0} + {1} // 20) // ({1} // 10) // 10) || '.' || (({0} + {1} // 20) // ({1} // 10) % 10)", "regexp_replace((({0} + {1} // 200) // ({1} // 100) // 100) || '.' || lpad(CAST(({0} + {1} // 200) // ({1} // 100) % 100 AS VARCHAR), 2, '0'), '0$', '')"
 _UNITS = lambda t: " ".join(f"WHEN {t} < {top} THEN CASE WHEN {t} >= {10 * unit} THEN {_TENTHS.format(t, unit)} ELSE {_HUNDREDTHS.format(t, unit)} END || '{name}'" for top, unit, name in ((999_950, 1000, "K"), (999_950_000, 1_000_000, "M"), (10**18, 10**9, "B")))
 
 
 @query(f"SELECT event_id, CASE WHEN total_tokens < 1000 THEN CAST(total_tokens AS VARCHAR) {_UNITS('total_tokens')} END AS label FROM te", "te")
-def format_tokens_all(spark, sf_dir):
-    """format_tokens of every event; the SQL rounds ties up in whole numbers, as the operator does."""
+def format_tokens(spark, sf_dir):
+    """The SQL rounds ties up in whole numbers, as the operator does."""
     return token_events(spark, sf_dir).select("event_id", C.format_tokens("total_tokens").alias("label"))
 
 
@@ -688,19 +671,10 @@ def format_duration(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.format_duration(F.col("event_id") * 7).alias("label"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN c >= 1000 THEN '$' || printf('%.1f', c / 1000) || 'K' WHEN c >= 100 THEN '$' || printf('%.0f', c) WHEN c >= 10 THEN '$' || printf('%.1f', c) ELSE '$' || printf('%.2f', c) END AS label FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) + 0.0625 + l_linenumber AS c FROM lineitem WHERE floor(l_extendedprice) % 100 <> 50)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN c >= 1000 THEN '$' || printf('%.1f', c / 1000) || 'K' WHEN c >= 100 THEN '$' || printf('%.0f', c) WHEN c >= 10 THEN '$' || printf('%.1f', c) ELSE '$' || printf('%.2f', c) END AS label FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) + 0.0625 + l_linenumber AS c FROM lineitem)")
 def format_cost(spark, sf_dir):
-    return _cost_labels(table(spark, sf_dir, "lineitem").where("floor(l_extendedprice) % 100 <> 50"))
-
-
-def _cost_labels(rows):
-    return rows.select("l_orderkey", "l_linenumber", C.format_cost(F.floor("l_extendedprice") + F.lit(0.0625) + F.col("l_linenumber")).alias("label"))
-
-
-@query(ORACLE["format_cost"].replace(" WHERE floor(l_extendedprice) % 100 <> 50", ""))
-def format_cost_all(spark, sf_dir):
-    """format_cost of every line; the sixteenth keeps each amount off a rounding tie."""
-    return _cost_labels(table(spark, sf_dir, "lineitem"))
+    """The sixteenth keeps each amount off a rounding tie."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.format_cost(F.floor("l_extendedprice") + F.lit(0.0625) + F.col("l_linenumber")).alias("label"))
 
 
 @query("SELECT event_id, round(CASE WHEN r <= 0 THEN 0.09 WHEN r <= 20 THEN 0.09 + r * (0.055 - 0.09) / 20 WHEN r <= 40 THEN 0.055 + (r - 20) * (0.035 - 0.055) / 20 WHEN r <= 60 THEN 0.035 + (r - 40) * (0.023 - 0.035) / 20 WHEN r <= 80 THEN 0.023 + (r - 60) * (0.016 - 0.023) / 20 ELSE 0.016 END, 9) AS every FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS r FROM events)")
@@ -710,26 +684,11 @@ def frame_interval(spark, sf_dir):
 
 # Audit and export
 
-def _findings(spark, sf_dir, rules=audit.RULES[-1:]):
+def _findings(spark, sf_dir):
     """Every line of every text, and after it one assignment made from the document's id."""
     planted = F.concat(F.col("text"), F.lit('\napi_token = "'), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 24), F.lit('"'))
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", planted.alias("text"))
-    return audit.findings(audit.lines(docs, "text", "doc_id"), "doc_id", rules=rules)
-
-
-@query("SELECT doc_id, rule_name, masked, count(*) AS findings FROM fi GROUP BY ALL", "fi")
-def secret_findings(spark, sf_dir):
-    return _findings(spark, sf_dir).groupBy("doc_id", "rule_name", "masked").agg(F.count("*").alias("findings"))
-
-
-@query("SELECT 'medium' AS severity, 'environmentSecret' AS category, rule_name, count(*) AS findings FROM fi GROUP BY ALL", "fi")
-def secret_facets(spark, sf_dir):
-    return audit.facets(_findings(spark, sf_dir))
-
-
-@query("SELECT doc_id, masked FROM fi ORDER BY doc_id, masked LIMIT 200", "fi")
-def findings_page(spark, sf_dir):
-    return _findings(spark, sf_dir).orderBy("doc_id", "masked").limit(200).select("doc_id", "masked")
+    return audit.findings(audit.lines(docs, "text", "doc_id"), "doc_id")
 
 
 def _rule_sql(r: audit.Rule) -> str:
@@ -747,22 +706,20 @@ def _rule_sql(r: audit.Rule) -> str:
 PARTS["fa"] = f"fa AS (SELECT *, CASE WHEN contains(value, 'PRIVATE KEY') THEN '{audit.PEM}' ELSE {_MASK} END AS masked FROM ({' UNION ALL '.join(map(_rule_sql, audit.RULES))}))"
 
 
-@query("SELECT doc_id, rule_name, masked, count(*) AS findings FROM fa GROUP BY ALL", "fi", "fa")
-def secret_findings_all(spark, sf_dir):
-    """secret_findings by all rules."""
-    return _findings(spark, sf_dir, audit.RULES).groupBy("doc_id", "rule_name", "masked").agg(F.count("*").alias("findings"))
+@query("SELECT doc_id, rule_name, masked, count(*) AS findings FROM fa GROUP BY ALL", "li", "fa")
+def secret_findings(spark, sf_dir):
+    return _findings(spark, sf_dir).groupBy("doc_id", "rule_name", "masked").agg(F.count("*").alias("findings"))
 
 
-@query("SELECT severity, category, rule_name, count(*) AS findings FROM fa GROUP BY ALL", "fi", "fa")
-def secret_facets_all(spark, sf_dir):
-    """secret_facets by all rules."""
-    return audit.facets(_findings(spark, sf_dir, audit.RULES))
+@query("SELECT severity, category, rule_name, count(*) AS findings FROM fa GROUP BY ALL", "li", "fa")
+def secret_facets(spark, sf_dir):
+    return audit.facets(_findings(spark, sf_dir))
 
 
-@query("SELECT doc_id, rule_name, masked FROM fa ORDER BY severity, doc_id, rule_name, masked LIMIT 200", "fi", "fa")
-def findings_page_all(spark, sf_dir):
-    """findings_page by all rules, the severe first."""
-    return _findings(spark, sf_dir, audit.RULES).orderBy(C.severity_rank("severity"), "doc_id", "rule_name", "masked").limit(200).select("doc_id", "rule_name", "masked")
+@query("SELECT doc_id, rule_name, masked FROM fa ORDER BY severity, doc_id, rule_name, masked LIMIT 200", "li", "fa")
+def findings_page(spark, sf_dir):
+    """The severe first."""
+    return _findings(spark, sf_dir).orderBy(C.severity_rank("severity"), "doc_id", "rule_name", "masked").limit(200).select("doc_id", "rule_name", "masked")
 
 
 @query("SELECT c_custkey, length(v) < 12 OR regexp_matches(v, 'x{12}|example') AS placeholder FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'xxxxxxxxxxxx' WHEN 1 THEN 'an-example-key-1' WHEN 2 THEN 'short' ELSE md5(c_name) END AS v FROM customer)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ def _since(t: datetime | None) -> dict[str, str]:
     return {"modifiedAfter": (t - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")} if t else {}
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", since: datetime | None = None) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", since: datetime | None = None) -> DataFrame:
     """(path, modified, line, text): non-blank lines of files below a folder; `line` orders those of one file.
 
     Large files are split between tasks; `line` is the byte range's number and
@@ -36,6 +36,21 @@ def dated(paths: Column) -> Column:
     return F.try_to_date(F.nullif(F.translate(F.trim(F.translate(d, "/", " ")), " ", "-"), F.lit("")))
 
 
+def day_folders(spark: SparkSession, path: str, first: date, last: date, lookback: int = 3, archived: str = "archived_sessions") -> list[str]:
+    """The folders of these days and of `lookback` days before, and the archive, of those that exist below the path.
+
+    Only these are listed; the folders of other days are never looked into.
+    """
+    days = [first + timedelta(days=k) for k in range(-lookback, (last - first).days + 1)]
+    jvm = spark.sparkContext._jvm
+    found = []
+    for wanted in [*(f"{path}/sessions/{d:%Y/%m/%d}" for d in days), f"{path}/{archived}"]:
+        at = jvm.org.apache.hadoop.fs.Path(wanted)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            found.append(wanted)
+    return found
+
+
 def in_days(files: DataFrame, first: str, last: str, lookback: int = 3, archived: str = "archived_sessions") -> DataFrame:
     """Files of the days from `lookback` before the first up to the last, archived ones whatever their day."""
     day = dated(F.col("path"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from pathlib import PurePosixPath as Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import columns as C
-from tallyspark.operators import dedup, folds
+from tallyspark.operators import dedup, folds, pricing
 from tallyspark.sources import files, sqlite
 
 EVENT = ("ts", "source", "model", *C.COUNTERS, "project_path", "project_name", "session_id", "quality", "stream_id", "agent_kind", "cost")
@@ -57,14 +58,21 @@ def request_log(spark: SparkSession, path: str, start: datetime, end: datetime,
     return {"events": _events(one, "Claude Code", stream_id=F.col("request"), **cells), "activity": activity}
 
 
-def rollout_log(spark: SparkSession, path: str, start: datetime, end: datetime, sessions: DataFrame | None = None) -> dict[str, DataFrame]:
+def rollout_log(spark: SparkSession, path: str, start: datetime, end: datetime, sessions: DataFrame | None = None, complete: DataFrame | None = None) -> dict[str, DataFrame]:
     """Logs of running totals: repeats of a parent's log go, totals become increments, and then the range is taken.
 
-    sessions: (rollout, model, project_path, quality, agent_kind) as merged from index and logs.
+    Where the path has folders by day, only those of the range and of three
+    days before are listed, and the archive.  sessions: (rollout, model,
+    project_path, quality, agent_kind) as merged from index and logs.
+    complete: (rollout) of logs that the index accounts for already.
     """
+    if Path(path).name not in ("sessions", "archived_sessions") and (days := files.day_folders(spark, path, start.date(), end.date())):
+        path = days
     counts = "struct<input_tokens: bigint, cached_input_tokens: bigint, output_tokens: bigint, reasoning_output_tokens: bigint, total_tokens: bigint>"
     schema = f"timestamp string, type string, payload struct<type: string, id: string, forked_from_id: string, source: string, thread_source: string, turn_id: string, model: string, cwd: string, info: struct<total_token_usage: {counts}, last_token_usage: {counts}>>"
-    rows = files.decoded(files.lines(spark, path), schema)
+    rows = files.decoded(files.lines(spark, path, since=start), schema)
+    if complete is not None:
+        rows = rows.join(complete.select(F.col("rollout").alias("path")).distinct(), "path", "left_anti")
     parent = F.coalesce(C.blank_to_null("r.payload.forked_from_id"), F.get_json_object("text", "$.payload.source.subagent.thread_spawn.parent_thread_id"))
     kind = F.when(F.col("r.type") == "event_msg", F.col("r.payload.type")).otherwise(F.col("r.type"))
     part = lambda group, prefix: [F.coalesce(F.col(f"r.payload.info.{group}.{n}"), F.when(F.col(f"r.payload.info.{group}").isNotNull(), F.lit(0).cast("long"))).alias(f"{prefix}_{c}") for n, c in (("input_tokens", "input"), ("cached_input_tokens", "cached"), ("output_tokens", "output"), ("reasoning_output_tokens", "reasoning"))]
@@ -190,6 +198,30 @@ def session_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+def session_events(spark: SparkSession, path: str, start: datetime, end: datetime) -> dict[str, DataFrame]:
+    """session_store(), and as `events` what an observation at the end of the range dates into it.
+
+    A session counts if it began, or its first message came, after the start;
+    it is one event at its last message, or where none is known at its
+    beginning.  Its cost is the actual one, else the estimated one.
+    """
+    out = session_store(spark, path)
+    s = out["sessions"]
+    us = lambda t: F.lit(t).cast("timestamp_ntz")
+    null = F.lit(None).cast("long")
+    cost = pricing.best_recorded_cost("_actual", "_estimated", "_none")
+    s = s.withColumns({"_actual": F.col("actual_cost_usd").try_cast("double"), "_estimated": F.col("estimated_cost_usd").try_cast("double"), "_none": F.lit(None).cast("double")})
+    seen = s.where("started_us IS NOT NULL").select(
+        F.col("session_id").alias("session"), C.micros(us(end)).alias("observed_us"), C.micros(us(start)).alias("previous_us"), "started_us", "earliest_us", "latest_us", *C.COUNTERS, cost.alias("cost"), *(null.alias(r) for r in pricing.RATES)
+    )
+    dated = folds.ledger(seen).where("kind = 'event'").withColumn("ts", F.timestamp_micros("at_us").cast("timestamp_ntz"))
+    about = s.select(F.col("session_id").alias("session"), C.model_id("model").alias("model"), F.coalesce(C.blank_to_null("git_repo_root"), C.blank_to_null("cwd")).alias("project_path"))
+    joined = _within(dated, "ts", start, end).join(about, "session", "left")
+    cells = {c: F.col(c) for c in ("ts", "model", "project_path", "cost", *C.COUNTERS)}
+    out["events"] = _events(joined, "Hermes", session_id=F.col("session"), stream_id=F.col("session"), quality=F.lit("exact"), **cells)
+    return out
+
+
 #: The readers of local logs in their fixed order.
 READERS: dict[str, Callable] = {
     "Claude Code": request_log,
@@ -199,27 +231,38 @@ READERS: dict[str, Callable] = {
     "OpenCode": message_table,
     "OpenClaw": aliased_log,
     "GJC": headed_log,
-    "Hermes": session_store,
+    "Hermes": session_events,
 }
+#: Tables of readers besides their events that collect_all() brings together.
+OTHERS = ("activity", "supplemental", "unmetered")
 
 
-def collect(spark: SparkSession, paths: dict[str, str], start: datetime, end: datetime, enabled: set[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """(events, status): one lazy union of the enabled readers' events, and how each reader fared.
+def collect_all(spark: SparkSession, paths: dict[str, str], start: datetime, end: datetime, enabled: set[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, status): lazy unions of the enabled readers' events and OTHERS, each row with its reader, and how each fared.
 
     A reader that fails when its plan is made, as for a missing file, is a row
     of status, not an error.
     """
-    events, status = None, []
+    tables: dict[str, DataFrame] = {}
+    status = []
     for name, reader in READERS.items():
         if name not in paths or (enabled is not None and name not in enabled):
             status.append((name, "disabled", None))
             continue
         try:
-            found = reader(spark, paths[name]) if reader is session_store else reader(spark, paths[name], start, end)
+            found = reader(spark, paths[name], start, end)
             status.append((name, "ok", None))
         except Exception as e:  # noqa: BLE001  whatever a reader's files hold
             status.append((name, "failed", str(e).splitlines()[0][:200]))
             continue
-        if "events" in found:
-            events = found["events"] if events is None else events.unionByName(found["events"])
-    return events, spark.createDataFrame(status, "reader string, status string, message string")
+        for kind in ("events", *OTHERS):
+            if kind in found:
+                more = found[kind].withColumn("reader", F.lit(name))
+                tables[kind] = tables[kind].unionByName(more, allowMissingColumns=True) if kind in tables else more
+    return tables, spark.createDataFrame(status, "reader string, status string, message string")
+
+
+def collect(spark: SparkSession, paths: dict[str, str], start: datetime, end: datetime, enabled: set[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(events, status) of collect_all()."""
+    tables, status = collect_all(spark, paths, start, end, enabled)
+    return (tables["events"].drop("reader") if "events" in tables else None), status

@@ -120,6 +120,29 @@ def test_files(spark, tmp_path):
     assert sorted(r.text for r in found.collect()) == ["2", "3", "4"]
 
 
+def test_only_wanted_days_are_listed(spark, tmp_path):
+    for day in ("2026/04/01", "2026/04/08", "2026/04/10"):
+        write(tmp_path / f"sessions/{day}/r.jsonl", ["x"])
+    write(tmp_path / "archived_sessions/old.jsonl", ["x"])
+    found = files.day_folders(spark, str(tmp_path), START.date(), END.date())
+    assert [f.removeprefix(str(tmp_path)) for f in found] == ["/sessions/2026/04/08", "/sessions/2026/04/10", "/archived_sessions"]
+
+
+def test_sessions_reach_the_union(spark, tmp_path):
+    path = str(tmp_path / "store.db")
+    at = START.replace(tzinfo=dt.UTC).timestamp()
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE sessions (id TEXT, started_at REAL, model TEXT, input_tokens INTEGER, output_tokens INTEGER, cwd TEXT, estimated_cost_usd REAL, actual_cost_usd REAL)")
+        db.executemany("INSERT INTO sessions VALUES (?, ?, 'm', ?, 5, '/p', ?, ?)", [("in", at + 60, 10, 0.5, 0.0), ("old", at - 86400, 20, 1.0, 2.0), ("empty", at + 90, -5, 0, 0)])
+        db.execute("CREATE TABLE messages (id TEXT, session_id TEXT, timestamp REAL)")
+        db.execute("INSERT INTO messages VALUES ('1', 'in', ?)", (at + 3600,))
+    tables, status = readers.collect_all(spark, {"Hermes": path, "OpenClaw": str(tmp_path / "none")}, START, END)
+    rows = tables["events"].collect()
+    assert [(r.session_id, r.model, r.input_tokens, r.output_tokens, r.cost, r.project_path, r.reader) for r in rows] == [("in", "m", 10, 5, 0.5, "/p", "Hermes")]
+    assert rows[0].ts == (START + dt.timedelta(hours=1)).replace(tzinfo=None)
+    assert {r.reader: r.status for r in status.collect() if r.status != "disabled"} == {"Hermes": "ok", "OpenClaw": "failed"}
+
+
 def test_streams(spark, tmp_path):
     src, out, ck = tmp_path / "in", tmp_path / "out", tmp_path / "ck"
     write(src / "a.json", [{"device_id": "a", "sequence": 1, "digest": "x"}, {"device_id": "a", "sequence": 3, "digest": "y"}])

@@ -22,17 +22,17 @@ PLANTED = {
 
 
 def test_every_row_is_looked_at(spark):
-    for name, table in (("velocity_ewma_all", "events"), ("format_tokens_all", "events"), ("format_cost_all", "lineitem")):
+    for name, table in (("velocity_ewma", "events"), ("format_tokens", "events"), ("format_cost", "lineitem")):
         assert catalogue.QUERIES[name](spark, SF).count() == catalogue.table(spark, SF, table).count(), name
 
 
 def test_all_rules_find_what_is_planted(spark, tmp_path):
     rows = [(i, f"before {v} after") for i, v in enumerate(PLANTED.values())]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r.rule_name for r in catalogue.QUERIES["secret_findings_all"](spark, str(tmp_path)).collect()}
+    found = {r.rule_name for r in catalogue.QUERIES["secret_findings"](spark, str(tmp_path)).collect()}
     assert found == {r.name for r in audit.RULES}
-    assert {r.rule_name for r in catalogue.QUERIES["secret_facets_all"](spark, str(tmp_path)).collect()} == found
-    assert set(PLANTED) <= {r.rule_name for r in catalogue.QUERIES["findings_page_all"](spark, str(tmp_path)).collect()}
+    assert {r.rule_name for r in catalogue.QUERIES["secret_facets"](spark, str(tmp_path)).collect()} == found
+    assert set(PLANTED) <= {r.rule_name for r in catalogue.QUERIES["findings_page"](spark, str(tmp_path)).collect()}
 
 
 def test_velocities_of_every_user_equal_brute_force(spark):
@@ -52,5 +52,5 @@ def test_velocities_of_every_user_equal_brute_force(spark):
                     raw = (total - then) / ((us - at) / 1e6)
                     rate, at, then = (0.65 * raw + 0.35 * rate if rate > 0 else raw), us, total
             want[str(user), us, total] = rate
-    got = {(r.key, r.at_us, r.tokens): r.rate for r in catalogue.QUERIES["velocity_ewma_all"](spark, SF).collect()}
+    got = {(r.key, r.at_us, r.tokens): r.rate for r in catalogue.QUERIES["velocity_ewma"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
