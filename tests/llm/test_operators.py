@@ -112,8 +112,9 @@ def test_pivot_counts_in_small_blocks(spark):
     rng = np.random.default_rng(4)
     rows = [(i, 1, 8, (np.eye(8)[i % 2] + rng.standard_normal(8) * 0.01).tolist()) for i in range(200)]
     classes = spark.createDataFrame(rows, "rep long, m long, dim int, vec array<double>")
-    described = common.materialize(pivots.describe(classes, pivots.fit_pivots(classes)))
-    n = {r.rep: r.n for r in pivots.found_links(described, 0.95, block=16).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
+    points = pivots.fit_pivots(classes)
+    described = common.materialize(pivots.describe(classes, points))
+    n = {r.rep: r.n for r in pivots.found_links(described, classes, points, 0.95, block=16).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
     assert sum(n.values()) >= 0.97 * 200 * 99 and max(n.values()) <= 99
 
 

@@ -1,27 +1,34 @@
-"""The pivot index finds pairs at the threshold whatever the number of reference points."""
+"""Recall of the pivot index against brute force, on tables of three kinds."""
 
 import numpy as np
 import pytest
 
-from tallyspark.llm import common, pivots
+from tallyspark.llm import pivots
 
 
-def pairs_at(cosine, n, d, rng):
-    x = pivots.unit(rng.standard_normal((n, d)))
-    r = rng.standard_normal((n, d))
-    r = pivots.unit(r - (r * x).sum(1, keepdims=True) * x)
-    return x, cosine * x + np.sqrt(1 - cosine**2) * r
+def made(kind, n=6000, d=48, planted=400, seed=1):
+    """Unit vectors, of which planted pairs have a cosine of exactly 0.95."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, d))
+    if kind == "cone":
+        x += 2.3 * np.sqrt(d) * np.eye(d)[0]  # mean cosine about 0.84
+    if kind == "dense":
+        x[: n // 3] = rng.standard_normal(d) + 0.25 * rng.standard_normal((n // 3, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = n // 2 + np.arange(planted)
+    other = x[at + planted] - (x[at + planted] * x[at]).sum(1, keepdims=True) * x[at]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return np.vstack((x, 0.9501 * x[at] + np.sqrt(1 - 0.9501**2) * other))
 
 
-@pytest.mark.parametrize("points", [512, 2048, pivots.MOST])
-def test_recall_does_not_fall_with_the_number_of_points(spark, points):
-    rng, n = np.random.default_rng(points), 400
-    x, y = pairs_at(0.951, n, 64, rng)
-    rows = [(i, 1, 64, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))]
-    classes = spark.createDataFrame(rows, "rep long, m long, dim int, vec array<double>")
-    held = {64: pivots.unit(rng.standard_normal((points, 64)))}
-    described = common.materialize(pivots.describe(classes, held))
-    links = pivots.found_links(described, 0.95, shared={64: pivots.shared_of(points)}).collect()
-    found = {r.rep for r in links if r.n}
-    assert sum(i in found and i + n in found for i in range(n)) >= 0.98 * n
-    assert all(r.n == 1 for r in links if r.n)
+@pytest.mark.parametrize("kind", ["even", "cone", "dense"])
+def test_recall(spark, kind):
+    x = made(kind)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(table).collect()}
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert want.sum() >= 800
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.95 * want.sum()
+    planted = np.flatnonzero(want > 0)[-400:]
+    assert sum(got[i] > 0 for i in planted.tolist()) >= 0.95 * len(planted)
