@@ -17,7 +17,7 @@ NEAREST = 16
 #: A vector is listed under each pair of its first reference points: of so many at least, and at most.
 FIRST_LEAST, FIRST_MOST = 4, 12
 #: Share of made pairs at exactly the threshold that the number of shared points and the lists must each find.
-FOUND = 0.99
+FOUND = 0.995
 #: The reference points are a sample of about 2 * sqrt(N) vectors, within these bounds.
 FEWEST, MOST = 64, 16_384
 #: Where linked vectors share too little of them, as in a narrow cone, their number is halved, down to this.
