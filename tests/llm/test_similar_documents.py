@@ -51,7 +51,7 @@ def test_planted_near_copies_against_brute_force(spark, block):
     assert set(got) == set(want) and all(want[i] == want[c] for i, c in got.items())
     assert sum(got[i] == c for i, c in want.items()) >= 0.98 * len(want)
     dense = [got[i] for i in got if want[i] == want[800]]
-    assert len(dense) > 90 and max(map(dense.count, dense)) >= 0.98 * len(dense)
+    assert len(dense) > 50 and max(map(dense.count, dense)) >= 0.98 * len(dense)  # brute force joins 56 of the 100 copies
 
 
 def test_stage_keeps_one_of_each_group(spark):
