@@ -12,11 +12,13 @@ TAIL, GAP = 30 * SECOND, 300 * SECOND
 CELL = 3_600 * SECOND
 
 
-def slices(events: DataFrame, stream: str = "stream_id", ts: str = "us", order: str = "event_id", clip: int | None = None, tail: int = TAIL, gap: int = GAP) -> DataFrame:
-    """events with start_us and end_us: up to the stream's next event if that is near, else the tail.
+def spans(events: DataFrame, stream: str = "stream_id", ts: str = "us", order: str = "event_id", clip: int | None = None, tail: int = TAIL, gap: int = GAP) -> DataFrame:
+    """All events with start_us, end_us and active_us: up to the stream's next event if that is near, else the tail.
 
     Of events at the same time only the last counts; nothing counts at or
-    after clip, and no slice goes beyond it.
+    after clip, and no span goes beyond it.  A stream's spans never overlap,
+    so active_us adds up over its events to their merged time: sums by any key
+    need no second pass.
     """
     w = Window.partitionBy(stream).orderBy(ts, order)
     ahead = F.lead(ts).over(w) - F.col(ts)
@@ -24,7 +26,12 @@ def slices(events: DataFrame, stream: str = "stream_id", ts: str = "us", order:
     end = F.col(ts) + length
     if clip is not None:
         end = F.when(F.col(ts) >= clip, F.col(ts)).otherwise(F.least(end, F.lit(clip)))
-    return events.withColumns({"start_us": F.col(ts), "end_us": end}).where("end_us > start_us")
+    return events.withColumns({"start_us": F.col(ts), "end_us": end}).withColumn("active_us", F.col("end_us") - F.col("start_us"))
+
+
+def slices(events: DataFrame, stream: str = "stream_id", ts: str = "us", order: str = "event_id", clip: int | None = None, tail: int = TAIL, gap: int = GAP) -> DataFrame:
+    """events with start_us and end_us, without those that take no time."""
+    return spans(events, stream, ts, order, clip, tail, gap).where("end_us > start_us").drop("active_us")
 
 
 def islands(intervals: DataFrame, *keys: str) -> DataFrame:

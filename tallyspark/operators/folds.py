@@ -7,12 +7,16 @@ are plain functions that the streaming operators use as well.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any, NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyspark.functions.columns import COUNTERS
 
@@ -20,22 +24,27 @@ Step = Callable[[Any, Any], tuple[Any, list[tuple]]]
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
-    """Rows of each key in order through step(state, row) -> (state, rows out); the state begins as None."""
-    names = [part.split()[0] for part in schema.split(", ")]
+    """Rows of each key in order through step(state, row) -> (state, rows out); the state begins as None.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows come as Arrow batches, so that a column of longs with a null keeps its digits.
+    """
+    Row = namedtuple("Row", df.columns, rename=True)  # noqa: N806
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
-        for pdf in batches:
+        for batch in batches:
             out: list[tuple] = []
-            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+            for row in map(Row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 key = tuple(getattr(row, k) for k in keys)
                 if key != at:
                     at, state = key, None
                 state, rows = step(state, row)
                 out += rows
-            yield pd.DataFrame(out, columns=names)
+            columns = zip(*out, strict=True) if out else [()] * len(out_schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 class Counts(NamedTuple):
@@ -100,9 +109,23 @@ def counter_events(snapshots: DataFrame, kind: str = "string", ts: str = "timest
 
     snapshots: (rollout, ts, ord, t_* totals, l_* last increments or null), by
     time, not by place in the file.  Filter by time afterwards: the fold has to
-    begin before the range.
+    begin before the range.  Only rollouts in which a total ever falls need the
+    fold; of the others, the differences to the report before say the same.
     """
-    return fold(snapshots, ["rollout"], ["ts", "ord"], counter_step, f"rollout {kind}, ts {ts}, ord long, {COUNTED}")
+    whole = {n: F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in TOTAL} | {n: F.when(F.col(LAST[0]).isNotNull(), F.coalesce(F.col(n).cast("long"), F.lit(0))) for n in LAST}
+    w = Window.partitionBy("rollout")
+    before = {f"_b_{n}": F.lag(n).over(w.orderBy("ts", "ord")) for n in TOTAL}
+    seen = snapshots.where(F.col(TOTAL[0]).isNotNull()).select("rollout", "ts", F.col("ord").cast("long").alias("ord"), *(c.alias(n) for n, c in whole.items()))
+    fell = F.greatest(*(F.col(f"_b_{n}") - F.col(n) for n in TOTAL)) > 0
+    seen = seen.withColumns(before).withColumn("_fell", F.coalesce(F.max(fell).over(w), F.lit(False)))
+
+    added = [F.when(F.col(f"_b_{t}").isNotNull(), F.col(t) - F.col(f"_b_{t}")).when(F.col(LAST[0]).isNotNull(), F.col(n)).otherwise(F.col(t)) for t, n in zip(TOTAL, LAST, strict=True)]
+    i, c, o, r = added
+    parts = (F.greatest(F.lit(0), i - c), F.greatest(F.lit(0), o - r), c, r)
+    names = [p.split()[0] for p in COUNTED.split(", ")]
+    rising = seen.where(~F.col("_fell")).select(F.col("rollout").cast(kind), F.col("ts").cast(ts), "ord", *(p.cast("long").alias(n) for p, n in zip(parts, names, strict=True)))
+    rising = rising.where(" + ".join(names) + " > 0")
+    return rising.unionByName(fold(seen.where("_fell").select("rollout", "ts", "ord", *TOTAL, *LAST), ["rollout"], ["ts", "ord"], counter_step, f"rollout {kind}, ts {ts}, ord long, {COUNTED}"))
 
 
 @dataclass(frozen=True)

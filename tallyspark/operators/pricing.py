@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values, in nano-dollars a token (milli-dollars a million): key, input, output, cache read, cache write, and
@@ -49,37 +51,42 @@ PRICES = (
 RATES = ("input_rate", "output_rate", "cache_read_rate", "cache_write_rate")
 
 
-def price_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRICES, "price_key string, input_rate long, output_rate long, cache_read_rate long, cache_write_rate long, exact_only boolean")
+def _choice(model: Column, rows: Iterable[tuple]) -> Column:
+    """The price of a model as a struct (price_key, the four rates), null if it has none: its own key, else the longest that it begins with.
 
+    The prices are a few dozen fixed rows, so this is an expression over the
+    scan's rows: events need no second scan for their names and no join.
+    """
+    rows = sorted(rows, key=lambda r: (-len(r[0]), r[0]))
+    price = lambda r: F.struct(F.lit(r[0]).alias("price_key"), *(F.lit(v).cast("long").alias(n) for v, n in zip(r[1:5], RATES, strict=True)))
+    out = F.when(F.lit(False), price(rows[0]))
+    for r in rows:
+        out = out.when(model == r[0], price(r))
+    for r in rows:
+        if not r[5]:
+            out = out.when(model.startswith(r[0]), price(r))
+    return out
 
-def resolve_prices(models: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """(model, price_key, match, the four rates) for each distinct model: its own key, else the longest that it begins with.
 
-    The prices are a fixed table of a few dozen rows; the models are reduced to
-    distinct names first, so the comparison by prefix is names times prices.
-    """
-    prices = F.broadcast(prices if prices is not None else price_table(models.sparkSession))
+def resolve_prices(models: DataFrame, prices: Iterable[tuple] = PRICES) -> DataFrame:
+    """(model, price_key, match, the four rates) for each distinct model that is not null."""
     names = models.select("model").where("model IS NOT NULL").distinct()
-    fits = (F.col("model") == F.col("price_key")) | (~F.col("exact_only") & F.col("model").startswith(F.col("price_key")))
-    best = Window.partitionBy("model").orderBy(F.desc(F.length("price_key")))
-    ranked = names.join(prices, fits, "left").withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    found = names.select("model", _choice(F.col("model"), prices).alias("p")).select("model", "p.*")
     match = F.when(F.col("price_key").isNull(), "missing").when(F.col("price_key") == F.col("model"), "exact").otherwise("prefix")
-    return ranked.select("model", "price_key", match.alias("match"), *RATES)
+    return found.select("model", "price_key", match.alias("match"), *RATES)
 
 
-def with_cost(events: DataFrame, reasoning: bool = True, prices: DataFrame | None = None) -> DataFrame:
+def with_cost(events: DataFrame, reasoning: bool = True, prices: Iterable[tuple] = PRICES) -> DataFrame:
     """events with price_known and cost_nano, exact in nano-dollars; unpriced models cost nothing.
 
     Reasoning tokens are priced as output, except for the sources that report
     none apart from it.
     """
-    resolved = resolve_prices(events, prices).select("model", "price_key", *RATES)
-    priced = events.join(resolved, "model", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     out = zero("output_tokens") + (zero("reasoning_tokens") if reasoning else F.lit(0))
-    cost = zero("input_tokens") * zero("input_rate") + out * zero("output_rate") + zero("cache_read_tokens") * zero("cache_read_rate") + zero("cache_write_tokens") * zero("cache_write_rate")
-    return priced.withColumns({"price_known": F.col("price_key").isNotNull(), "cost_nano": cost}).drop("price_key", *RATES)
+    cost = zero("input_tokens") * F.col("_p.input_rate") + out * F.col("_p.output_rate") + zero("cache_read_tokens") * F.col("_p.cache_read_rate") + zero("cache_write_tokens") * F.col("_p.cache_write_rate")
+    priced = events.withColumn("_p", _choice(F.col("model"), prices))
+    return priced.withColumns({"price_known": F.col("_p").isNotNull(), "cost_nano": F.coalesce(cost, F.lit(0).cast("long"))}).drop("_p")
 
 
 def best_recorded_cost(actual: str, estimated: str, priced: str) -> F.Column:

@@ -23,6 +23,12 @@ def totals(events: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+def timed_totals(events: DataFrame, *keys: str, stream: str = "stream_id") -> DataFrame:
+    """The sums by the keys with active_us, in one pass over the events."""
+    timed = activity.spans(events, stream)
+    return timed.groupBy(*keys).agg(*_sums(), F.coalesce(F.sum("active_us"), F.lit(0)).alias("active_us"))
+
+
 def model_totals(events: DataFrame) -> DataFrame:
     """(model, tokens, cost, sources, price_known) of events with a model; sources sorted."""
     named = events.where("model IS NOT NULL")
@@ -73,8 +79,8 @@ def top_hours(buckets: DataFrame, n: int = 5) -> DataFrame:
 def daily(events: DataFrame) -> DataFrame:
     """(day, counters, events, active_us): the rollup that whole-day ranges can be answered from."""
     days = events.withColumn("day", C.day_key("ts"))
-    cut = activity.slices(days.withColumn("_s", F.concat_ws("|", "stream_id", "day")), "_s")
-    return totals(days, "day").join(days.groupBy("day").agg(F.count("*").alias("events")), "day").join(activity.active_time(cut, "day", stream="_s"), "day")
+    timed = activity.spans(days.withColumn("_s", F.concat_ws("|", "stream_id", "day")), "_s")
+    return timed.groupBy("day").agg(*_sums(), F.count("*").alias("events"), F.sum("active_us").alias("active_us"))
 
 
 def daily_range_sum(rollup: DataFrame, first: str, last: str, value: str = "total_tokens") -> DataFrame:
@@ -176,9 +182,8 @@ def context_only_models(values: DataFrame) -> DataFrame:
 def event_model_stats(events: DataFrame, clip: int | None = None) -> DataFrame:
     """(model, source, total_tokens, cost_nano, active_us) from events: time is estimated by source, a stream a session."""
     rows = events.where("total_tokens > 0 AND model IS NOT NULL").withColumn("_stream", C.activity_stream("source", "session_id", "project_path", "ts"))
-    cut = activity.slices(rows, "_stream", clip=clip)
-    seconds = activity.active_time(cut, "source", "model", stream="_stream")
-    return rows.groupBy("model", "source").agg(F.sum("total_tokens").alias("total_tokens"), F.sum("cost_nano").alias("cost_nano")).join(seconds, ["source", "model"], "left").fillna(0, ["active_us"])
+    timed = activity.spans(rows, "_stream", clip=clip)
+    return timed.groupBy("source", "model").agg(*(F.sum(c).alias(c) for c in ("total_tokens", "cost_nano", "active_us")))
 
 
 def model_stats(explicit: DataFrame, events: DataFrame, legacy: DataFrame) -> DataFrame:
@@ -190,27 +195,31 @@ def model_stats(explicit: DataFrame, events: DataFrame, legacy: DataFrame) -> Da
     source, the three measures); legacy: (model, sources array, the measures).
     """
     measures = ("total_tokens", "cost_nano", "active_us")
-    some = F.greatest(*measures) > 0
-    own = explicit.where(some).select("model", "source", *measures)
-    single = legacy.where(some & (F.size("sources") == 1)).join(own, "model", "left_anti").select("model", F.col("sources")[0].alias("source"), *measures)
-    authoritative = own.unionByName(single)
-    from_events = events.where(some).join(own, "model", "left_anti").join(authoritative, ["model", "source"], "left_anti").select("model", "source", *measures)
-    base = authoritative.unionByName(from_events)
-    covered = base.groupBy("model").agg(*(F.sum(m).alias(f"c_{m}") for m in measures), F.collect_set("source").alias("covered"))
-    rest = legacy.join(authoritative.select("model").distinct(), "model", "left_anti").join(covered, "model", "left")
-    left = {m: F.greatest(F.col(m) - F.coalesce(F.col(f"c_{m}"), F.lit(0)), F.lit(0)) for m in measures}
-    missing = F.array_sort(F.array_except("sources", F.coalesce("covered", F.array().cast("array<string>"))))
+    kinds = ((explicit, "explicit"), (events, "event"), (legacy, "legacy"))
+    listed = lambda df, kind: F.col("sources") if kind == "legacy" else F.array("source")
+    parts = [df.select("model", F.lit(kind).alias("_kind"), listed(df, kind).alias("_sources"), *measures) for df, kind in kinds]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("_source", F.when(F.size("_sources") == 1, F.col("_sources")[0]))
+    # a model has a row for each tool and kind: one exchange by model serves all the windows and the sum below
+    w = Window.partitionBy("model")
+    kind, some = F.col("_kind"), F.greatest(*measures) > 0
+    rows = rows.withColumn("_own", F.max((kind == "explicit") & some).over(w))
+    rows = rows.withColumn("_known", some & ((kind == "explicit") | (~F.col("_own") & (kind == "legacy") & F.col("_source").isNotNull())))
+    rows = rows.withColumns({"_any": F.max("_known").over(w), "_known_sources": F.collect_set(F.when(F.col("_known"), F.col("_source"))).over(w)})
+    from_events = some & (kind == "event") & ~F.col("_own") & ~F.array_contains("_known_sources", F.col("_source"))
+    rows = rows.withColumn("_base", F.col("_known") | F.coalesce(from_events, F.lit(False)))
+    rows = rows.withColumns({f"_c_{m}": F.sum(F.when(F.col("_base"), F.col(m)).otherwise(0)).over(w) for m in measures} | {"_covered": F.collect_set(F.when(F.col("_base"), F.col("_source"))).over(w)})
+    missing = F.array_sort(F.array_except("_sources", "_covered"))
     named = F.when(F.size(missing) > 0, F.array_join(missing, "+")).otherwise("fallback")
-    residual = rest.withColumns(left).where(some).select("model", named.alias("source"), *measures)
-    out = base.unionByName(residual).groupBy("model", "source").agg(*(F.sum(m).alias(m) for m in measures))
-    many = F.count("*").over(Window.partitionBy("model")) > 1
+    left = {m: F.when(F.col("_base"), F.col(m)).otherwise(F.greatest(F.col(m) - F.col(f"_c_{m}"), F.lit(0))) for m in measures}
+    kept = rows.where(F.col("_base") | ((kind == "legacy") & ~F.col("_any"))).withColumns(left | {"source": F.when(F.col("_base"), F.col("_source")).otherwise(named)}).where(some)
+    out = kept.groupBy("model", "source").agg(*(F.sum(m).alias(m) for m in measures))
+    many = F.count("*").over(w) > 1
     return out.withColumn("id", F.when(many, F.concat_ws("|", "model", "source")).otherwise(F.col("model")))
 
 
 def source_stats(events: DataFrame) -> DataFrame:
     """(source, sums, active_us): active time from each source's own streams."""
-    cut = activity.slices(events.withColumn("_s", F.concat_ws("|", "source", "stream_id")), "_s")
-    return totals(events, "source").join(activity.active_time(cut, "source", stream="_s"), "source", "left").fillna(0, ["active_us"])
+    return timed_totals(events.withColumn("_s", F.concat_ws("|", "source", "stream_id")), "source", stream="_s")
 
 
 ORDERS = {

@@ -745,6 +745,6 @@ _SPAN = {"start_date": f"'{START}'", "end_date": f"'{END}'"}
 )
 def export_sections(spark, sf_dir):
     events = priced(spark, sf_dir)
-    totals = reports.totals(events).crossJoin(activity.active_time(_slices(spark, sf_dir)))  # two rows of one
+    totals = reports.timed_totals(events)
     models = reports.model_totals(events).withColumnRenamed("sources", "source").withColumn("active_us", F.lit(0).cast("long"))
     return export.sections(totals, reports.source_stats(events), models, reports.project_stats(events), reports.session_stats(events), START, END)
