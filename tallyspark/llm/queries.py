@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, html_text, pivots, secrets, shards, simhash, substrings, tiling, toxicity, warc
+from tallyspark.llm import bpe, chat, divergence, html_text, pivots, secrets, shards, simhash, spelling, substrings, tiling, toxicity, warc
 from tallyspark.llm.common import table
 
 
@@ -57,9 +57,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(chat.control_conversation(turns))
+    return chat.digests(chat.format_conversations(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least=3, length=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pivot_near_dedup, op2_string_tiling, op3_bpe, op4_warc_derivatives, op5_shards, op6_toxicity, op7_substring_dedup, op8_simhash, op9_secrets, op10_html_text)
+    for f in (op1_pivot_near_dedup, op2_string_tiling, op3_bpe, op4_warc_derivatives, op5_shards, op6_toxicity, op7_substring_dedup, op8_simhash, op9_secrets, op10_html_text, op11_source_divergence, op12_chat_format, op13_spelling_variants)
 }
 #: What SQL cannot express, or too slowly on whole tables, is tested against brute force instead.
-ORACLE: dict[str, str] = {"op4_warc_derivatives": warc.oracle_sql()}
+ORACLE: dict[str, str] = {"op4_warc_derivatives": warc.oracle_sql(), "op11_source_divergence": divergence.ORACLE, "op12_chat_format": chat.ORACLE}
