@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def _since(t: datetime | None) -> dict[str, str]:
     return {"modifiedAfter": (t - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")} if t else {}
 
 
+def plain(path: Column) -> Column:
+    """A path of the local file system without its scheme, as listings and scans write it in different ways."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", since: datetime | None = None) -> DataFrame:
     """(path, modified, line, text): non-blank lines of files below a folder; `line` orders those of one file.
 
@@ -24,6 +29,19 @@ def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", sin
     return meta.withColumn("line", F.struct(F.col("_at"), F.monotonically_increasing_id().alias("_id"))).drop("_at").where("text <> ''")
 
 
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, line_number, line): all lines of files, blank ones too, numbered from 1.
+
+    Large files are split between tasks: lines are counted by byte range, and
+    a range's first number is the sum of those before it.
+    """
+    raw = spark.read.text(paths).select(plain(F.url_decode(F.col("_metadata.file_path"))).alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    counts = raw.groupBy("path", "at").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    upto = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("path", "at", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("low") + 1).alias("shift"))
+    return raw.join(first, ["path", "at"]).select("path", (F.col("id") + F.col("shift")).alias("line_number"), "line")
+
+
 def documents(spark: SparkSession, path: str, glob: str = "*.json", since: datetime | None = None) -> DataFrame:
     """(path, modified, text): whole files."""
     raw = spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob, wholetext=True, **_since(since)).text(path)
