@@ -50,11 +50,9 @@ def discover(spark: SparkSession, place: Place, since: datetime | None = None) -
     A database also changes when its write-ahead log does, so it takes the
     newer of the two times.  A folder that does not exist has no files.
     """
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(place.root)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not files.exists(spark, place.root):
         return spark.createDataFrame([], "source string, path string, bytes long, changed timestamp")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(place.root).select(files.plain(F.col("path")).alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
+    listed = files.listed(spark, place.root)
     ending = F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"\.([^.]*)$", 1))
     if place.tables is None:
         found = listed.where(ending.isin(*place.endings))

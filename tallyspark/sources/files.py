@@ -18,6 +18,22 @@ def plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def read_path() -> Column:
+    """The plain path of the file that a row was read from; Spark writes it as a URL."""
+    return plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
+def listed(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """(path, bytes, changed) of the files below folders or of files; none is opened."""
+    raw = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(path)
+    return raw.select(plain(F.col("path")).alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", since: datetime | None = None) -> DataFrame:
     """(path, modified, line, text): non-blank lines of files below a folder; `line` orders those of one file.
 
@@ -25,7 +41,7 @@ def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", sin
     the place inside it, so no task reads a file from its beginning to count.
     """
     raw = spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob, **_since(since)).text(path)
-    meta = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("_at"), F.trim(F.regexp_replace("value", "\r$", "")).alias("text"))
+    meta = raw.select(read_path().alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("_at"), F.trim(F.regexp_replace("value", "\r$", "")).alias("text"))
     return meta.withColumn("line", F.struct(F.col("_at"), F.monotonically_increasing_id().alias("_id"))).drop("_at").where("text <> ''")
 
 
@@ -35,7 +51,7 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     Large files are split between tasks: lines are counted by byte range, and
     a range's first number is the sum of those before it.
     """
-    raw = spark.read.text(paths).select(plain(F.url_decode(F.col("_metadata.file_path"))).alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    raw = spark.read.text(paths).select(read_path().alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
     counts = raw.groupBy("path", "at").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     upto = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("path", "at", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("low") + 1).alias("shift"))
@@ -60,13 +76,7 @@ def day_folders(spark: SparkSession, path: str, first: date, last: date, lookbac
     Only these are listed; the folders of other days are never looked into.
     """
     days = [first + timedelta(days=k) for k in range(-lookback, (last - first).days + 1)]
-    jvm = spark.sparkContext._jvm
-    found = []
-    for wanted in [*(f"{path}/sessions/{d:%Y/%m/%d}" for d in days), f"{path}/{archived}"]:
-        at = jvm.org.apache.hadoop.fs.Path(wanted)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            found.append(wanted)
-    return found
+    return [wanted for wanted in [*(f"{path}/sessions/{d:%Y/%m/%d}" for d in days), f"{path}/{archived}"] if exists(spark, wanted)]
 
 
 def in_days(files: DataFrame, first: str, last: str, lookback: int = 3, archived: str = "archived_sessions") -> DataFrame:

@@ -8,15 +8,16 @@ or null) and, where the tool has them, further tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
 from pathlib import PurePosixPath as Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import columns as C
 from tallyspark.operators import dedup, folds, pricing
-from tallyspark.sources import files, sqlite
+from tallyspark.sources import files, scratch, sqlite
 
 EVENT = ("ts", "source", "model", *C.COUNTERS, "project_path", "project_name", "session_id", "quality", "stream_id", "agent_kind", "cost")
 
@@ -58,26 +59,26 @@ def request_log(spark: SparkSession, path: str, start: datetime, end: datetime,
     return {"events": _events(one, "Claude Code", stream_id=F.col("request"), **cells), "activity": activity}
 
 
-def rollout_log(spark: SparkSession, path: str, start: datetime, end: datetime, sessions: DataFrame | None = None, complete: DataFrame | None = None) -> dict[str, DataFrame]:
+def rollout_log(spark: SparkSession, path: str, start: datetime, end: datetime, index: str | None = None) -> dict[str, DataFrame]:
     """Logs of running totals: repeats of a parent's log go, totals become increments, and then the range is taken.
 
-    Where the path has folders by day, only those of the range and of three
-    days before are listed, and the archive.  sessions: (rollout, model,
-    project_path, quality, agent_kind) as merged from index and logs.
-    complete: (rollout) of logs that the index accounts for already.
+    Which logs are read is settled before one is opened: merged_sessions()
+    with an index, else those of the days of the range and of three days
+    before and of the archive, where the path has folders by day.
     """
-    if Path(path).name not in ("sessions", "archived_sessions") and (days := files.day_folders(spark, path, start.date(), end.date())):
-        path = days
+    sessions = scratch.written(merged_sessions(spark, path, index, start, end)) if index is not None else None
+    if sessions is not None:
+        path, since = sorted(r.rollout for r in sessions.select("rollout").collect()), None
+        if not path:
+            return {"events": _no_events(spark), "sessions": sessions}
+    else:
+        path, since = _rollout_folders(spark, path, start, end), start
     counts = "struct<input_tokens: bigint, cached_input_tokens: bigint, output_tokens: bigint, reasoning_output_tokens: bigint, total_tokens: bigint>"
     schema = f"timestamp string, type string, payload struct<type: string, id: string, forked_from_id: string, source: string, thread_source: string, turn_id: string, model: string, cwd: string, info: struct<total_token_usage: {counts}, last_token_usage: {counts}>>"
-    rows = files.decoded(files.lines(spark, path, since=start), schema)
-    if complete is not None:
-        rows = rows.join(complete.select(F.col("rollout").alias("path")).distinct(), "path", "left_anti")
+    rows = files.decoded(files.lines(spark, path, since=since), schema)
     parent = F.coalesce(C.blank_to_null("r.payload.forked_from_id"), F.get_json_object("text", "$.payload.source.subagent.thread_spawn.parent_thread_id"))
     kind = F.when(F.col("r.type") == "event_msg", F.col("r.payload.type")).otherwise(F.col("r.type"))
     part = lambda group, prefix: [F.coalesce(F.col(f"r.payload.info.{group}.{n}"), F.when(F.col(f"r.payload.info.{group}").isNotNull(), F.lit(0).cast("long"))).alias(f"{prefix}_{c}") for n, c in (("input_tokens", "input"), ("cached_input_tokens", "cached"), ("output_tokens", "output"), ("reasoning_output_tokens", "reasoning"))]
-    from pyspark.sql import Window
-
     by_file = Window.partitionBy("path").orderBy("line")
     session = C.blank_to_null("r.payload.id")
     entries = rows.select(
@@ -90,18 +91,72 @@ def rollout_log(spark: SparkSession, path: str, start: datetime, end: datetime,
     about = files.first_of_file(rows.select("path", "line", C.model_id("r.payload.model").alias("model"), C.blank_to_null("r.payload.cwd").alias("project_path"), F.when(kind == "session_meta", F.get_json_object("text", "$.payload.source")).alias("origin"), session.alias("session_id")), "model", "project_path", "origin", "session_id")
     about = about.withColumnRenamed("path", "rollout").withColumns({"agent_kind": C.agent_kind("origin"), "quality": F.lit("exact")})
     if sessions is not None:
-        known = sessions.select("rollout", *(F.col(c).alias(f"_{c}") for c in ("model", "project_path", "agent_kind")))
-        about = about.join(known, "rollout", "left").withColumns({"model": F.coalesce("_model", "model"), "project_path": F.coalesce("project_path", "_project_path"), "agent_kind": F.when(F.col("_agent_kind") == "subagent", "subagent").otherwise(F.col("agent_kind"))}).drop("_model", "_project_path", "_agent_kind")
+        known = sessions.select("rollout", *(F.col(c).alias(f"_{c}") for c in ("model", "project_path", "agent_kind", "quality")))
+        told = {"model": F.coalesce("_model", "model"), "project_path": F.coalesce("_project_path", "project_path"), "agent_kind": F.when(F.col("_agent_kind") == "subagent", "subagent").otherwise(F.col("agent_kind")), "quality": F.col("_quality")}
+        about = about.join(known, "rollout", "left").withColumns(told).drop(*(f"_{c}" for c in told))
     joined = counted.join(about, "rollout", "left")
     cells = {c: F.col(c) for c in ("ts", "model", "input_tokens", "output_tokens", "cache_read_tokens", "reasoning_tokens", "project_path", "quality", "agent_kind")}
-    return {"events": _events(joined, "Codex", session_id=F.coalesce("session_id", C.session_from_path("rollout")), stream_id=F.col("rollout"), **cells)}
+    events = _events(joined, "Codex", session_id=F.coalesce("session_id", C.session_from_path("rollout")), stream_id=F.col("rollout"), **cells)
+    return {"events": events} | ({"sessions": sessions} if sessions is not None else {})
+
+
+def _no_events(spark: SparkSession) -> DataFrame:
+    kinds = {"ts": "timestamp", "cost": "double"} | {c: "long" for c in C.COUNTERS}
+    return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in EVENT))
+
+
+def _rollout_folders(spark: SparkSession, path: str, start: datetime, end: datetime) -> str | list[str]:
+    if Path(path).name in ("sessions", "archived_sessions"):
+        return path
+    return files.day_folders(spark, path, start.date(), end.date()) or path
+
+
+def merged_sessions(spark: SparkSession, path: str, index: str, start: datetime, end: datetime) -> DataFrame:
+    """(session_id, rollout, model, agent_kind, has_source, project_path, quality): sessions of the index and of logs, each once.
+
+    The index gives the sessions that overlap the range, wherever their logs
+    lie; the folders of the days give the logs changed since its start, but
+    for those that the index tells all of.  Only what is left is opened, and
+    of it the lines that name a session.  An index that can't be read has
+    none, a log that is not there goes.
+    """
+    try:
+        known = indexed_sessions(spark, index, start, end)
+    except Exception:  # noqa: BLE001  no index, or none that can be read
+        known = spark.createDataFrame([], "rollout string, model string, agent_kind string, project_path string, has_source boolean")
+    found = files.listed(spark, _rollout_folders(spark, path, start, end), "*.jsonl").where(F.col("changed") >= F.lit(start)).select(F.col("path").alias("rollout"))
+    complete = known.where("model IS NOT NULL AND has_source AND project_path IS NOT NULL").select("rollout").distinct()
+    logs = found.join(complete, "rollout", "left_anti")
+    named = known.select("rollout").distinct().withColumn("indexed", F.lit(True))
+    wanted = {r.rollout: bool(r.indexed) for r in logs.join(named, "rollout", "full").collect()}
+    paths = sorted(p for p, indexed in wanted.items() if not indexed or files.exists(spark, p))
+    if not paths:
+        return spark.createDataFrame([], "session_id string, rollout string, model string, agent_kind string, has_source boolean, project_path string, quality string")
+    sizes = files.listed(spark, paths).select(F.col("path").alias("rollout"), F.col("bytes").alias("file_size"), F.col("changed").alias("file_time"))
+    schema = "type string, payload struct<id: string, model: string, cwd: string>"
+    rows = files.decoded(files.lines(spark, paths).where(F.col("text").contains('"session_meta"') | F.col("text").contains('"turn_context"')), schema).where("r.type IN ('session_meta', 'turn_context')")
+    meta = F.col("r.type") == "session_meta"
+    first = files.first_of_file(
+        rows.select("path", "line", F.when(~meta, C.model_id("r.payload.model")).alias("model"), C.blank_to_null("r.payload.cwd").alias("project_path"), F.when(meta, F.get_json_object("text", "$.payload.source")).alias("origin"), F.when(meta, C.blank_to_null("r.payload.id")).alias("session_id")),
+        "model", "project_path", "origin", "session_id",
+    ).withColumnRenamed("path", "rollout")
+    about = sizes.join(first, "rollout", "left")
+    named_by = F.coalesce("session_id", "rollout").alias("session_id")
+    place = ["rollout", "file_size", "file_time"]
+    by_index = known.join(about.select(*place, "session_id"), "rollout").select(named_by, *place, "model", "agent_kind", "has_source", "project_path", F.lit("exact").alias("quality"), F.lit(0).alias("from"))
+    quality = F.when(F.col("project_path").isNotNull(), "exact").otherwise("unknown").alias("quality")
+    by_log = about.join(logs, "rollout", "left_semi").select(named_by, *place, "model", C.agent_kind("origin").alias("agent_kind"), F.col("origin").isNotNull().alias("has_source"), "project_path", quality, F.lit(1).alias("from"))
+    both = by_index.unionByName(by_log)
+    ord_ = F.struct("from", "rollout", F.coalesce("model", F.lit("")), F.coalesce("project_path", F.lit("")))
+    ranked = both.withColumn("ord", F.row_number().over(Window.partitionBy("session_id").orderBy(ord_))).withColumnRenamed("rollout", "rollout_path")
+    return dedup.merge_sessions(ranked).withColumnRenamed("rollout_path", "rollout")
 
 
 def indexed_sessions(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
     """Sessions of the index that overlap the range, once each."""
     t = sqlite.read_table(spark, path, "threads", ["rollout_path", "model", "source", "cwd", "created_at", "updated_at"])
     rows = t.where((F.col("updated_at") >= int(start.timestamp())) & (F.col("created_at") < int(end.timestamp())))
-    return rows.select(F.col("rollout_path").alias("rollout"), C.model_id("model").alias("model"), C.agent_kind("source").alias("agent_kind"), C.blank_to_null("cwd").alias("project_path")).distinct()
+    return rows.where("rollout_path IS NOT NULL").select(files.plain(F.col("rollout_path")).alias("rollout"), C.model_id("model").alias("model"), C.agent_kind("source").alias("agent_kind"), C.blank_to_null("cwd").alias("project_path"), C.blank_to_null("source").isNotNull().alias("has_source")).distinct()
 
 
 def bubbles(spark: SparkSession, path: str, start: datetime, end: datetime, today: bool = False) -> dict[str, DataFrame]:
@@ -237,32 +292,93 @@ READERS: dict[str, Callable] = {
 OTHERS = ("activity", "supplemental", "unmetered")
 
 
-def collect_all(spark: SparkSession, paths: dict[str, str], start: datetime, end: datetime, enabled: set[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def is_today(start: datetime, end: datetime, now: datetime) -> bool:
+    """Whether the range is exactly the day that it is now: only then do live contexts belong to it."""
+    return end - start == timedelta(days=1) and start <= now < end
+
+
+def _plan(spark: SparkSession, name: str, given: str | dict, start: datetime, end: datetime, now: datetime | None) -> dict[str, DataFrame]:
+    """A reader's tables.  given: its path, or a dict of its arguments, as {"path": ..., "index": ...}."""
+    args = dict(given) if isinstance(given, dict) else {"path": given}
+    if name == "Cursor":
+        args.setdefault("today", is_today(start, end, now or datetime.now(start.tzinfo)))
+    return READERS[name](spark, start=start, end=end, **args)
+
+
+def _joined(found: dict[str, dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    tables: dict[str, DataFrame] = {}
+    for name, kinds in found.items():
+        for kind in ("events", *OTHERS):
+            if kind in kinds:
+                more = kinds[kind].withColumn("reader", F.lit(name))
+                tables[kind] = tables[kind].unionByName(more, allowMissingColumns=True) if kind in tables else more
+    return tables
+
+
+def _said(e: Exception) -> str:
+    return (str(e).splitlines() or [type(e).__name__])[0][:200]
+
+
+def collect_all(spark: SparkSession, paths: dict[str, str | dict], start: datetime, end: datetime, enabled: set[str] | None = None, now: datetime | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, status): lazy unions of the enabled readers' events and OTHERS, each row with its reader, and how each fared.
 
     A reader that fails when its plan is made, as for a missing file, is a row
-    of status, not an error.
+    of status, not an error; collect_written() also bears what fails later.
     """
-    tables: dict[str, DataFrame] = {}
+    found: dict[str, dict[str, DataFrame]] = {}
     status = []
-    for name, reader in READERS.items():
+    for name in READERS:
         if name not in paths or (enabled is not None and name not in enabled):
             status.append((name, "disabled", None))
             continue
         try:
-            found = reader(spark, paths[name], start, end)
+            found[name] = _plan(spark, name, paths[name], start, end, now)
             status.append((name, "ok", None))
         except Exception as e:  # noqa: BLE001  whatever a reader's files hold
-            status.append((name, "failed", str(e).splitlines()[0][:200]))
-            continue
-        for kind in ("events", *OTHERS):
-            if kind in found:
-                more = found[kind].withColumn("reader", F.lit(name))
-                tables[kind] = tables[kind].unionByName(more, allowMissingColumns=True) if kind in tables else more
-    return tables, spark.createDataFrame(status, "reader string, status string, message string")
+            status.append((name, "failed", _said(e)))
+    return _joined(found), spark.createDataFrame(status, "reader string, status string, message string")
+
+
+#: Status of collect_written().
+STATUS = "place int, reader string, status string, message string, events long, total_tokens long, output_tokens long"
+
+
+def collect_written(
+    spark: SparkSession, paths: dict[str, str | dict], start: datetime, end: datetime, enabled: set[str] | None = None, now: datetime | None = None, folder: str | None = None, at_once: int = 4
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, status) as of collect_all(), but read now: a reader that fails while its files are read is a row of status too.
+
+    Each reader's tables are written below a shared folder, several readers
+    at a time, and counted while they are written; the union is of what
+    succeeded, so it is computed once and its reader's failure is nobody
+    else's.  status keeps the readers' order: loaded, empty, failed or
+    disabled, with counts of events and tokens that are 0 where a reader gave
+    none.  Of a reader that fails nothing is kept.
+    """
+    folder = folder or scratch.new_folder(spark)
+
+    def read(name: str) -> tuple[str, str | None, tuple[int, int, int], dict[str, DataFrame]]:
+        try:
+            seen = Observation(f"read {name}")
+            kinds = {k: t for k, t in _plan(spark, name, paths[name], start, end, now).items() if k in ("events", *OTHERS)}
+            sums = [F.count("*").alias("events"), F.coalesce(F.sum(C.total_tokens()), F.lit(0)).alias("total"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output")]
+            kinds["events"] = kinds["events"].observe(seen, *sums)
+            out = {k: scratch.written(t, f"{folder}/{name.replace(' ', '_')}/{k}") for k, t in kinds.items()}
+            got = seen.get
+            counts = (got["events"], got["total"], got["output"])
+            any_row = counts[0] or any(t.limit(1).count() for k, t in out.items() if k != "events")
+            return ("loaded" if any_row else "empty"), None, counts, out
+        except Exception as e:  # noqa: BLE001  whatever a reader's files hold
+            return "failed", _said(e), (0, 0, 0), {}
+
+    wanted = [n for n in READERS if n in paths and (enabled is None or n in enabled)]
+    with ThreadPoolExecutor(at_once) as pool:
+        results = dict(zip(wanted, pool.map(read, wanted), strict=True))
+    rows = [(i, n, *(results[n][:2] if n in results else ("disabled", None)), *(results[n][2] if n in results else (0, 0, 0))) for i, n in enumerate(READERS)]
+    return _joined({n: r[3] for n, r in results.items()}), spark.createDataFrame(rows, STATUS)
 
 
-def collect(spark: SparkSession, paths: dict[str, str], start: datetime, end: datetime, enabled: set[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
+def collect(spark: SparkSession, paths: dict[str, str | dict], start: datetime, end: datetime, enabled: set[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(events, status) of collect_all()."""
     tables, status = collect_all(spark, paths, start, end, enabled)
     return (tables["events"].drop("reader") if "events" in tables else None), status
