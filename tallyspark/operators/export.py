@@ -20,33 +20,29 @@ def dollars(nano: str) -> Column:
     return F.format_string("%d.%06d", F.floor(micro / 1_000_000).cast("long"), micro % 1_000_000)
 
 
-def _row(df: DataFrame, **given: Column) -> DataFrame:
-    own = {c: F.col(c).cast("string") for c in COUNTS if c in df.columns}
-    cost = {"cost_usd": dollars("cost_nano")} if "cost_nano" in df.columns else {}
-    cells = own | cost | given
-    return df.select(*(F.coalesce(cells.get(c, F.lit("")), F.lit("")).cast("string").alias(c) for c in COLUMNS))
-
-
-def sections(totals: DataFrame, sources: DataFrame, models: DataFrame, projects: DataFrame, sessions: DataFrame, start: str, end: str) -> DataFrame:
-    """All rows of an export as strings; an unpriced model has no cost.
-
-    totals and sources hold active_us, models (id) model, source, total_tokens,
-    cost_nano, active_us and price_known; the rest is as reports make it.
-    """
-    text, at = F.lit, lambda c: F.date_format(c, _ISO)
+def sections(found: DataFrame, start: str, end: str) -> DataFrame:
+    """All rows of an export as strings, of a cube and in one pass over it; an unpriced model has no cost."""
+    text, at, col = F.lit, lambda c: F.date_format(c, _ISO), F.col
     span = {"start_date": text(start), "end_date": text(end)}
-    seconds = {"active_seconds": F.format_string("%.3f", F.col("active_us") / 1e6)}
-    parts = [
-        _row(totals, section=text("total"), name=text("All"), **span, **seconds),
-        _row(sources, section=text("source"), name=F.col("source"), source=F.col("source"), **span, **seconds),
-        _row(models.select("model", "source", "total_tokens", "cost_nano", "active_us", "price_known"), section=text("model"), name=F.col("model"), source=F.col("source"), model=F.col("model"), cost_usd=F.when(F.col("price_known"), dollars("cost_nano")), **span, **seconds),
-        _row(projects, section=text("project"), name=F.col("project_name"), source=F.col("sources"), start_date=at("first_at"), end_date=at("last_at"), project_path=F.col("project_path"), attribution_quality=F.col("quality")),
-        _row(sessions, section=text("session"), name=F.col("project_name"), source=F.col("source"), model=F.col("models"), start_date=at("first_at"), end_date=at("last_at"), project_path=F.col("project_path"), session_id=F.col("session_id"), attribution_quality=F.col("quality")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    own = {"start_date": at("first_at"), "end_date": at("last_at"), "project_path": col("project_path"), "attribution_quality": col("quality"), "name": col("project_name")}
+    counts = {c: col(c).cast("string") for c in COUNTS} | {"cost_usd": dollars("cost_nano")}
+    seconds = {"active_seconds": F.format_string("%.3f", col("active_us") / 1e6)}
+    cells = {
+        "total": counts | span | seconds | {"name": text("All")},
+        "source": counts | span | seconds | {"name": col("source"), "source": col("source")},
+        "model": span | {"name": col("model"), "source": col("sources"), "model": col("model"), "total_tokens": counts["total_tokens"], "cost_usd": F.when(col("price_known"), dollars("cost_nano")), "active_seconds": text("0.000")},
+        "project": counts | own | {"source": col("sources")},
+        "session": counts | own | {"source": col("source"), "model": col("models"), "session_id": col("session_id")},
+    }
+
+    def cell(c: str) -> Column:
+        out = F.lit(None).cast("string")
+        for name, of in cells.items():
+            if c in of:
+                out = F.when(col("section") == name, of[c].cast("string")).otherwise(out)
+        return F.coalesce(out, F.lit("")).alias(c)
+
+    return found.select(F.col("section"), *(cell(c) for c in COLUMNS[1:]))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -61,24 +57,36 @@ def as_csv_lines(rows: DataFrame) -> DataFrame:
 
 
 def as_json(rows: DataFrame) -> DataFrame:
-    """(section, json): each row as an object with sorted keys and no empty cells; write it as text, or collect a report's few rows."""
+    """(section, json): each row as an object with sorted keys and no empty cells: the form for exports of any size."""
     cells = F.struct(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in sorted(rows.columns) if c != "section"))
     return rows.select("section", F.to_json(cells).alias("json"))
 
 
-def as_document(totals: DataFrame, sources: DataFrame, models: DataFrame, date: str, most: int = 1000) -> DataFrame:
-    """(json): one object with sorted keys: date, models, sources and totals; tools and models are few, at most `most` each.
+#: Rows that one document may hold: it is a single text, put together in one task.
+MOST = 100_000
 
-    Each frame's columns become an object's keys; arrays are in the order of
-    the tokens, then of the name.
-    """
 
-    def rows(df: DataFrame, name: str) -> DataFrame:
-        top = df.orderBy(F.desc("total_tokens"), F.asc(name)).limit(most)
-        cells = F.struct(*(F.col(c) for c in sorted(df.columns)))
-        listed = F.array_sort(F.collect_list(F.struct((-F.col("total_tokens")).alias("_k"), F.col(name).alias("_n"), cells.alias("_r"))))
-        return top.agg(F.transform(listed, lambda x: x["_r"]).alias(f"{name}s"))
+def as_document(found: DataFrame, date: str, start: str, end: str, most: int = MOST) -> DataFrame:
+    """(json): a cube as one object with sorted keys: dates, totals, and sources, models, projects and sessions as arrays.
 
-    total = totals.select(F.struct(*(F.col(c) for c in sorted(totals.columns))).alias("totals"))
-    one = total.crossJoin(rows(sources, "source")).crossJoin(rows(models, "model"))  # three rows of one
-    return one.select(F.to_json(F.struct(F.lit(date).alias("date"), "models", "sources", "totals"), {"ignoreNullFields": "false"}).alias("json"))
+    Arrays are in the order of the tokens, then of the names.  A cube of more
+    than `most` rows is an error, as nothing is left out: as_json() has no bound.
+    """
+    sums = {c: F.col(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "total_tokens", "cost_nano")}
+    about = {"first_at": F.date_format("first_at", _ISO), "last_at": F.date_format("last_at", _ISO), "models": F.col("models"), "project_name": F.col("project_name"), "project_path": F.col("project_path"), "quality": F.col("quality")}
+    forms = {
+        "sources": ("source", sums | {"source": F.col("source")}, ["source"]),
+        "models": ("model", {"model": F.col("model"), "total_tokens": F.col("total_tokens"), "cost_nano": F.col("cost_nano")}, ["model"]),
+        "projects": ("project", sums | about | {"sources": F.col("sources"), "sessions": F.col("sessions")}, ["project_name", "project_path"]),
+        "sessions": ("session", sums | about | {"source": F.col("source"), "session_id": F.col("session_id"), "session_key": F.col("session_key")}, ["source", "session_key"]),
+    }
+    object_ = lambda cells: F.struct(*(cells[k].alias(k) for k in sorted(cells)))
+    lists = {}
+    for name, (section, cells, order) in forms.items():
+        keyed = F.struct((-F.col("total_tokens")).alias("_k"), *(F.coalesce(c, F.lit("")).alias(f"_{c}") for c in order), object_(cells).alias("_r"))
+        lists[name] = F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == section, keyed))), lambda x: x["_r"])
+    total = F.max(F.when(F.col("section") == "total", object_(sums)))
+    one = found.agg(F.count("*").alias("_n"), total.alias("totals"), *(c.alias(n) for n, c in lists.items()))
+    given = {"date": F.lit(date), "startDate": F.lit(start), "endDate": F.lit(end)} | {n: F.col(n) for n in (*lists, "totals")}
+    text = F.to_json(object_(given), {"ignoreNullFields": "false"})
+    return one.select(F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} rows are no document: take as_json()")).cast("string")).otherwise(text).alias("json"))

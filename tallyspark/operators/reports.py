@@ -118,7 +118,7 @@ def attributed(events: DataFrame) -> DataFrame:
     return out.withColumns({"project_path": F.when(known, F.col("best_path")).otherwise(F.col("project_path")), "project_name": F.coalesce(F.when(known, F.col("best_name")).otherwise(F.col("project_name")), F.lit(C.UNKNOWN_PROJECT))}).drop("best_path", "best_name", "best_quality")
 
 
-def _quality(rank: Column) -> Column:
+def quality_name(rank: Column) -> Column:
     return F.when(rank == 3, "exact").when(rank == 2, "inferred").otherwise("unknown")
 
 
@@ -134,7 +134,7 @@ def project_stats(events: DataFrame) -> DataFrame:
         rows.withColumn("_session", key)
         .groupBy("project_path", "project_name")
         .agg(*_sums(), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max(C.quality_rank("quality")).alias("_q"), _joined("source").alias("sources"), _joined("model").alias("models"), F.countDistinct("_session").alias("sessions"))
-        .withColumn("quality", _quality(F.col("_q")))
+        .withColumn("quality", quality_name(F.col("_q")))
         .drop("_q")
     )
 
@@ -144,31 +144,10 @@ def session_stats(events: DataFrame) -> DataFrame:
     rows = attributed(events.where("total_tokens > 0")).withColumn("session_key", C.session_key("session_id", "project_path", "ts"))
     meta = F.max_by(F.struct("project_path", "project_name", "session_id"), F.struct(C.metadata_rank("quality", "project_path", "project_name"), -F.col("event_id")))
     out = rows.groupBy("source", "session_key").agg(*_sums(), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max(C.quality_rank("quality")).alias("_q"), _joined("model").alias("models"), meta.alias("m"))
-    out = out.select("source", "session_key", *SUMS, "first_at", "last_at", "models", _quality(F.col("_q")).alias("quality"), "m.*")
+    out = out.select("source", "session_key", *SUMS, "first_at", "last_at", "models", quality_name(F.col("_q")).alias("quality"), "m.*")
     return out.withColumn("label", C.session_label(F.lit(None).cast("string"), "session_id", "first_at"))
 
 
-def project_breakdown(projects: DataFrame, totals: DataFrame, shown: int = 4) -> DataFrame:
-    """(title, total_tokens, cost_nano, projects, sessions): the dearest attributed projects, the others, and what is untracked."""
-    known = projects.where("quality <> 'unknown'")
-    top = known.orderBy(F.desc("cost_nano"), F.desc("total_tokens"), "project_name", "project_path").limit(shown)
-    both = known.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"a_{c}") for c in ("total_tokens", "cost_nano", "sessions")), F.count("*").alias("a_n"))
-    seen = top.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"t_{c}") for c in ("total_tokens", "cost_nano", "sessions")), F.count("*").alias("t_n"))
-    dark = projects.where("quality = 'unknown'").agg(F.count("*").alias("u_n"), F.coalesce(F.sum("sessions"), F.lit(0)).alias("u_sessions"))
-    one = totals.select("total_tokens", "cost_nano").crossJoin(both).crossJoin(seen).crossJoin(dark)  # four rows of one
-    left = lambda c: F.greatest(F.col(c) - F.col(f"a_{c}"), F.lit(0)).alias(c)
-    rest = lambda c: (F.col(f"a_{c}") - F.col(f"t_{c}")).alias(c)
-    others = one.select(F.lit("Other Projects").alias("title"), rest("total_tokens"), rest("cost_nano"), (F.col("a_n") - F.col("t_n")).alias("projects"), rest("sessions"))
-    untracked = one.select(F.lit("Untracked Usage").alias("title"), left("total_tokens"), left("cost_nano"), F.col("u_n").alias("projects"), F.col("u_sessions").alias("sessions"))
-    first = top.select(F.col("project_name").alias("title"), "total_tokens", "cost_nano", F.lit(1).cast("long").alias("projects"), "sessions")
-    return first.unionByName(others.where("total_tokens > 0 OR cost_nano > 0")).unionByName(untracked.where("total_tokens > 0 OR cost_nano > 0"))
-
-
-def attributed_cost(projects: DataFrame, sessions: DataFrame) -> DataFrame:
-    cost = projects.agg(F.coalesce(F.sum(F.when(F.col("quality") != "unknown", F.col("cost_nano"))), F.lit(0)).alias("attributed_nano"), F.coalesce(F.sum("cost_nano"), F.lit(0)).alias("cost_nano"))
-    return cost.crossJoin(sessions.agg(F.count(F.when(F.col("quality") != "unknown", 1)).alias("attributed_sessions")))  # two rows of one
-
-
 def supplemental_stats(values: DataFrame) -> DataFrame:
     """(label, unit, source, included, quality, value): sums above zero."""
     return values.groupBy("label", "unit", "source", "included", "quality").agg(F.sum("value").alias("value")).where("value > 0")

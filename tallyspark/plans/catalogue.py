@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import columns as C
-from tallyspark.operators import activity, adapters, audit, dedup, devices, export, folds, pricing, reports
+from tallyspark.operators import activity, adapters, audit, cube, dedup, devices, export, folds, pricing, reports
 from tallyspark.operators import ledger as ledgers
 from tallyspark.streaming import live
 
@@ -32,6 +32,11 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.with_cost(token_events(spark, sf_dir))
 
 
+def cubed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written cube of all events; its sections are the reports."""
+    return cube.build(priced(spark, sf_dir))
+
+
 def query(sql: str | None = None, *needs: str):
     """Register a query under its function's name; `needs` are the common table expressions that its SQL begins with."""
 
@@ -237,8 +242,7 @@ def session_top8(spark, sf_dir):
     "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps",
 )
 def project_breakdown(spark, sf_dir):
-    events = priced(spark, sf_dir)
-    return reports.project_breakdown(reports.project_stats(events), reports.totals(events))
+    return cube.breakdown(cubed(spark, sf_dir))
 
 
 ORACLE["project_breakdown"] = ORACLE["project_breakdown"].replace(" , kn AS", ", kn AS", 1)
@@ -246,8 +250,7 @@ ORACLE["project_breakdown"] = ORACLE["project_breakdown"].replace(" , kn AS", ",
 
 @query("SELECT CAST(coalesce(sum(cost_nano) FILTER (WHERE quality <> 'unknown'), 0) AS BIGINT) AS attributed_nano, CAST(sum(cost_nano) AS BIGINT) AS cost_nano, (SELECT count(*) FROM ss WHERE quality <> 'unknown') AS attributed_sessions FROM ps", "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps", "ss")
 def attributed_cost(spark, sf_dir):
-    events = priced(spark, sf_dir)
-    return reports.attributed_cost(reports.project_stats(events), reports.session_stats(events))
+    return cube.attributed_cost(cubed(spark, sf_dir))
 
 
 @query(
@@ -744,7 +747,4 @@ _SPAN = {"start_date": f"'{START}'", "end_date": f"'{END}'"}
     "te", "pr", "rp", "pe", "sl", "ba", "ae", "ak", "ps", "ss",
 )
 def export_sections(spark, sf_dir):
-    events = priced(spark, sf_dir)
-    totals = reports.timed_totals(events)
-    models = reports.model_totals(events).withColumnRenamed("sources", "source").withColumn("active_us", F.lit(0).cast("long"))
-    return export.sections(totals, reports.source_stats(events), models, reports.project_stats(events), reports.session_stats(events), START, END)
+    return export.sections(cubed(spark, sf_dir), START, END)

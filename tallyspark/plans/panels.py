@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import columns as C
-from tallyspark.operators import audit, devices, export, pricing, reports
-from tallyspark.plans.catalogue import _SUMS, priced, query, table, token_events
+from tallyspark.operators import audit, cube, devices, export, pricing, reports
+from tallyspark.plans.catalogue import _SUMS, END, START, cubed, priced, query, table, token_events
 from tallyspark.sources import files
 from tallyspark.streaming import live
 
@@ -142,8 +142,7 @@ def order_devices(spark, sf_dir):
     "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps", "ss",
 )
 def top_picks(spark, sf_dir):
-    events = priced(spark, sf_dir)
-    return reports.top_picks(reports.project_stats(events), reports.session_stats(events))
+    return cube.top_picks(cubed(spark, sf_dir))
 
 
 # Sets, validation, discovery, export
@@ -191,15 +190,23 @@ def recent_tool_use(spark, sf_dir):
     return live.recent_tool_use(lines, 1706140800 * 1_000_000)
 
 
-_JSON = lambda *names: "json_object(" + ", ".join(f"'{n}', {n}" for n in sorted(names)) + ")"
+_JSON = lambda *names, **given: "json_object(" + ", ".join(f"'{n}', {given.get(n, n)}" for n in sorted({*names, *given})) + ")"
+_SPAN = {c: f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')" for c in ("first_at", "last_at")}
 
 
 @query(
-    f"""SELECT CAST(json_object('date', '2024-01-08', 'models', (SELECT to_json(list({_JSON("model", "total_tokens", "cost_nano")} ORDER BY total_tokens DESC, model)) FROM (SELECT model, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano FROM pe WHERE model IS NOT NULL GROUP BY 1)),
-    'sources', (SELECT to_json(list({_JSON("source", *reports.SUMS)} ORDER BY total_tokens DESC, source)) FROM (SELECT source, {_SUMS} FROM pe GROUP BY 1)), 'totals', (SELECT {_JSON(*reports.SUMS)} FROM (SELECT {_SUMS} FROM pe))) AS VARCHAR) AS json""",
-    "te", "pr", "rp", "pe",
+    f"""SELECT CAST(json_object('date', '{START}', 'endDate', '{END}', 'models', (SELECT to_json(list({_JSON("model", "total_tokens", "cost_nano")} ORDER BY total_tokens DESC, model)) FROM (SELECT model, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano FROM pe WHERE model IS NOT NULL GROUP BY 1)),
+    'projects', (SELECT to_json(list({_JSON(*reports.SUMS, "models", "project_name", "project_path", "quality", "sources", "sessions", **_SPAN)} ORDER BY total_tokens DESC, project_name, coalesce(project_path, ''))) FROM ps),
+    'sessions', (SELECT to_json(list({_JSON(*reports.SUMS, "models", "project_name", "project_path", "quality", "source", "session_id", "session_key", **_SPAN)} ORDER BY total_tokens DESC, source, session_key)) FROM ss),
+    'sources', (SELECT to_json(list({_JSON("source", *reports.SUMS)} ORDER BY total_tokens DESC, source)) FROM (SELECT source, {_SUMS} FROM pe GROUP BY 1)), 'startDate', '{START}', 'totals', (SELECT {_JSON(*reports.SUMS)} FROM (SELECT {_SUMS} FROM pe))) AS VARCHAR) AS json""",
+    "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps", "ss",
 )
 def json_export(spark, sf_dir):
-    events = priced(spark, sf_dir)
-    models = reports.model_totals(events).select("model", "total_tokens", "cost_nano")
-    return export.as_document(reports.totals(events), reports.totals(events, "source"), models, "2024-01-08")
+    return export.as_document(cubed(spark, sf_dir), START, START, END)
+
+
+@query("SELECT section, count(*) AS objects, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM (SELECT 'total' AS section, sum(total_tokens) AS total_tokens FROM pe UNION ALL SELECT 'source', sum(total_tokens) FROM pe GROUP BY source UNION ALL SELECT 'model', sum(total_tokens) FROM pe WHERE model IS NOT NULL GROUP BY model UNION ALL SELECT 'project', total_tokens FROM ps UNION ALL SELECT 'session', total_tokens FROM ss) GROUP BY 1", "te", "pr", "rp", "pe", "ba", "ae", "ak", "ps", "ss")
+def json_lines(spark, sf_dir):
+    """An export of any size: an object a row.  Read back, they hold what the sections add up to."""
+    rows = export.as_json(export.sections(cubed(spark, sf_dir), START, END))
+    return rows.groupBy("section").agg(F.count("*").alias("objects"), F.sum(F.get_json_object("json", "$.total_tokens").cast("long")).alias("total_tokens"))

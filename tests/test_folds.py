@@ -4,8 +4,8 @@ import collections
 import datetime
 import random
 
-from tallyspark.operators import folds
-from tallyspark.plans import catalogue
+from tallyspark.operators import cube, folds
+from tallyspark.plans import catalogue, panels  # noqa: F401
 
 SNAPSHOT = "rollout string, ts timestamp_ntz, ord long, " + ", ".join(f"{n} long" for n in (*folds.TOTAL, *folds.LAST))
 
@@ -58,7 +58,15 @@ def test_no_rows_no_events(spark):
 def test_reports_read_their_events_once(spark):
     sf = "/root/testdata/sf0.001"
     # each scan of events has one of distinct model names beside it
-    most = {"token_totals": 2, "daily_rollup": 2, "source_stats": 2, "model_stats_by_source": 2, "model_stats": 6, "export_sections": 14}
+    most = {"token_totals": 2, "daily_rollup": 2, "source_stats": 2, "model_stats_by_source": 2, "model_stats": 6}
+    # these read a written cube
+    most |= {"export_sections": 1, "project_breakdown": 2, "attributed_cost": 1, "top_picks": 2, "json_export": 1}
     for name, n in most.items():
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") <= n, name
+
+
+def test_a_cube_reads_its_events_once(spark):
+    events = catalogue.priced(spark, "/root/testdata/sf0.001")
+    added = cube.usage(events)._jdf.queryExecution().executedPlan().toString()
+    assert added.count("FileScan parquet") == 2 and cube.cube(written(cube.usage(events)))._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
