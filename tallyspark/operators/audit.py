@@ -84,11 +84,11 @@ def _hits(r: Rule) -> Column:
         hits = F.when(some, hits).otherwise(F.array().cast("array<string>"))
     valid = r.valid
     kept = F.filter(hits, lambda v: valid(v))
-    return F.transform(kept, lambda v: F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), v.alias("value")))
+    return F.transform(kept, lambda v, i: F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), v.alias("value"), i.alias("nth")))
 
 
 def findings(rows: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES, when: str | None = None) -> DataFrame:
-    """(keep, line_number, rule_name, severity, category, value, masked, detected_at) of lines.
+    """(keep, line_number, rule_name, severity, category, value, nth, masked, detected_at) of lines; nth tells apart what one rule finds in one line.
 
     Each rule looks at a line only if it holds one of the rule's fragments.
     The time is the line's own, else that of the column `when`.
@@ -100,15 +100,14 @@ def findings(rows: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES, when:
     return out.select(*keep, "line_number", "f.*", masked(F.col("f.value")).alias("masked"), "detected_at")
 
 
-def distinct_findings(found: DataFrame, *keys: str) -> DataFrame:
-    """Findings that show the same, once."""
-    return found.drop("value").dropDuplicates([*keys, "rule_name", "masked", "line_number"])
-
-
 def facets(found: DataFrame) -> DataFrame:
     return found.groupBy("severity", "category", "rule_name").agg(F.count("*").alias("findings"))
 
 
-def ordered(found: DataFrame, *path: str, offset: int = 0, n: int = 200) -> DataFrame:
-    """A page of findings by severity, path and line."""
-    return found.orderBy(severity_rank("severity"), *path, "line_number", "rule_name", "masked").offset(offset).limit(n)
+def in_order(*path: str) -> list[tuple[str, bool]]:
+    """The whole order of findings, as reports.page() and placed() take it: severity, path, line; rule and nth make it unique."""
+    return [(c, True) for c in ("severity_rank", *path, "line_number", "rule_name", "nth")]
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    return found.withColumn("severity_rank", severity_rank("severity"))

@@ -267,5 +267,31 @@ def ledger(observations: DataFrame) -> DataFrame:
     observations: (session, observed_us, previous_us, started_us, earliest_us,
     latest_us, the five counters, cost, the four rates); previous_us is when the
     last successful observation was.
+
+    Once a session has tokens, each observation is the next one's baseline, so
+    ledger_step() needs no fold: the row before and the last known activity
+    before are windows over a session, in one exchange.
     """
-    return fold(observations, ["session"], ["observed_us"], ledger_step, LEDGER)
+    by = Window.partitionBy("session").orderBy("observed_us")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    valid = lambda c: F.when((F.col(c) >= F.col("started_us")) & (F.col(c) <= F.col("observed_us")), F.col(c))
+    rows = observations.withColumns({c: F.coalesce(F.col(c).cast("long"), zero) for c in COUNTERS} | {"cost": F.coalesce(F.col("cost").cast("double"), F.lit(0.0)), "_latest": valid("latest_us"), "_earliest": valid("earliest_us")})
+    now = sum((F.col(c) for c in COUNTERS), zero)
+    rows = rows.withColumn("_begun", F.max(now > 0).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("_begun")
+    rows = rows.withColumns({f"_b_{c}": F.lag(c).over(by) for c in (*COUNTERS, "cost")} | {"_seen": F.coalesce(F.last("_latest", ignorenulls=True).over(before), F.first("started_us").over(before))})
+    first = F.col(f"_b_{COUNTERS[0]}").isNull()
+    dated = (F.col("previous_us") <= F.col("observed_us")) & ((F.col("started_us") >= F.col("previous_us")) | F.coalesce(F.col("_earliest") >= F.col("previous_us"), F.lit(False)))
+    event = F.coalesce(dated, F.lit(False))
+    delta = {c: F.when(first, F.col(c)).otherwise(F.col(c) - F.col(f"_b_{c}")) for c in COUNTERS}
+    fell = ~first & (F.least(*delta.values()) < 0)
+    fresh = F.when(F.col("_latest") > F.col("_seen"), F.col("_latest")).otherwise(F.col("observed_us"))
+    rates = F.col("input_rate").cast("double"), F.col("output_rate"), F.col("cache_read_rate"), F.col("cache_write_rate")
+    d = [delta[c] for c in COUNTERS]
+    priced = (d[0] * rates[0] + (d[1] + d[4]) * rates[1] + d[2] * rates[2] + d[3] * rates[3]) / 1e9
+    added = F.when(F.col("cost") >= F.col("_b_cost"), F.col("cost") - F.col("_b_cost")).otherwise(F.coalesce(priced, F.lit(0.0)))
+    carried = fell | first & ~event
+    at = F.when(fell, F.col("observed_us")).when(first, F.when(event, F.coalesce("_latest", "started_us")).otherwise(F.col("observed_us"))).otherwise(fresh)
+    told = {c: F.when(fell, F.col(c)).otherwise(delta[c]) for c in COUNTERS}
+    kept = rows.withColumns({"_add": sum(d, zero), "_keep": first | fell}).where(F.col("_keep") | (F.col("_add") > 0))
+    return kept.select(F.col("session").cast("string").alias("session"), F.when(carried, "carry").otherwise("event").alias("kind"), at.cast("long").alias("at_us"), *(c.cast("long").alias(n) for n, c in told.items()), F.when(first | fell, F.col("cost")).otherwise(added).cast("double").alias("cost"))

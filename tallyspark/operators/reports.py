@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import columns as C
 from tallyspark.operators import activity
+from tallyspark.sources.scratch import written
 
 #: Fixed value: a report of more hours has no buckets.
 MOST_BUCKETS = 48
@@ -231,11 +232,36 @@ def ordered(df: DataFrame, report: str, n: int | None = None) -> DataFrame:
     return out.limit(n) if n else out
 
 
-def placed(df: DataFrame, report: str, n: int) -> DataFrame:
-    """The first n of a report with `place` from 1; the window runs over those n rows."""
-    spec = ORDERS[report]
-    order = [f(c) for f, c in zip(spec[::2], spec[1::2], strict=True)]
-    return ordered(df, report, n).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+def placed(df: DataFrame, order: str | list[tuple[str, bool]], parts: int | None = None) -> DataFrame:
+    """All rows of a report, or by (column, ascending), with `place` from 1.
+
+    Ranges of the order go to parts, which are written; a part's first place
+    is the sum of the counts before it, so no task orders more than a part.
+    """
+    spec = [(c, f is F.asc) for f, c in zip(ORDERS[order][::2], ORDERS[order][1::2], strict=True)] if isinstance(order, str) else order
+    by = [F.asc(c) if up else F.desc(c) for c, up in spec]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row a part
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return dealt.join(F.broadcast(first), "_part").withColumn("place", (F.col("_first") + inside).cast("long")).drop("_part", "_first")  # at most `parts` rows
+
+
+def page(df: DataFrame, order: list[tuple[str, bool]], n: int, after: Row | dict | None = None) -> DataFrame:
+    """The n rows that follow the key `after` in an order, the first n without one.
+
+    The order must be of columns that are unique together and not null.  A
+    page is found by its key, not by skipping rows: each is a top-k behind a
+    filter, and none shows a row twice or leaves one out when rows are added.
+    """
+    if after is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for c, up in order:
+            behind = behind | same & ((F.col(c) > after[c]) if up else (F.col(c) < after[c]))
+            same = same & (F.col(c) == after[c])
+        df = df.where(behind)
+    return df.orderBy(*(F.asc(c) if up else F.desc(c) for c, up in order)).limit(n)
 
 
 def top_picks(projects: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import columns as C
 from tallyspark.operators import activity, adapters, audit, cube, dedup, devices, export, folds, pricing, reports
 from tallyspark.operators import ledger as ledgers
+from tallyspark.sources.scratch import written
 from tallyspark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +97,7 @@ PARTS = {
       ON a.source = m.source AND a.session_key = m.session_key AND m.n = 1)""",
     "sv": """sv AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Context' ELSE 'Reported Cost' END AS label, CASE WHEN event_id % 2 = 0 THEN 'tokens' ELSE 'cents' END AS unit, source, FALSE AS included,
       CASE WHEN event_id % 2 = 0 THEN 'contextOnly' ELSE 'derived' END AS quality, model, cache_read_tokens AS value FROM te)""",
-    "li": """li AS (SELECT doc_id, row_number() OVER () AS g, unnest(string_split(text || chr(10) || 'api_token = "' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 24) || '"', chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)""",
+    "li": """li AS (SELECT doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS line_number FROM (SELECT doc_id, string_split(text || chr(10) || 'api_token = "' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 24) || '"', chr(10)) AS all_lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))""",
     "dv": """dv AS (SELECT CAST(o_custkey AS VARCHAR) AS device_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence, o_orderkey, o_orderdate, CAST(o_orderkey AS VARCHAR) AS digest, o_totalprice FROM orders)""",
 }
 
@@ -674,10 +675,15 @@ def format_duration(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.format_duration(F.col("event_id") * 7).alias("label"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN c >= 1000 THEN '$' || printf('%.1f', c / 1000) || 'K' WHEN c >= 100 THEN '$' || printf('%.0f', c) WHEN c >= 10 THEN '$' || printf('%.1f', c) ELSE '$' || printf('%.2f', c) END AS label FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) + 0.0625 + l_linenumber AS c FROM lineitem)")
+@query("""SELECT l_orderkey, l_linenumber, '$' || CASE WHEN c >= 100000 THEN ((c + 5000) // 10000 // 10) || '.' || ((c + 5000) // 10000 % 10) || 'K' WHEN c >= 10000 THEN CAST((c + 50) // 100 AS VARCHAR)
+    WHEN c >= 1000 THEN ((c + 5) // 10 // 10) || '.' || ((c + 5) // 10 % 10) ELSE (c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS label
+    FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice WHEN 1 THEN l_quantity WHEN 2 THEN l_tax ELSE l_extendedprice - 100 * floor(l_extendedprice / 100) END AS DECIMAL(18, 2)) * 100 AS BIGINT) AS c FROM lineitem)""")
 def format_cost(spark, sf_dir):
-    """The sixteenth keeps each amount off a rounding tie."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.format_cost(F.floor("l_extendedprice") + F.lit(0.0625) + F.col("l_linenumber")).alias("label"))
+    """Prices, quantities, taxes and what prices have beyond hundreds, as they are; the SQL rounds whole cents, ties up."""
+    n = F.col("l_linenumber") % 4
+    rest = F.col("l_extendedprice").cast("decimal(18,2)") % 100
+    amount = F.when(n == 0, F.col("l_extendedprice")).when(n == 1, F.col("l_quantity")).when(n == 2, F.col("l_tax")).otherwise(rest.cast("double"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.format_cost(amount).alias("label"))
 
 
 @query("SELECT event_id, round(CASE WHEN r <= 0 THEN 0.09 WHEN r <= 20 THEN 0.09 + r * (0.055 - 0.09) / 20 WHEN r <= 40 THEN 0.055 + (r - 20) * (0.035 - 0.055) / 20 WHEN r <= 60 THEN 0.035 + (r - 40) * (0.023 - 0.035) / 20 WHEN r <= 80 THEN 0.023 + (r - 60) * (0.016 - 0.023) / 20 ELSE 0.016 END, 9) AS every FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS r FROM events)")
@@ -703,7 +709,8 @@ def _rule_sql(r: audit.Rule) -> str:
     real = f"""length(value) >= {audit.SHORTEST} AND NOT regexp_matches(lower(value), '^(\\*+|x+)$|{"|".join(audit.PLACEHOLDERS)}')"""
     out = " AND NOT starts_with(value, 'sk-ant-')" if "(?!ant-)" in r.pattern else ""
     pattern = r.pattern.replace("(?!ant-)", "").replace("'", "''")
-    return f"SELECT doc_id, '{r.name}' AS rule_name, '{r.severity}' AS severity, '{r.category}' AS category, value FROM (SELECT doc_id, unnest(regexp_extract_all(line, '{pattern}', {r.group})) AS value FROM li WHERE {near}) WHERE {valid.get(r.name, real)}{out}"
+    found = f"regexp_extract_all(line, '{pattern}', {r.group})"
+    return f"SELECT doc_id, line_number, nth, '{r.name}' AS rule_name, '{r.severity}' AS severity, '{r.category}' AS category, value FROM (SELECT doc_id, line_number, unnest({found}) AS value, generate_subscripts({found}, 1) AS nth FROM li WHERE {near}) WHERE {valid.get(r.name, real)}{out}"
 
 
 PARTS["fa"] = f"fa AS (SELECT *, CASE WHEN contains(value, 'PRIVATE KEY') THEN '{audit.PEM}' ELSE {_MASK} END AS masked FROM ({' UNION ALL '.join(map(_rule_sql, audit.RULES))}))"
@@ -719,10 +726,28 @@ def secret_facets(spark, sf_dir):
     return audit.facets(_findings(spark, sf_dir))
 
 
-@query("SELECT doc_id, rule_name, masked FROM fa ORDER BY severity, doc_id, rule_name, masked LIMIT 200", "li", "fa")
+_FOUND = "SELECT doc_id, line_number, rule_name, masked FROM fa ORDER BY severity, doc_id, line_number, rule_name, nth LIMIT 200"
+
+
+@query(_FOUND, "li", "fa")
 def findings_page(spark, sf_dir):
     """The severe first."""
-    return _findings(spark, sf_dir).orderBy(C.severity_rank("severity"), "doc_id", "rule_name", "masked").limit(200).select("doc_id", "rule_name", "masked")
+    return reports.page(audit.ranked(_findings(spark, sf_dir)), audit.in_order("doc_id"), 200).select("doc_id", "line_number", "rule_name", "masked")
+
+
+@query(f"{_FOUND} OFFSET 200", "li", "fa")
+def findings_page_2(spark, sf_dir):
+    """What follows the last key of the first page."""
+    found, order = written(audit.ranked(_findings(spark, sf_dir))), audit.in_order("doc_id")
+    last = reports.page(found, order, 200).collect()[-1:]
+    second = reports.page(found, order, 200, last[0]) if last else found.limit(0)
+    return second.select("doc_id", "line_number", "rule_name", "masked")
+
+
+@query("SELECT doc_id, line_number, rule_name, masked, row_number() OVER (ORDER BY severity, doc_id, line_number, rule_name, nth) AS place FROM fa", "li", "fa")
+def order_findings(spark, sf_dir):
+    found = audit.ranked(_findings(spark, sf_dir))
+    return reports.placed(found, audit.in_order("doc_id")).select("doc_id", "line_number", "rule_name", "masked", "place")
 
 
 @query("SELECT c_custkey, length(v) < 12 OR regexp_matches(v, 'x{12}|example') AS placeholder FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'xxxxxxxxxxxx' WHEN 1 THEN 'an-example-key-1' WHEN 2 THEN 'short' ELSE md5(c_name) END AS v FROM customer)")

@@ -10,10 +10,6 @@ from tallyspark.plans.catalogue import _SUMS, END, START, cubed, priced, query,
 from tallyspark.sources import files
 from tallyspark.streaming import live
 
-#: Rows of an ordered report that are registered.
-TOP = 50
-
-
 # Labels and settings
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN a > 0 THEN a END, CASE WHEN e > 0 THEN e END, CASE WHEN p > 0 THEN p END, 0.0::DOUBLE) AS cost FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN l_extendedprice ELSE 0 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END AS e, l_tax AS p FROM lineitem)")
@@ -81,9 +77,9 @@ def quoted_values(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", C.quoted_value(line, "name").alias("name"))
 
 
-# Orders: the first rows of each, with their places
+# Orders: all rows with their places
 
-_PLACED = f"row_number() OVER (ORDER BY {{0}}) AS place FROM {{1}} ORDER BY place LIMIT {TOP}"
+_PLACED = "row_number() OVER (ORDER BY {0}) AS place FROM {1}"
 _MODELS = "(SELECT model, source, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano, CAST(max(us) - min(us) AS BIGINT) AS active_us FROM pe WHERE model IS NOT NULL GROUP BY 1, 2)"
 
 
@@ -94,47 +90,47 @@ def _used(spark, sf_dir, *keys):
 
 @query(f"SELECT model, source, active_us, {_PLACED.format('active_us DESC, total_tokens DESC, cost_nano DESC, model, source', _MODELS)}", "te", "pr", "rp", "pe")
 def order_models(spark, sf_dir):
-    return reports.placed(_used(spark, sf_dir, "model", "source"), "models", TOP).select("model", "source", "active_us", "place")
+    return reports.placed(_used(spark, sf_dir, "model", "source"), "models").select("model", "source", "active_us", "place")
 
 
 @query(f"SELECT source, {_PLACED.format('active_us DESC, total_tokens DESC, cost_nano DESC, source', _MODELS.replace('model, source,', 'source,').replace('model IS NOT NULL GROUP BY 1, 2', 'source IS NOT NULL GROUP BY 1'))}", "te", "pr", "rp", "pe")
 def order_sources(spark, sf_dir):
-    return reports.placed(_used(spark, sf_dir, "source"), "sources", TOP).select("source", "place")
+    return reports.placed(_used(spark, sf_dir, "source"), "sources").select("source", "place")
 
 
 @query(f"SELECT model, source, total_tokens, {_PLACED.format('total_tokens DESC, model, source', _MODELS)}", "te", "pr", "rp", "pe")
 def order_context(spark, sf_dir):
-    return reports.placed(_used(spark, sf_dir, "model", "source"), "context", TOP).select("model", "source", "total_tokens", "place")
+    return reports.placed(_used(spark, sf_dir, "model", "source"), "context").select("model", "source", "total_tokens", "place")
 
 
 @query(f"SELECT origin_id, {_PLACED.format('is_local DESC, lower_name, origin_id', '(SELECT c_custkey % 40 = 7 AS is_local, lower(c_mktsegment) AS lower_name, CAST(c_custkey AS VARCHAR) AS origin_id FROM customer)')}")
 def order_origins(spark, sf_dir):
     """Local origins first, then by name whatever its case, then by id."""
     rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40 == 7).alias("is_local"), F.lower("c_mktsegment").alias("lower_name"), F.col("c_custkey").cast("string").alias("origin_id"))
-    return reports.placed(rows, "origins", TOP).select("origin_id", "place")
+    return reports.placed(rows, "origins").select("origin_id", "place")
 
 
 @query(f"SELECT label, source, value, {_PLACED.format('r, source, value DESC', '(SELECT *, CASE label WHEN chr(67) || $$ontext$$ THEN 0 WHEN $$Sessions$$ THEN 1 WHEN $$Reported Cost$$ THEN 2 ELSE 3 END AS r FROM (SELECT CASE user_id % 4 WHEN 0 THEN $$Context$$ WHEN 1 THEN $$Sessions$$ WHEN 2 THEN $$Reported Cost$$ ELSE $$Other$$ END AS label, source, CAST(sum(cache_read_tokens) AS BIGINT) AS value FROM te GROUP BY 1, 2))')}", "te")
 def order_supplemental(spark, sf_dir):
     k = F.col("user_id") % 4
     rows = token_events(spark, sf_dir).groupBy(F.when(k == 0, "Context").when(k == 1, "Sessions").when(k == 2, "Reported Cost").otherwise("Other").alias("label"), "source").agg(F.sum("cache_read_tokens").alias("value"))
-    return reports.placed(rows.withColumn("label_rank", reports.label_rank()), "supplemental", TOP).select("label", "source", "value", "place")
+    return reports.placed(rows.withColumn("label_rank", reports.label_rank()), "supplemental").select("label", "source", "value", "place")
 
 
 @query(f"SELECT us, source, model, input_tokens, {_PLACED.format('us, source, model NULLS FIRST, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens', 'te')}", "te")
 def order_events(spark, sf_dir):
-    return reports.placed(token_events(spark, sf_dir), "events", TOP).select("us", "source", "model", "input_tokens", "place")
+    return reports.placed(token_events(spark, sf_dir), "events").select("us", "source", "model", "input_tokens", "place")
 
 
 @query(f"SELECT at_us, session, model, {_PLACED.format('at_us, session, model NULLS FIRST', '(SELECT us AS at_us, coalesce(session_id, stream_id) AS session, model FROM te)')}", "te")
 def order_ledger(spark, sf_dir):
     rows = token_events(spark, sf_dir).select(F.col("us").alias("at_us"), F.coalesce("session_id", "stream_id").alias("session"), "model")
-    return reports.placed(rows, "ledger", TOP)
+    return reports.placed(rows, "ledger")
 
 
 @query(f"SELECT device_id, {_PLACED.format('lower_name, device_id', '(SELECT lower(s_name) AS lower_name, CAST(s_suppkey AS VARCHAR) AS device_id FROM supplier)')}")
 def order_devices(spark, sf_dir):
-    return reports.placed(table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("lower_name"), F.col("s_suppkey").cast("string").alias("device_id")), "devices", TOP).select("device_id", "place")
+    return reports.placed(table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("lower_name"), F.col("s_suppkey").cast("string").alias("device_id")), "devices").select("device_id", "place")
 
 
 @query(

@@ -47,9 +47,12 @@ def test_fallback_sources(spark):
     assert (r.total_us, r.wall_us, r.streams, r.max_streams) == (240 * 10**6, 240 * 10**6, 3, 1)
 
 
+CELL = activity.NARROW * activity.WIDE
+
+
 def test_islands_equal_brute_force(spark):
     rng = random.Random(3)
-    rows = [(rng.randrange(4) * activity.CELL + rng.randrange(90), rng.randrange(1, 20)) for _ in range(120)] + [(activity.CELL - 5, 12)]
+    rows = [(rng.randrange(4) * CELL + rng.randrange(90), rng.randrange(1, 20)) for _ in range(120)] + [(CELL - 5, 12)]
     df = spark.createDataFrame([("k", a, a + n) for a, n in rows], "k string, start_us long, end_us long")
     seconds = {t for a, n in rows for t in range(a, a + n)}
     assert activity.wall_clock(df).head()[0] == len(seconds)
