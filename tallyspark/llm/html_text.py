@@ -29,25 +29,31 @@ ASIDE = re.compile(
 )
 BODY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: What begins a tag, or is no element at all.  Each is found where it stands, without a second try.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 #: Marks that say what an element's page or neighbour has, not what it is; one of the words that name the article.
 HAS = re.compile(r"(?:^|\s)(?:has|with|no|without|show|hide)[_-][\w-]*", re.I)
 IS_BODY = re.compile(r"(?:^|\s)(?:article|content|main|main-content|entry|entry-content|post|post-content|story|hentry|body)(?:$|\s)", re.I)
 #: Elements that an end tag of an inline element does not reach across, and those whose mark may be a mistake.
 WALLS = ("article", "main", "section", "div", "td", "table")
 DOUBTFUL = ("form", "fieldset")
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-SPACE = re.compile(r"\s+")
+#: An attribute: a value in quotes to the closing one, where there is none, as one without quotes to white space or the tag's end.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)?+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+SPACE, NUMBERS = re.compile(r"\s+"), re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "role", "hidden", "score", "n", "linked", "commas", "dropped")
+    __slots__ = ("tag", "parent", "children", "marks", "role", "hidden", "score", "n", "linked", "commas", "dropped", "inside")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = "", role: str = "", hidden: bool = False) -> None:
         self.tag, self.parent, self.marks, self.role, self.hidden = tag, parent, marks, role, hidden
         self.children: list[Node | str] = []
         self.score, self.n, self.linked, self.commas = 0.0, 0, 0, 0
-        self.dropped = tag in DROPPED and tag not in DOUBTFUL or hidden and tag not in ("html", "body")
+        #: In an article with nothing but divisions between: a header there is the article's, with its title, not the page's.
+        self.inside = parent is not None and (parent.tag == "article" or parent.tag in ("div", "section") and parent.inside)
+        own = tag in DOUBTFUL or tag == "header" and self.inside
+        self.dropped = tag in DROPPED and not own or hidden and tag not in ("html", "body")
 
     @property
     def aside(self) -> bool:
@@ -59,6 +65,20 @@ class Node:
         return bool(self.marks) and self.tag not in ("article", "main") and ASIDE.search(HAS.sub(" ", self.marks)) is not None
 
 
+def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes from a place inside a tag, the first of each name, and where the tag ends; each character is looked at once.
+
+    Only a quote of each kind that none follows is looked for in vain.
+    """
+    found: dict[str, str] = {}
+    while True:
+        m = ATTRIBUTE.match(page, at)
+        if m[1] is None:
+            return found, min(m.end() + 1, len(page))
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
+
+
 def parse(page: str) -> Node:
     """A forgiving tree: unclosed paragraphs and list items end where the next begins, stray end tags are nothing.
 
@@ -89,6 +109,7 @@ def parse(page: str) -> Node:
         if not m[2]:
             continue
         tag = m[2].lower()
+        attrs, end = attributes(page, end)
         if m[1]:
             depth = deepest(tag)
             if depth and (tag in BLOCKS or deepest(*WALLS) <= depth):
@@ -102,14 +123,13 @@ def parse(page: str) -> Node:
                 close(depth)
                 while stack[-1].tag in SIBLINGS[tag]:
                     close(len(stack) - 1)
-        attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         style = attrs.get("style", "").replace(" ", "").lower()
         node = Node(tag, stack[-1], f"{attrs.get('class', '')} {attrs.get('id', '')}".strip(), attrs.get("role", "").lower(), "hidden" in attrs or "display:none" in style or attrs.get("aria-hidden") == "true")
         stack[-1].children.append(node)
         if tag in RAW:
             close_tag = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
             end = close_tag.end() if close_tag else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and page[end - 2 : end] != "/>":
             named.setdefault(tag, []).append(len(stack))
             if tag in BLOCKS:
                 blocks.append(len(stack))
@@ -191,18 +211,33 @@ def chosen(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     bar, out = max(10.0, best.score * 0.2), []
+    series, titles = NUMBERS.sub("", best.marks), titles_before(best)
     for c in best.parent.children:
         if not isinstance(c, Node) or c.dropped:
             continue
         density = c.linked / c.n if c.n else 0.0
         bonus = best.score * 0.2 if c.marks and c.marks == best.marks else 0.0
-        if c is best or c.score and c.score + bonus >= bar and density < 0.5:
+        part = c.tag == best.tag and series and NUMBERS.sub("", c.marks) == series and not c.linked
+        if c is best or c in titles or part or c.score and c.score + bonus >= bar and density < 0.5:
             out.append(c)
         elif c.tag in PARAGRAPHS and (c.n > 80 and density < 0.25 or c.n and not density):
             out.append(c)
     return out
 
 
+def titles_before(best: Node) -> set[Node]:
+    """The headings that stand directly before the container, with nothing else between."""
+    out: set[Node] = set()
+    for c in best.parent.children:
+        if c is best:
+            return out
+        if isinstance(c, Node) and c.tag in HEADINGS and not c.dropped and not c.linked:
+            out.add(c)
+        elif isinstance(c, Node) and not c.dropped and c.n or isinstance(c, str) and c.strip():
+            out.clear()
+    return set()
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     out: list[str] = []
     line: list[str] = []
