@@ -175,9 +175,14 @@ def test_long_ranges_have_no_buckets(spark):
 
 
 def test_csv_row(spark):
-    totals = spark.createDataFrame([(10, 5, 2, 1, 3, 21, 250_000_000, 120_000_000)], ", ".join(f"{c} long" for c in (*C.COUNTERS, "total_tokens", "cost_nano", "active_us")))
-    row = export._row(totals, section=F.lit("total"), name=F.lit("All"), active_seconds=F.format_string("%.3f", F.col("active_us") / 1e6))
+    kinds = {c: "long" for c in (*C.COUNTERS, "total_tokens", "cost_nano", "active_us", "sessions")} | {c: "timestamp" for c in ("first_at", "last_at")} | {"price_known": "boolean"}
+    names = ("section", "source", "model", "session_key", "project_path", "project_name", "session_id", *C.COUNTERS, "total_tokens", "cost_nano", "active_us", "first_at", "last_at", "quality", "sources", "models", "sessions", "price_known")
+    given = {"section": "total", "total_tokens": 21, "cost_nano": 250_000_000, "active_us": 120_000_000} | dict(zip(C.COUNTERS, (10, 5, 2, 1, 3), strict=True))
+    found = spark.createDataFrame([tuple(given.get(n) for n in names)], ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    row = export.sections(found, "2026-04-10", "2026-04-11")
     assert export.as_csv_lines(row).head()[0].startswith("total,All,,,10,5,2,1,3,21,0.250000,120.000")
+    with pytest.raises(Exception, match="are no document"):
+        export.as_document(found, "d", "s", "e", most=0).collect()
     odd = spark.createDataFrame([('a,"b', "c")], "x string, y string")
     assert export.as_csv_lines(odd).head()[0] == '"a,""b",c'
 
