@@ -43,3 +43,45 @@ def test_no_part_is_left(left, name):
 
 def test_words_after_a_block_stay(left):
     assert left[0] == "the key is\n[SECRET]\nand words follow"
+
+
+ASSIGNED = {
+    "comma and sign": ("password = Tr0ub4dor&3,xYz! and more", "Tr0ub4dor&3,xYz!"),
+    "semicolons in quotes": ('api_key="sk-abc;def,ghi1234567890123" and more', "sk-abc;def,ghi1234567890123"),
+    "space in quotes": ("secret = 'k9#Lm 2$Qz 7xT4!v' and more", "k9#Lm 2$Qz 7xT4!v"),
+    "json": ('{"user": "a", "password": "hunter2hunter2", "port": 1}', "hunter2hunter2"),
+    "json in json": (r'{"body": "{\"password\": \"Xk29!mQw,77z\"}"}', "Xk29!mQw,77z"),
+    "url": ("connect postgres://admin:S3cr3tPassw0rd@db.host/prod now", "S3cr3tPassw0rd"),
+    "url without user": ("use redis://:Zk48,xPq!w7@cache:6379/0 now", "Zk48,xPq!w7"),
+}
+
+
+@pytest.fixture(scope="module")
+def assigned_left(spark):
+    docs = frame(spark, [(i, text) for i, (text, _) in enumerate(ASSIGNED.values())]).drop("source")
+    return {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+
+
+@pytest.mark.parametrize("name", ASSIGNED)
+def test_whole_values_go(assigned_left, name):
+    before, secret = ASSIGNED[name]
+    assert assigned_left[list(ASSIGNED).index(name)] == before.replace(secret, "[SECRET]")
+
+
+def test_error_rates_on_findings_planted_in_documents(spark):
+    """Labelled findings that the forest has not seen, in real texts: at most 5 % missed and 5 % false."""
+    from tallyspark.llm import queries
+
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").select("text").where("length(text) > 200").limit(200).collect()
+    made = secrets.labelled_findings(spark, secrets.FINDINGS + 800).exceptAll(secrets.labelled_findings(spark)).collect()
+    rows = []
+    for i, m in enumerate(made):
+        text = docs[i % len(docs)].text
+        at = text.index(" ", len(text) // 2)
+        rows.append((i, f"{text[:at]} {m.before}{m.found}{'@host/x' if '://' in m.found else ''} {m.after}{text[at:]}", m.path))
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("secret").select("doc_id").distinct()
+    said = {r.doc_id for r in found.collect()}
+    real = {i for i, m in enumerate(made) if m.label == 1}
+    missed, false = len(real - said) / len(real), len(said - real) / (len(made) - len(real))
+    print("missed", missed, "false", false)
+    assert missed <= 0.05 and false <= 0.05
