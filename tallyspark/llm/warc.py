@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import gzip
+import html
+import io
+import re
+import zlib
+from collections.abc import Iterator
+from html.entities import html5
+
+import pandas as pd
+import zstandard
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The date of records made from a table that has none.
 DATE = "2024-01-01T00:00:00Z"
 #: The format's version line, line end and the end of a record.
 VERSION, EOL, END = "WARC/1.0", "\r\n", "\r\n\r\n"
-#: (pattern, replacement) that turn markup into plain text, in order.  All are valid in Java and RE2.
-PLAIN = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<(script|style)\b.*?</(script|style)\s*>", " "),
-    (r"(?s)<[^>]*>", " "),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&amp;", "&"),
-    (r"[ \t\r\n\f]+", " "),
+#: Markup, in order, each put into one space.  What is opened and not closed runs to the end of the page, as in a browser;
+#: a tag whose quotes do not close ends at the next angle bracket.  Possessive, so that no tag is scanned twice.
+MARKUP = (
+    r"(?s)<!--.*?(?:-->|\z)",
+    r"(?is)<script\b.*?(?:</script\s*>|\z)",
+    r"(?is)<style\b.*?(?:</style\s*>|\z)",
+    r"""<[A-Za-z/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""",
+    r"<[A-Za-z/!?][^<>]*+>?",
 )
+#: White space between words: a no-break space counts.
+BLANK = r"[ \t\r\n\f\x{A0}]+"
+#: A batch of records that are read ends at this many bytes of blocks.
+BATCH = 1 << 24
 
 
 def record_id(*parts: Column) -> Column:
@@ -34,21 +46,28 @@ def digest(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 
 
+@F.pandas_udf(T.StringType())
+def decoded(texts: pd.Series) -> pd.Series:
+    """Texts with all named and numeric character references decoded, once."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def plain_text(c: Column) -> Column:
-    for pattern, by in PLAIN:
-        c = F.regexp_replace(c, F.lit(pattern), F.lit(by))
-    return F.trim(c)
+    for pattern in MARKUP:
+        c = F.regexp_replace(c, F.lit(pattern), F.lit(" "))
+    return F.trim(F.regexp_replace(decoded(c), F.lit(BLANK), F.lit(" ")))
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """(record_id, target_uri, date, http_headers, payload, payload_digest): pages as response records.
 
     Null html is an empty payload, a null url or id an empty string in the name.
+    Equal rows, and they alone, have one record id.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    page = F.coalesce(F.col("html").cast("string"), F.lit(""))
     uri, key = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    headers = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.octet_length(html).cast("string"), F.lit(EOL))
-    return pages.select(record_id(F.lit("response"), key, uri).alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), html.alias("payload"), digest(html).alias("payload_digest"))
+    headers = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.octet_length(page).cast("string"), F.lit(EOL))
+    return pages.select(record_id(F.lit("response"), key, uri, digest(page)).alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), page.alias("payload"), digest(page).alias("payload_digest"))
 
 
 def derive(found: DataFrame) -> DataFrame:
@@ -91,39 +110,131 @@ def as_records(derived: DataFrame) -> DataFrame:
 
 
 def write(derived: DataFrame, path: str, compression: str = "gzip") -> None:
-    """One file a task; what ends a record is the text writer's line end."""
-    as_records(derived).write.option("lineSep", END).option("compression", compression).text(path)
+    """One file a task; what ends a record is the text writer's line end.
+
+    An id stands once in a set of files: of repeats of one record, as equal
+    responses give, one is written.
+    """
+    as_records(derived.dropDuplicates(["record_id"])).write.option("lineSep", END).option("compression", compression).text(path)
+
+
+def opened(path: str) -> io.BufferedIOBase:
+    """The bytes of a file of any file system, unpacked if they begin as gzip or zstd do, whatever the name."""
+    if path.startswith(("file:", "/")):
+        system, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, at = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    raw = io.BufferedReader(system.open_input_stream(at, compression=None), 1 << 20)
+    first = raw.peek(4)[:4]
+    if first[:2] == b"\x1f\x8b":
+        return gzip.GzipFile(fileobj=raw)
+    if first == b"\x28\xb5\x2f\xfd":
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True), 1 << 20)
+    return raw
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block, content_length) of the records of files, plain or compressed; plain files are split.
+def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int | None, bool]]:
+    """(headers, block, length, whole) of a stream, one record in memory at a time.
 
-    Records are told apart by the version line.  A block that itself holds that
-    line gives a record whose length differs from its header's: such rows have
-    `whole` false and can be told from the rest.
+    A block has as many bytes as its header says, whatever stands in it.  Where
+    no length can be read, or bytes lie between records, they go up to the next
+    version line and are not whole.  Names are lower-cased; values of a
+    repeated name are joined by a comma, folded lines by a space.
     """
-    raw = spark.read.option("lineSep", VERSION + EOL).text(path).where("length(trim(value)) > 0")
-    at = F.instr("value", END)
-    head = F.substring_index("value", END, 1)
-    pairs = F.transform(F.filter(F.split(head, EOL), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([^:]*):", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
-    headers = F.map_from_entries(F.array_distinct(pairs))
-    parsed = raw.select(headers.alias("headers"), F.col("value").substr(at + F.lit(len(END)), F.length("value")).alias("_rest"))
-    length = F.col("headers")["content-length"].try_cast("long")
-    body = F.regexp_replace("_rest", r"(?s)\r\n\r\n$", "")
-    return parsed.select("headers", body.alias("block"), length.alias("content_length"), F.coalesce(F.octet_length(body) == length, F.lit(False)).alias("whole"))
+    begins, ends = re.compile(rb"WARC/\d+\.\d+\s*$").match, (b"\r\n", b"\n")
+    line = stream.readline()
+    while line:
+        if line in ends:
+            line = stream.readline()
+            continue
+        headers: dict[str, str] = {}
+        if begins(line):
+            name, line = "", stream.readline()
+            while line and line not in ends:
+                text = line.decode("utf-8", "replace").strip()
+                if line[:1] in b" \t" and name:
+                    headers[name] += " " + text
+                elif ":" in text:
+                    name, value = (x.strip() for x in text.split(":", 1))
+                    name = name.lower()
+                    headers[name] = f"{headers[name]}, {value}" if name in headers else value
+                line = stream.readline()
+            said = headers.get("content-length", "")
+            if said.isascii() and said.isdigit():
+                length = int(said)
+                block = stream.read(length)
+                line = stream.readline()
+                yield headers, block, length, len(block) == length and line in (b"", *ends)
+                continue
+            line = stream.readline()
+        parts = []
+        while line and not begins(line):
+            parts.append(line)
+            line = stream.readline()
+        yield headers, b"".join(parts), None, False
+
+
+def read(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """(path, headers, block, content_length, whole) of the records of all files below a path, of every version.
+
+    Files are plain, gzip or zstd, told by their first bytes; Spark lists them
+    and deals them to tasks by size, and a file is one task, which streams it:
+    where a record begins is known only from the length of the one before.
+    `whole` is false where a block is not as long as its header says.  A file
+    that breaks off gives a last row without headers that is not whole.  Blocks
+    are text, with a replacement sign for what is no UTF-8, or else `binary`.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "headers", "block", "content_length", "whole"]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"content_length": "Int64"})
+        for batch in batches:
+            for at in batch["path"]:
+                rows, size = [], 0
+                with opened(at) as stream:
+                    found = records(stream)
+                    while True:
+                        try:
+                            record = next(found, None)
+                        except (EOFError, gzip.BadGzipFile, zlib.error, zstandard.ZstdError):
+                            record, found = ({}, b"", None, False), iter(())
+                        if record is None:
+                            break
+                        headers, block, length, whole = record
+                        rows.append((at, headers, block if binary else block.decode("utf-8", "replace"), length, whole))
+                        size += len(block)
+                        if size >= BATCH or len(rows) >= 4096:
+                            yield frame(rows)
+                            rows, size = [], 0
+                yield frame(rows)
+
+    kind = "binary" if binary else "string"
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, f"path string, headers map<string, string>, block {kind}, content_length long, whole boolean")
 
 
 #: DuckDB's form of derive(responses(pages)), digests in place of the blocks.
 ORACLE = f"""
 WITH r AS (
   SELECT coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
-         md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS h FROM pages
+         md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|sha256:' || sha256(coalesce(html, ''))) AS h FROM pages
 ), n AS (
   SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS refers_to,
          'sha256:' || sha256(payload) AS source_digest FROM r
+), s AS (
+  SELECT *, {{stripped}} AS bare FROM n
+), c AS (
+  SELECT *, string_split_regex(bare, '{{reference}}') AS between, list_transform(regexp_extract_all(bare, '{{reference}}'), lambda x: CASE
+    WHEN x[2] <> '#' THEN MAP {{{{named}}}}[substr(x, 2)]
+    WHEN lower(x[3]) = 'x' THEN CAST(coalesce(TRY_CAST('0x' || rtrim(substr(x, 4), ';') AS BIGINT), 1114112) AS VARCHAR)
+    ELSE CAST(coalesce(TRY_CAST(rtrim(substr(x, 3), ';') AS BIGINT), 1114112) AS VARCHAR) END) AS marks,
+    regexp_extract_all(bare, '{{reference}}') AS refs FROM s
+), d AS (
+  SELECT *, list_transform(list_zip(refs, marks), lambda x: CASE WHEN x[1][2] <> '#' THEN x[2]
+    WHEN CAST(x[2] AS BIGINT) BETWEEN 55296 AND 57343 OR CAST(x[2] AS BIGINT) > 1114111 THEN chr(65533)
+    ELSE chr(CAST(x[2] AS INTEGER)) END) AS signs FROM c
 ), m AS (
   SELECT *, md5('conversion|' || refers_to) AS hc, md5('metadata|' || refers_to) AS hm,
-         trim({{text}}, ' ') AS txt FROM n
+         trim(regexp_replace(array_to_string(list_transform(list_zip(between, signs), lambda x: x[1] || coalesce(x[2], '')), ''), '{{blank}}', ' ', 'g'), ' ') AS txt FROM d
 ), i AS (
   SELECT *, '<urn:uuid:' || hc[1:8] || '-' || hc[9:12] || '-' || hc[13:16] || '-' || hc[17:20] || '-' || hc[21:32] || '>' AS conversion,
          '<urn:uuid:' || hm[1:8] || '-' || hm[9:12] || '-' || hm[13:16] || '-' || hm[17:20] || '-' || hm[21:32] || '>' AS metadata FROM m
@@ -140,7 +251,12 @@ SELECT record_type, record_id, refers_to, target_uri, '{DATE}' AS date, content_
 
 
 def oracle_sql() -> str:
-    text = "payload"
-    for pattern, by in PLAIN:
-        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), by.replace("'", "''"))
-    return ORACLE.replace("{text}", text)
+    """The numbers that the standard moves or leaves out, from 128 to 159 and control signs, are not told apart in SQL."""
+    quoted = lambda x: x.replace("'", "''")
+    stripped = "payload"
+    for pattern in MARKUP:
+        stripped = f"regexp_replace({stripped}, '{quoted(pattern.replace('*+', '*').replace('++', '+'))}', ' ', 'g')"
+    names = sorted(html5, key=lambda x: (-len(x), x))
+    reference = "&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|" + "|".join(names) + ")"
+    named = ", ".join(f"'{x}': '{quoted(html5[x])}'" for x in names)
+    return ORACLE.replace("{stripped}", stripped).replace("{reference}", reference).replace("{named}", named).replace("{blank}", BLANK)
