@@ -165,9 +165,49 @@ def opaque_id(key: bytes, c: Column | str) -> Column:
     return run(_c(c))
 
 
+#: The longest hub URL and host in bytes, the hosts that may go without TLS, the first second of accepted
+#: times since 1970, and how many seconds one may lie ahead of the clock.
+URL_BYTES, HOST_BYTES, OPEN_HOSTS = 2048, 253, ("localhost", "127.0.0.1", "[::1]")
+EARLIEST_S, AHEAD_S = 946_684_800, 86_400
+
+
 def safe_text(c: Column | str, longest: int = 256) -> Column:
-    """Not blank, not longer, without control and direction-changing characters."""
-    return (F.length(F.trim(_c(c))) > 0) & (F.length(_c(c)) <= longest) & ~_c(c).rlike(r"[\x00-\x1F\x7F-\x9F‎‏‪-‮⁦-⁩]")
+    """Neither empty nor longer, no blanks at the ends, no control, format, direction-changing or unassigned characters.
+
+    Length counts code points, of which eight bytes each are allowed.  Null stays null.
+    """
+    c = _c(c)
+    return (F.length(c) > 0) & (F.length(c) <= longest) & (F.octet_length(c) <= 8 * longest) & ~c.rlike(r"^\p{Z}|\p{Z}$|[\p{Cc}\p{Cf}\p{Cn}]")
+
+
+def device_name(c: Column | str) -> Column:
+    """The name without blanks and line ends around it, or null where what is left is no safe text of 80."""
+    name = F.regexp_replace(_c(c), r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")
+    return F.when(safe_text(name, 80), name)
+
+
+def device_id(c: Column | str) -> Column:
+    return _c(c).rlike(r"\A[A-Za-z0-9_-]{1,80}\z")
+
+
+def safe_credential(c: Column | str) -> Column:
+    """From 32 to 512 visible ASCII characters."""
+    return _c(c).rlike(r"\A[\x21-\x7E]{32,512}\z")
+
+
+def allowed_hub_url(c: Column | str) -> Column:
+    """An https address without user, path, query or fragment, or an http one of this machine; ports from 1 to 65535."""
+    form = r"(?i)\A(https?)://([A-Za-z0-9._~!$&'()*+,;=%-]+|\[[0-9A-F:.]+\])(?::([0-9]+))?/?\z"
+    scheme, host, port = (F.regexp_extract(_c(c), form, i) for i in (1, 2, 3))
+    in_range = (port == "") | F.coalesce(port.try_cast("long").between(1, 65535), F.lit(False))
+    reachable = (F.lower(scheme) == "https") | F.lower(host).isin(*OPEN_HOSTS)
+    return (F.octet_length(_c(c)) <= URL_BYTES) & (host != "") & (F.octet_length(host) <= HOST_BYTES) & in_range & reachable
+
+
+def accepted_time(c: Column | str, now: Column) -> Column:
+    """Not before the year 2000, and not more than a day ahead of the clock."""
+    at = micros(c)
+    return at.between(EARLIEST_S * 1_000_000, micros(now) + AHEAD_S * 1_000_000)
 
 
 def safe_id(c: Column | str, longest: int = 128) -> Column:

@@ -213,14 +213,14 @@ def velocity(state: Velocity | None, day: Any, at: float, tokens: int, weight: f
 
 
 def velocities(samples: DataFrame, key: str = "string", weight: float = 0.65, least_s: float = 1.0) -> DataFrame:
-    """(key, at_us, tokens, rate) for samples (key, day, at_us, tokens)."""
+    """(key, at_us, tokens, rate) for samples (key, day, at_us, tokens); of equal times the smaller total comes first."""
     weight, least_s = min(max(weight, 0.0), 1.0), max(least_s, 0.1)
 
     def step(state: Velocity | None, row: Any) -> tuple[Velocity, list[tuple]]:
         state, rate = velocity(state, row.day, row.at_us, int(row.tokens), weight, least_s * 1e6)  # whole microseconds: seconds since 1970 lose digits
         return state, [(row.key, row.at_us, row.tokens, rate * 1e6)]
 
-    return fold(samples, ["key"], ["at_us"], step, f"key {key}, at_us long, tokens long, rate double")
+    return fold(samples, ["key"], ["at_us", "day", "tokens"], step, f"key {key}, at_us long, tokens long, rate double")
 
 
 @dataclass(frozen=True)

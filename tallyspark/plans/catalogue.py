@@ -488,6 +488,21 @@ def counter_fold_resets(spark, sf_dir):
     return folds.counter_events(rows.withColumns({"l_input": F.col("q"), "l_output": F.col("q")}))
 
 
+@query(
+    f"""WITH f AS (SELECT *, CAST(rollout AS BIGINT) % 3 AS k, 1000 * CAST(sum(q) OVER (PARTITION BY rollout ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM ({_FOLD})),
+    e AS (SELECT rollout, ts, ord * 2 AS ord, CASE WHEN k = 2 AND ord > 1 THEN t - (t - 1000 * q) // 10 * 9 ELSE 1000 * q END AS n FROM f UNION ALL SELECT rollout, ts, ord * 2 + 1, 1 FROM f WHERE k = 2)
+    SELECT rollout, ts, ord, CAST(n AS BIGINT) AS input_tokens, CAST(n AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(0 AS BIGINT) AS reasoning_tokens FROM e"""
+)
+def counter_fold_late(spark, sf_dir):
+    """After each report a smaller one: by a hundredth or by two steps, which is late, or by a tenth, which is a reset."""
+    kind = F.col("rollout").cast("long") % 3
+    real = _running(spark, sf_dir).withColumns({"total": F.col("t_input") * 1000, "step": F.col("q") * 1000, "place": F.col("ord") * 2})
+    fallen = F.when(kind == 0, F.expr("total div 100 * 99")).when(kind == 1, F.greatest(F.col("total") - 2 * F.col("step"), F.lit(1))).otherwise(F.expr("total div 10 * 9"))
+    smaller = real.withColumns({"total": fallen, "step": F.when(kind == 2, 1).otherwise(F.col("step")), "place": F.col("place") + 1})
+    columns = {"ord": "place", "t_input": "total", "t_output": "total", "l_input": "step", "l_output": "step"}
+    return folds.counter_events(real.unionByName(smaller).withColumns({name: F.col(of) for name, of in columns.items()}))
+
+
 @query(f"SELECT rollout, ts, ord, t AS t_input, CAST(sum(q) OVER (PARTITION BY rollout ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t_output FROM (SELECT *, CAST(sum(q) OVER (PARTITION BY rollout ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM ({_FOLD})) QUALIFY ord > 2 AND t > CAST(sum(CASE WHEN ord <= 2 THEN q ELSE 0 END) OVER (PARTITION BY rollout) AS BIGINT)")
 def replay_suppression(spark, sf_dir):
     """Each rollout begins as a fork whose first two reports repeat its parent's."""

@@ -49,6 +49,32 @@ def model_labels(spark, sf_dir):
     return rows.select("model", C.model_name("model").alias("name"), F.when(price.startswith("$"), "priced").otherwise(price).alias("price"), C.some_and_more("s").alias("sources"))
 
 
+@query("SELECT c_custkey, c_custkey % 6 IN (0, 3) AS text_safe, CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN c_name WHEN 3 THEN repeat('é', 80) END AS name, c_custkey % 6 IN (0, 2) AS id_safe, c_custkey % 6 IN (0, 2) AS credential_safe FROM customer")
+def field_checks(spark, sf_dir):
+    """Each customer gets a text, an id and a credential of one of six kinds, among them the longest allowed and one more."""
+    case = lambda *of: F.element_at(F.array(*of), (F.col("c_custkey") % 6 + 1).cast("int"))
+    times = lambda x, n: F.lit(x * n)
+    text = case(F.col("c_name"), F.concat(F.lit(" "), "c_name"), F.concat("c_name", F.lit("\u202e")), times("é", 80), times("é", 81), F.lit(""))
+    key = case(F.concat(F.lit("dev-"), F.col("c_custkey").cast("string")), F.lit("a.b"), times("a", 80), times("a", 81), F.lit(""), F.lit("é"))
+    credential = case(times("x", 32), times("x", 31), times("~", 512), times("~", 513), F.lit("a b" * 20), times("é", 40))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.safe_text(text, 80).alias("text_safe"), C.device_name(text).alias("name"), C.device_id(key).alias("id_safe"), C.safe_credential(credential).alias("credential_safe"))
+
+
+@query("SELECT page_id, v AS form, v IN (0, 1, 2, 8, 9) AS allowed FROM pages, (SELECT unnest(range(12)) AS v)")
+def hub_urls(spark, sf_dir):
+    """Twelve addresses of each page's host, and of this machine."""
+    host = F.regexp_extract("url", "//([^/?#]+)", 1)
+    forms = [("https://", ""), ("https://", "/"), ("HTTPS://", ":443/"), ("https://", ":65536"), ("https://", ":"), ("http://", ""), ("https://u:p@", ""), ("https://", "/a")]
+    urls = [F.concat(F.lit(a), host, F.lit(b)) for a, b in forms] + [F.lit("http://127.0.0.1:8080"), F.lit("http://[::1]/"), F.concat(F.lit("https://"), host, F.lit("?q=1")), F.concat(F.lit("ftp://"), host)]
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(*urls)).alias("form", "u")).select("page_id", F.col("form").cast("long").alias("form"), C.allowed_hub_url("u").alias("allowed"))
+
+
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 5 YEAR BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2001-01-02' AS accepted FROM orders")
+def accepted_times(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 5 YEAR")).cast("timestamp_ntz").alias("at"))
+    return rows.select("o_orderkey", C.accepted_time("at", F.lit("2001-01-01").cast("timestamp_ntz")).alias("accepted"))
+
+
 @query("SELECT c_custkey, c_custkey % 5 < 2 AS jwt FROM customer")
 def jwt_check(spark, sf_dir):
     """Headers with an algorithm, with a type, with neither, no JSON, and two parts instead of three."""

@@ -32,7 +32,7 @@ def velocities(samples: DataFrame, weight: float = 0.65, least_s: float = 1.0) -
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = folds.Velocity(*state.get) if state.exists else None
         out = []
-        for row in pd.concat(list(batches)).sort_values("at_us").itertuples(index=False):
+        for row in pd.concat(list(batches)).sort_values(["at_us", "day", "tokens"]).itertuples(index=False):
             now, rate = folds.velocity(now, row.day, row.at_us / 1e6, int(row.tokens), weight, least_s)
             out.append((key[0], row.at_us, row.tokens, rate))
         if now is not None:
