@@ -9,6 +9,8 @@ from tallyspark.functions import columns as C
 
 #: Windows and counts of a valid snapshot, and when a device counts as stale.
 MOST_DAYS, MOST_EVENTS, MOST_TOKENS, STALE_INTERVALS = 367, 200_000, 1_000_000_000, 4
+#: Devices of a hub, and for how many seconds what was loaded is used again, without the hub, and in sums.
+MOST_DEVICES, REUSE_S, OFFLINE_S, TOTALS_S = 64, 30, 48 * 3600, 600
 
 
 def latest_wins(envelopes: DataFrame) -> DataFrame:
@@ -34,9 +36,9 @@ def manifest_diff(manifest: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def freshness(devices: DataFrame, now_us: int) -> DataFrame:
-    """devices with `stale`: not seen for more than four of their intervals, or never."""
+    """devices with `stale`: not seen for more than four of their intervals; one that was never seen is not."""
     age = F.lit(now_us) - F.col("last_seen_us")
-    return devices.withColumn("stale", F.coalesce(age > F.col("interval_s") * STALE_INTERVALS * 1_000_000, F.lit(True)))
+    return devices.withColumn("stale", F.coalesce(age > F.col("interval_s") * STALE_INTERVALS * 1_000_000, F.lit(False)))
 
 
 def retained(events: DataFrame, today: str, days: int, ts: str = "ts") -> DataFrame:
@@ -101,13 +103,48 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def digest_of_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, digest) that is equal for equal sets of rows, whatever their order.
 
-    Rows are digested, digests sorted within the 256 buckets of their first two
-    digits, and the bucket digests digested: no list holds all rows of a key.
+    A row's digest leads to a bucket by its first six digits; a bucket is the
+    digest of its sorted rows, and buckets are digested by their first four,
+    two and no digits.  However hot a key, it is dealt over 16,777,216 buckets,
+    and above them no list is longer than 256.
     """
     row = C.sha256(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
-    each = rows.select(key, row.alias("d")).withColumn("b", F.substring("d", 1, 2))
-    parts = each.groupBy(key, "b").agg(C.sha256(F.array_join(F.array_sort(F.collect_list("d")), "\n")).alias("d"))
-    return parts.groupBy(key).agg(C.sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n")).alias("digest"))
+    level = rows.select(key, row.alias("d")).withColumn("p", F.col("d"))
+    for digits in (6, 4, 2, 0):
+        within = F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"])
+        level = level.groupBy(key, F.substring("p", 1, digits).alias("q")).agg(C.sha256(F.array_join(within, "\n")).alias("d")).withColumnRenamed("q", "p")
+    return level.select(key, F.col("d").alias("digest"))
+
+
+def version_tags(devices: DataFrame, hub: str, manifest: bool = False) -> DataFrame:
+    """(hub, tag): the digest of its devices' ids and sequences in id order; a manifest's has the time seen and interval too.
+
+    Devices that never sent are left out of the plain tag and have sequence 0
+    in the manifest's.  A hub has at most MOST_DEVICES; more fail.
+    """
+    sequence = F.coalesce("latest_sequence", F.lit(0).cast("long"))
+    parts = ["device_id", sequence] + ([F.coalesce(F.floor(F.col("last_seen_us") / 1000).cast("long"), F.lit(-1)), F.col("interval_s")] if manifest else [])
+    line = F.struct(F.col("device_id").alias("id"), F.concat_ws(":", *parts).alias("line"))
+    counted = F.lit(True) if manifest else F.col("latest_sequence").isNotNull()
+    lines = F.transform(F.array_sort(F.collect_list(F.when(counted, line))), lambda x: x["line"])
+    few = F.when(F.count("*") > MOST_DEVICES, F.raise_error(F.lit(f"a hub has more than {MOST_DEVICES} devices"))).otherwise(F.array_join(lines, "\n"))
+    return devices.groupBy(hub).agg(C.sha256(few).alias("tag"))
+
+
+def cache_decisions(caches: DataFrame, now_us: int) -> DataFrame:
+    """caches with `decision`, `offline` and `totals`: what a device's loaded snapshots may still be used for.
+
+    caches: complete, checked_us, fetched_us, fallback and stale.  What was
+    checked within REUSE_S is reused, if it is complete, and, where it came from
+    a fallback, fetched within OFFLINE_S; `stale` where a device in it is;
+    anything else is fetched.  `offline`: may stand in if that fails; `totals`:
+    sums made of it still hold.  Times ahead of the clock or null never do.
+    """
+    age = lambda c, most: F.coalesce((F.lit(now_us) - F.col(c)).between(0, most * 1_000_000), F.lit(False))
+    usable = F.coalesce("complete", F.lit(False)) & age("checked_us", REUSE_S)
+    fallback, stale = F.coalesce("fallback", F.lit(False)), F.coalesce("stale", F.lit(False))
+    decision = F.when(~usable | (fallback & ~age("fetched_us", OFFLINE_S)), "fetch").when(~fallback & stale, "stale").otherwise("reuse")
+    return caches.withColumns({"decision": decision, "offline": age("fetched_us", OFFLINE_S), "totals": age("fetched_us", TOTALS_S)})
 
 
 def sync_decisions(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -629,7 +629,11 @@ def key_set_equality(spark, sf_dir):
     return devices.same_keys(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query("SELECT k AS s_nationkey, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT k, d[1:2] AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM (SELECT s_nationkey AS k, sha256(s_suppkey || '|' || s_name) AS d FROM supplier) GROUP BY k, d[1:2]) GROUP BY k")
+@query(
+    """WITH r AS (SELECT s_nationkey AS k, sha256(s_suppkey || '|' || s_name) AS d FROM supplier), x AS (SELECT k, d[1:6] AS p, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM r GROUP BY k, d[1:6]),
+    y AS (SELECT k, p[1:4] AS p, sha256(string_agg(d, chr(10) ORDER BY p)) AS d FROM x GROUP BY k, p[1:4]), z AS (SELECT k, p[1:2] AS p, sha256(string_agg(d, chr(10) ORDER BY p)) AS d FROM y GROUP BY k, p[1:2])
+    SELECT k AS s_nationkey, sha256(string_agg(d, chr(10) ORDER BY p)) AS digest FROM z GROUP BY k"""
+)
 def content_digest(spark, sf_dir):
     return devices.digest_of_rows(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_suppkey", "s_name"])
 
@@ -656,6 +660,32 @@ def active_tools(spark, sf_dir):
     return last.join(seen.select("source", "active"), "source")
 
 
+@query(f"SELECT bool_or(active) AS any_active, arg_min(source, CASE source WHEN 'Codex' THEN 1 WHEN 'Cursor' THEN 2 WHEN 'OpenCode' THEN 3 ELSE 4 END) FILTER (WHERE active) AS first FROM (SELECT source, epoch_us(TIMESTAMP '{NOW}') - max(us) <= CASE source WHEN 'Cursor' THEN 90 ELSE 30 END * CAST(40000000 AS BIGINT) AS active FROM te GROUP BY 1)", "te")
+def activity_state(spark, sf_dir):
+    return live.activity_state(active_tools(spark, sf_dir), ["Codex", "Cursor", "OpenCode", "Claude Code"])
+
+
+_HUBS = "SELECT s_suppkey // 40 AS hub, CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 7 END AS n, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey * 1234 ELSE -1 END AS ms FROM supplier"
+
+
+@query(f"SELECT CAST(hub AS BIGINT) AS hub, sha256(coalesce(string_agg(id || ':' || n, chr(10) ORDER BY id) FILTER (WHERE n IS NOT NULL), '')) AS snapshot_tag, sha256(string_agg(id || ':' || coalesce(n, 0) || ':' || ms || ':60', chr(10) ORDER BY id)) AS manifest_tag FROM ({_HUBS}) GROUP BY 1")
+def version_tags(spark, sf_dir):
+    k = F.col("s_suppkey").cast("long")
+    rows = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 40").alias("hub"), k.cast("string").alias("device_id"), F.when(k % 5 > 0, k % 7).alias("latest_sequence"), F.when(k % 3 > 0, k * 1_234_000 + 999).alias("last_seen_us"), F.lit(60).alias("interval_s"))
+    return devices.version_tags(rows, "hub").withColumnRenamed("tag", "snapshot_tag").join(devices.version_tags(rows, "hub", manifest=True).withColumnRenamed("tag", "manifest_tag"), "hub")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN NOT (complete AND checked BETWEEN 0 AND 30) OR (fallback AND fetched > 172800) THEN 'fetch' WHEN NOT fallback AND stale THEN 'stale' ELSE 'reuse' END AS decision, fetched <= 172800 AS offline, fetched <= 600 AS totals
+    FROM (SELECT o_orderkey, o_orderkey % 4 > 0 AS complete, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_orderkey % 37 END AS checked, o_orderkey % 97 * CASE WHEN o_orderkey % 2 = 0 THEN 3600 ELSE 60 END AS fetched, o_orderkey % 3 = 0 AS fallback, o_orderkey % 5 = 0 AS stale FROM orders)"""
+)
+def cache_decisions(spark, sf_dir):
+    k, now = F.col("o_orderkey").cast("long"), 1_700_000_000_000_000
+    checked, fetched = F.when(k % 11 == 0, -1).otherwise(k % 37), (k % 97) * F.when(k % 2 == 0, 3600).otherwise(60)
+    caches = table(spark, sf_dir, "orders").select("o_orderkey", (k % 4 > 0).alias("complete"), (F.lit(now) - checked * 1_000_000).alias("checked_us"), (F.lit(now) - fetched * 1_000_000).alias("fetched_us"), (k % 3 == 0).alias("fallback"), (k % 5 == 0).alias("stale"))
+    return devices.cache_decisions(caches, now).select("o_orderkey", "decision", "offline", "totals")
+
+
 # Scalars
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")

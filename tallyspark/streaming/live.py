@@ -94,6 +94,13 @@ def active_tools(events: DataFrame, now_us: int) -> DataFrame:
     return last.withColumn("active", F.lit(now_us) - F.col("last_us") <= limit * 1_000_000)
 
 
+def activity_state(active: DataFrame, order: list[str]) -> DataFrame:
+    """(any_active, first): of active_tools(), whether one is, and the first of those that are by the order of probing."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("source"))
+    on = F.col("active") & (place > 0)
+    return active.agg(F.coalesce(F.bool_or(on), F.lit(False)).alias("any_active"), F.min_by(F.when(on, F.col("source")), F.when(on, place)).alias("first"))
+
+
 def recent_tool_use(lines: DataFrame, since_us: int, text: str = "text") -> DataFrame:
     """(path, active): whether a log has a tool call or its result at or after a time."""
     parts = F.from_json(F.get_json_object(text, "$.message.content"), "array<struct<type: string>>")
