@@ -7,11 +7,13 @@ are plain functions that the streaming operators use as well.
 
 from __future__ import annotations
 
+import math
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,15 +214,79 @@ def velocity(state: Velocity | None, day: Any, at: float, tokens: int, weight: f
     return Velocity(day, at, tokens, value), value
 
 
+def smoothed(at: np.ndarray, tokens: np.ndarray, begins: np.ndarray, value: float, weight: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, samples they stand on) of many days' samples at once, as `velocity` gives them one by one.
+
+    begins marks where a key or day begins; `value` is the rate that the first
+    sample already has.  A day's samples are laid out at least `least` apart
+    from the next day's, so that one chain of jumps to the first sample that is
+    far enough passes through all days; doubling the jumps finds its members.
+    Between these a rate is an affine step of the one before, and doubling
+    composes the steps.
+    """
+    n, day = len(at), np.cumsum(begins) - 1
+    first = np.flatnonzero(begins)
+    span = np.append(at[first[1:] - 1], at[-1]) - at[first] + least
+    place = at - at[first][day] + np.append(0, np.cumsum(span)[:-1])[day]
+    jump, on = np.append(np.searchsorted(place, place + least), n), np.zeros(n + 1, bool)
+    on[0] = True
+    while jump[0] < n:
+        on[jump[np.flatnonzero(on)]] = True
+        jump = jump[jump]
+    kept = np.flatnonzero(on[:n])
+    added, elapsed = np.diff(tokens[kept], prepend=0), np.diff(at[kept], prepend=0)
+    reset = begins[kept] | (added < 0)
+    raw = np.where(reset, 0.0, added / np.where(reset, 1, elapsed))
+    raw[0] = value
+    rises = np.cumsum(raw > 0)
+    head = np.maximum.accumulate(np.where(reset, np.arange(len(kept)), 0))
+    anew = rises - (raw > 0) == (rises - (raw > 0))[head]  # nothing above zero since the last reset
+    while True:
+        a, b, d = np.where(anew, 0.0, 1 - weight), np.where(anew, raw, weight * raw), 1
+        while d < len(kept) and a.any():
+            b[d:], a[d:] = b[d:] + a[d:] * b[:-d], a[d:] * a[:-d]
+            d *= 2
+        faded = np.append(False, b[:-1] == 0) & ~anew  # too small for a double, so the next begins anew
+        if not faded.any():
+            break
+        anew = anew | faded
+    last = np.cumsum(on[:n]) - 1
+    return b[last], kept[last]
+
+
 def velocities(samples: DataFrame, key: str = "string", weight: float = 0.65, least_s: float = 1.0) -> DataFrame:
-    """(key, at_us, tokens, rate) for samples (key, day, at_us, tokens); of equal times the smaller total comes first."""
-    weight, least_s = min(max(weight, 0.0), 1.0), max(least_s, 0.1)
+    """(key, at_us, tokens, rate) for samples (key, day, at_us, tokens); of equal times the smaller total comes first.
 
-    def step(state: Velocity | None, row: Any) -> tuple[Velocity, list[tuple]]:
-        state, rate = velocity(state, row.day, row.at_us, int(row.tokens), weight, least_s * 1e6)  # whole microseconds: seconds since 1970 lose digits
-        return state, [(row.key, row.at_us, row.tokens, rate * 1e6)]
+    Arrow batches of sorted samples are smoothed whole; from one to the next
+    goes the last sample that a rate stands on.
+    """
+    weight, least = min(max(weight, 0.0), 1.0), math.ceil(max(least_s, 0.1) * 1e6)
 
-    return fold(samples, ["key"], ["at_us", "day", "tokens"], step, f"key {key}, at_us long, tokens long, rate double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys, days = batch.column("key"), batch.column("day")
+            at, tokens = (batch.column(c).cast(pa.int64()).to_numpy() for c in ("at_us", "tokens"))
+            begins = np.ones(len(at), bool)
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in (keys, days)]
+            begins[1:] = (np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0)
+            known = held is not None and (keys[0].as_py(), days[0].as_py()) == held[:2]
+            if known:
+                begins[0] = False
+                rates, base = smoothed(np.append(held[2], at), np.append(held[3], tokens), np.append(True, begins), held[4], weight, least)
+                stood = base[-1] - 1
+                rates = rates[1:]
+            else:
+                rates, base = smoothed(at, tokens, begins, 0.0, weight, least)
+                stood = base[-1]
+            point = (at[stood], tokens[stood]) if stood >= 0 else held[2:4]
+            held = (keys[-1].as_py(), days[-1].as_py(), *point, rates[-1])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(at), pa.array(tokens), pa.array(rates * 1e6)], names=["key", "at_us", "tokens", "rate"])
+
+    sorted_samples = samples.select(F.col("key").cast(key), "day", "at_us", "tokens").repartition("key").sortWithinPartitions("key", "at_us", "day", "tokens")
+    return sorted_samples.mapInArrow(run, f"key {key}, at_us long, tokens long, rate double")
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ import collections
 import datetime
 import random
 
+import numpy as np
+
 from tallyspark.operators import cube, folds
 from tallyspark.plans import catalogue, panels  # noqa: F401
 from tallyspark.sources.scratch import written
@@ -71,3 +73,39 @@ def test_a_cube_reads_its_events_once(spark):
     events = catalogue.priced(spark, "/root/testdata/sf0.001")
     added = cube.usage(events)._jdf.queryExecution().executedPlan().toString()
     assert added.count("FileScan parquet") == 2 and cube.cube(written(cube.usage(events)))._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+
+
+def test_velocities_in_whole_batches_equal_the_plain_step(spark):
+    draw, rows = random.Random(5), []
+    for k in [None, *(f"k{i}" for i in range(20))]:
+        at, tokens, day = 0, 0, 0
+        for i in range(draw.randint(1, 120)):
+            if draw.random() < 0.05:
+                day, tokens = day + 1, 0
+            at += draw.choice([0, 1, 400_000, 999_999, 1_000_000, 7_000_000])
+            tokens = max(0, tokens + draw.choice([0, 0, 4, 900, -2]))
+            rows.append((k, f"d{day}" if day != 2 else None, at, tokens))
+    want, state = [], {}
+    for k, day, at, tokens in sorted(rows, key=lambda r: (str(r[0]), r[2], str(r[1] or ""), r[3])):
+        state[k], rate = folds.velocity(state.get(k), day, at, tokens, 0.65, 1e6)
+        want.append((str(k), at, tokens, round(rate * 1e6, 6)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(draw.sample(rows, len(rows)), "key string, day string, at_us long, tokens long")
+        got = [(str(r.key), r.at_us, r.tokens, round(r.rate, 6)) for r in folds.velocities(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == sorted(want) and sum(r[3] > 0 for r in want) > 200
+    assert folds.velocities(df.limit(0)).count() == 0
+
+
+def test_rates_that_fade_to_nothing_begin_anew():
+    at, tokens = np.arange(1, 3001) * 2_000_000, np.where(np.arange(3000) < 2000, 100, 300)
+    tokens[0] = 0
+    rates, _ = folds.smoothed(at, tokens, np.arange(3000) == 0, 0.0, 0.65, 1_000_000)
+    state, want = None, []
+    for a, t in zip(at.tolist(), tokens.tolist(), strict=True):
+        state, rate = folds.velocity(state, "d", a, t, 0.65, 1e6)
+        want.append(rate)
+    assert np.allclose(rates, want, rtol=1e-12, atol=1e-300) and want[1999] == 0 and rates[2000] == want[2000] == 200 / 2_000_000
