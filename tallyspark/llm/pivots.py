@@ -20,6 +20,8 @@ FIRST_LEAST, FIRST_MOST = 4, 12
 FOUND = 0.995
 #: The reference points are a sample of about 2 * sqrt(N) vectors, within these bounds.
 FEWEST, MOST = 64, 16_384
+#: The reference points of all dimensions, which every task holds, take at most so many bytes.
+HELD_BYTES = 128 << 20
 #: Where linked vectors share too little of them, as in a narrow cone, their number is halved, down to this.
 COARSEST = 32
 #: No two reference points are as near as this, and so many sampled vectors are looked at for each point wanted.
@@ -122,7 +124,10 @@ def fit_points(sampled: np.ndarray, most: int, threshold: float, nearest: int =
 
 
 def fit_pivots(classes: DataFrame, threshold: float = 0.95, nearest: int = NEAREST) -> dict[int, Points]:
-    """The reference points of each dimension; dimensions beyond the 1,000 most frequent have none and one list each.
+    """The reference points of each dimension, the most frequent first, while they fit in HELD_BYTES.
+
+    Dimensions for which fewer than COARSEST are left, and those beyond the
+    1,000 most frequent, have none and one list each.
 
     A bounded sample: of each dimension the vectors with the smallest hashes,
     LOOKED_AT for each of 2 * sqrt(N) points within FEWEST and MOST.  Of these
@@ -130,18 +135,22 @@ def fit_pivots(classes: DataFrame, threshold: float = 0.95, nearest: int = NEARE
     dense group would be ordered by chance, so such a group has one.
     """
     sizes = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1000).collect()
-    pivots = {}
+    pivots, room = {}, HELD_BYTES
     for dim, n in sizes:
-        m = min(MOST, max(FEWEST, 1 << int(np.ceil(np.log2(2 * np.sqrt(n))))))
+        m = min(MOST, max(FEWEST, 1 << int(np.ceil(np.log2(2 * np.sqrt(n))))), room // (8 * dim) - 1)  # a mean besides
+        if m < COARSEST:
+            continue
         sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep")).limit(LOOKED_AT * m).select("vec").toArrow()
         flat = sample.column("vec").combine_chunks().flatten()
-        pivots[dim] = fit_points(unit(flat.to_numpy(zero_copy_only=False).reshape(-1, dim)), m, threshold, nearest)
+        points = fit_points(unit(flat.to_numpy(zero_copy_only=False).reshape(-1, dim)), m, threshold, nearest)
+        pivots[dim] = points
+        room -= points.x.nbytes + points.mean.nbytes
     return pivots
 
 
 def describe(classes: DataFrame, pivots: dict[int, Points], nearest: int = NEAREST) -> DataFrame:
     """(rep, dim, order, pairs): the numbers of the nearest points as bytes, and the lists: pairs of the first of them."""
-    held = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST points of each dimension
+    held = classes.sparkSession.sparkContext.broadcast(pivots)  # at most HELD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

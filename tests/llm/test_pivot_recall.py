@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tallyspark.llm import pivots
+from tests.llm import brute
 
 
 def made(kind, n=6000, d=48, planted=400, seed=1):
@@ -32,3 +33,19 @@ def test_recall(spark, kind):
     assert sum(got.values()) >= 0.95 * want.sum()
     planted = np.flatnonzero(want > 0)[-400:]
     assert sum(got[i] > 0 for i in planted.tolist()) >= 0.95 * len(planted)
+
+
+def test_points_fit_their_bytes_and_dimensions_without_any_are_still_compared(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((16, 300), (8, 200), (4, 60)):
+        base = draw.normal(size=(n, dim))
+        rows += [*base.tolist(), *(base[:20] * 1.5 + 0.01 * draw.normal(size=(20, dim))).tolist()]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pivots, "HELD_BYTES", 8 * 16 * 41 + 8 * 8 * 34)
+    held, fit = {}, pivots.fit_pivots
+    monkeypatch.setattr(pivots, "fit_pivots", lambda *a: held.update(fit(*a)) or held)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(df).collect()}
+    assert set(held) < {16, 8, 4} and sum(p.x.nbytes + p.mean.nbytes for p in held.values()) <= pivots.HELD_BYTES
+    assert got == brute.vectors(rows)
