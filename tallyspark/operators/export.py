@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,31 +68,59 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select("section", F.to_json(cells).alias("json"))
 
 
-#: Rows that one document may hold: it is a single text, put together in one task.
-MOST = 100_000
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (part, task, text) as pieces: the texts of a part in a batch, joined by commas, with their places and counts."""
+    number = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        parts, tasks, texts = (c.to_pylist() for c in batch.columns)
+        out = []
+        for part, run in groupby(zip(parts, texts, strict=True), itemgetter(0)):
+            some = [text for _, text in run]
+            out.append((part, tasks[0], number, len(some), ",".join(some)))
+            number += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["part", "task", "number", "n", "text"])
 
 
-def as_document(found: DataFrame, date: str, start: str, end: str, most: int = MOST) -> DataFrame:
+def as_document(found: DataFrame, date: str, start: str, end: str, most: int | None = None) -> DataFrame:
     """(json): a cube as one object with sorted keys: dates, totals, and sources, models, projects and sessions as arrays.
 
-    Arrays are in the order of the tokens, then of the names.  A cube of more
-    than `most` rows is an error, as nothing is left out: as_json() has no bound.
+    Arrays are in the order of the tokens, then of the names.  Tasks order and
+    write ranges of the rows; as a document is a single text, the last step
+    puts the ranges' texts together in one task, up to the 2 GB that a text can
+    hold.  A cube of more than `most` rows, if given, is an error, as nothing is
+    left out: as_json() has no bound.
     """
     sums = {c: F.col(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "total_tokens", "cost_nano")}
     about = {"first_at": F.date_format("first_at", _ISO), "last_at": F.date_format("last_at", _ISO), "models": F.col("models"), "project_name": F.col("project_name"), "project_path": F.col("project_path"), "quality": F.col("quality")}
     forms = {
-        "sources": ("source", sums | {"source": F.col("source")}, ["source"]),
         "models": ("model", {"model": F.col("model"), "total_tokens": F.col("total_tokens"), "cost_nano": F.col("cost_nano")}, ["model"]),
         "projects": ("project", sums | about | {"sources": F.col("sources"), "sessions": F.col("sessions")}, ["project_name", "project_path"]),
         "sessions": ("session", sums | about | {"source": F.col("source"), "session_id": F.col("session_id"), "session_key": F.col("session_key")}, ["source", "session_key"]),
+        "sources": ("source", sums | {"source": F.col("source")}, ["source"]),
+        "totals": ("total", sums, []),
     }
-    object_ = lambda cells: F.struct(*(cells[k].alias(k) for k in sorted(cells)))
-    lists = {}
-    for name, (section, cells, order) in forms.items():
-        keyed = F.struct((-F.col("total_tokens")).alias("_k"), *(F.coalesce(c, F.lit("")).alias(f"_{c}") for c in order), object_(cells).alias("_r"))
-        lists[name] = F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == section, keyed))), lambda x: x["_r"])
-    total = F.max(F.when(F.col("section") == "total", object_(sums)))
-    one = found.agg(F.count("*").alias("_n"), total.alias("totals"), *(c.alias(n) for n, c in lists.items()))
-    given = {"date": F.lit(date), "startDate": F.lit(start), "endDate": F.lit(end)} | {n: F.col(n) for n in (*lists, "totals")}
-    text = F.to_json(object_(given), {"ignoreNullFields": "false"})
-    return one.select(F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} rows are no document: take as_json()")).cast("string")).otherwise(text).alias("json"))
+
+    def of_section(values: list[Column]) -> Column:
+        out = F.lit(None)
+        for (section, _, _), value in zip(forms.values(), values, strict=True):
+            out = F.when(F.col("section") == section, value).otherwise(out)
+        return out
+
+    text = of_section([F.to_json(F.struct(*(cells[k].alias(k) for k in sorted(cells))), {"ignoreNullFields": "false"}) for _, cells, _ in forms.values()])
+    name = lambda i: of_section([F.coalesce(F.col(by[i]), F.lit("")) if i < len(by) else F.lit("") for _, _, by in forms.values()])
+    part = of_section([F.lit(i) for i in range(len(forms))])
+    keyed = found.select(part.alias("part"), (-F.col("total_tokens")).alias("_k"), name(0).alias("_a"), name(1).alias("_b"), text.alias("text"))
+    order = ["part", "_k", "_a", "_b", "text"]
+    pieces = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("part", F.spark_partition_id().alias("task"), "text").mapInArrow(_joined, "part int, task int, number long, n long, text string")
+    piece = F.struct("task", "number", "text")
+    lists = {n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == i, piece))), lambda x: x["text"]), ",") for i, n in enumerate(forms)}
+    one = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), *(c.alias(n) for n, c in lists.items()))
+    array = lambda n: F.concat(F.lit(f'"{n}":['), F.col(n), F.lit("]"))
+    given = lambda n, v: F.lit(f'"{n}":{json.dumps(v, ensure_ascii=False)}')
+    members = [given("date", date), given("endDate", end), array("models"), array("projects"), array("sessions"), array("sources"), given("startDate", start), F.concat(F.lit('"totals":'), F.coalesce(F.nullif("totals", F.lit("")), F.lit("null")))]
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    if most is None:
+        return one.select(whole.alias("json"))
+    return one.select(F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} rows are no document: take as_json()")).cast("string")).otherwise(whole).alias("json"))
