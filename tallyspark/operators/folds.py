@@ -25,28 +25,36 @@ from tallyspark.functions.columns import COUNTERS
 Step = Callable[[Any, Any], tuple[Any, list[tuple]]]
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df sorted by key and order, each key in one task, with `_at` from 1 in each key.
+
+    The window asks for both, and adaptive plans keep what it asks for.  A
+    plain repartition by key does not: where df is a union of inputs that each
+    lie by key, it is left out as done already, and then the inputs' partitions
+    are merged each in its own way.
+    """
+    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
     """Rows of each key in order through step(state, row) -> (state, rows out); the state begins as None.
 
     Rows come as Arrow batches, so that a column of longs with a null keeps its digits.
     """
-    Row = namedtuple("Row", df.columns, rename=True)  # noqa: N806
+    Row = namedtuple("Row", [*df.columns, "at"], rename=True)  # noqa: N806
     out_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
+        state = None
         for batch in batches:
             out: list[tuple] = []
             for row in map(Row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != at:
-                    at, state = key, None
-                state, rows = step(state, row)
+                state, rows = step(None if row[-1] == 1 else state, row)
                 out += rows
             columns = zip(*out, strict=True) if out else [()] * len(out_schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return in_order(df, keys, order).mapInArrow(run, schema)
 
 
 class Counts(NamedTuple):
@@ -285,7 +293,7 @@ def velocities(samples: DataFrame, key: str = "string", weight: float = 0.65, le
             held = (keys[-1].as_py(), days[-1].as_py(), *point, rates[-1])
             yield pa.RecordBatch.from_arrays([keys, pa.array(at), pa.array(tokens), pa.array(rates * 1e6)], names=["key", "at_us", "tokens", "rate"])
 
-    sorted_samples = samples.select(F.col("key").cast(key), "day", "at_us", "tokens").repartition("key").sortWithinPartitions("key", "at_us", "day", "tokens")
+    sorted_samples = in_order(samples.select(F.col("key").cast(key), "day", "at_us", "tokens"), ["key"], ["at_us", "day", "tokens"])
     return sorted_samples.mapInArrow(run, f"key {key}, at_us long, tokens long, rate double")
 
 

@@ -508,12 +508,13 @@ def replay_suppression(spark, sf_dir):
     """Each rollout begins as a fork whose first two reports repeat its parent's."""
     rows = _running(spark, sf_dir)
     null = lambda kind="string": F.lit(None).cast(kind)
-    base = rows.select("rollout", (F.col("ord") * 10).alias("ord"), "ts", F.lit("token_count").alias("entry"), null().alias("session_id"), null().alias("parent_id"), null().alias("thread_source"), null().alias("turn_id"), null().alias("turn_key"), null().alias("child_key"), null("long").alias("t_reported"), *folds.TOTAL, *folds.LAST)
-    first = rows.where("ord = 1").select("rollout").withColumn("ts", null("timestamp_ntz"))
-    empty = {c: null("long") for c in ("t_reported", *folds.TOTAL, *folds.LAST)} | {c: null() for c in ("thread_source", "turn_id", "turn_key", "child_key")}
-    meta = first.withColumns({"ord": F.lit(1).cast("long"), "entry": F.lit("session_meta"), "session_id": F.lit("child"), "parent_id": F.lit("parent")} | empty)
-    context = first.withColumns({"ord": F.lit(25).cast("long"), "entry": F.lit("turn_context"), "session_id": null(), "parent_id": null()} | empty)
-    found = folds.without_replays(base.unionByName(meta).unionByName(context))
+    kinds = dict.fromkeys(("session_id", "parent_id", "thread_source", "turn_id", "turn_key", "child_key"), "string") | dict.fromkeys(("t_reported", *folds.TOTAL, *folds.LAST), "long")
+    entry = lambda name, at, ts, **given: F.struct(at.cast("long").alias("ord"), ts.alias("ts"), F.lit(name).alias("entry"), *(given.get(c, null(k)).alias(c) for c, k in kinds.items()))
+    report = entry("token_count", F.col("ord") * 10, F.col("ts"), **{c: F.col(c) for c in (*folds.TOTAL, *folds.LAST)})
+    meta = entry("session_meta", F.lit(1), null("timestamp_ntz"), session_id=F.lit("child"), parent_id=F.lit("parent"))
+    context = entry("turn_context", F.lit(25), null("timestamp_ntz"))
+    entries = F.when(F.col("ord") == 1, F.array(report, meta, context)).otherwise(F.array(report))
+    found = folds.without_replays(rows.select("rollout", F.explode(entries).alias("one")).select("rollout", "one.*"))
     return found.select("rollout", "ts", F.expr("ord div 10").alias("ord"), "t_input", "t_output")
 
 

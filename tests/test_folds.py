@@ -5,6 +5,8 @@ import datetime
 import random
 
 import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tallyspark.operators import cube, folds
 from tallyspark.plans import catalogue, panels  # noqa: F401
@@ -109,3 +111,22 @@ def test_rates_that_fade_to_nothing_begin_anew():
         state, rate = folds.velocity(state, "d", a, t, 0.65, 1e6)
         want.append(rate)
     assert np.allclose(rates, want, rtol=1e-12, atol=1e-300) and want[1999] == 0 and rates[2000] == want[2000] == 200 / 2_000_000
+
+
+def test_forks_whose_entries_lie_apart_are_folded_whole(spark):
+    """A union of inputs of unequal size that each lie by rollout, in an adaptive plan that merges small partitions."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    for k, v in zip(before, ("40", "false", "32k", "1k"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        null = lambda kind="string": F.lit(None).cast(kind)
+        of = lambda n: spark.range(n).select((F.col("id") % 8_000).cast("string").alias("rollout"), (F.col("id") / 8_000).cast("long").alias("o"))
+        numbered = lambda n: of(n).withColumn("k", F.row_number().over(Window.partitionBy("rollout").orderBy("o")))
+        entry = lambda rows, at, name, **given: rows.select("rollout", at.cast("long").alias("ord"), F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), F.lit(name).alias("entry"), *(given.get(c, null()).alias(c) for c in ("session_id", "parent_id", "thread_source", "turn_id", "turn_key", "child_key")), null("long").alias("t_reported"), *((F.col("k") * 7).cast("long").alias(c) if name == "token_count" else null("long").alias(c) for c in folds.TOTAL), *(null("long").alias(c) for c in folds.LAST))
+        first = numbered(8_000).where("k = 1")
+        entries = entry(numbered(32_000), F.col("k") * 10, "token_count").unionByName(entry(first, F.lit(1), "session_meta", session_id=F.lit("c"), parent_id=F.lit("p"))).unionByName(entry(first, F.lit(25), "turn_context"))
+        got = collections.Counter(r.ord for r in folds.without_replays(entries).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {30: 8_000, 40: 8_000}
