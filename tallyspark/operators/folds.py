@@ -114,28 +114,81 @@ def counter_step(state: Counts | None, row: Any) -> tuple[Counts | None, list[tu
     return state, [(row.rollout, row.ts, row.ord, *parts)] if sum(parts) > 0 else []
 
 
+#: Up to here sums and shares of counters are exact in doubles, as they are in whole numbers.
+EXACT = 1 << 51
+#: How often baselines are looked for anew before rows are stepped through one by one.
+ROUNDS = 64
+
+
+def advances(totals: np.ndarray, lasts: np.ndarray, known: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """(what each report adds, place of the last baseline) of many rollouts' reports at once, as `advance` gives them one by one.
+
+    totals and lasts have a row a counter; known tells where there are
+    increments, begins where a rollout begins.  First every report is taken as
+    the next one's baseline; those that then prove late or empty are no longer,
+    and so on.  What a report is depends on those before it alone, so nothing
+    changes any more only when all are as by the plain step.  None: too many
+    rounds.
+    """
+    at, kept = np.arange(len(begins)), np.ones(len(begins), bool)
+    spoken, step = totals[0] + totals[2], lasts[0] + lasts[2]
+    for _ in range(ROUNDS):
+        of = np.append(0, np.maximum.accumulate(np.where(kept, at, 0))[:-1])
+        base, before = totals[:, of], spoken[of]
+        up = (totals >= base).all(0)
+        late = ~up & known & (np.minimum(np.minimum(before, spoken), step) > 0) & ((spoken >= STALE_SHARE * before) | (spoken + STALE_STEPS * step >= before))
+        now = begins | up | ~late & totals.any(0)
+        if (now == kept).all():
+            added = np.where(begins, np.where(known, lasts, totals), np.where(up, totals - base, np.where(late, 0, lasts)))
+            return added, int(np.flatnonzero(kept)[-1])
+        kept = now
+    return None
+
+
 def counter_events(snapshots: DataFrame, kind: str = "string", ts: str = "timestamp_ntz") -> DataFrame:
     """(rollout, ts, ord, disjoint counters): what each report of a running total adds, rows that add nothing left out.
 
     snapshots: (rollout, ts, ord, t_* totals, l_* last increments or null), by
     time, not by place in the file.  Filter by time afterwards: the fold has to
-    begin before the range.  Only rollouts in which a total ever falls need the
-    fold; of the others, the differences to the report before say the same.
+    begin before the range.  Arrow batches of sorted reports are folded whole;
+    from one to the next goes the baseline.
     """
     whole = {n: F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in TOTAL} | {n: F.when(F.col(LAST[0]).isNotNull(), F.coalesce(F.col(n).cast("long"), F.lit(0))) for n in LAST}
-    w = Window.partitionBy("rollout")
-    before = {f"_b_{n}": F.lag(n).over(w.orderBy("ts", "ord")) for n in TOTAL}
-    seen = snapshots.where(F.col(TOTAL[0]).isNotNull()).select("rollout", "ts", F.col("ord").cast("long").alias("ord"), *(c.alias(n) for n, c in whole.items()))
-    fell = F.greatest(*(F.col(f"_b_{n}") - F.col(n) for n in TOTAL)) > 0
-    seen = seen.withColumns(before).withColumn("_fell", F.coalesce(F.max(fell).over(w), F.lit(False)))
-
-    added = [F.when(F.col(f"_b_{t}").isNotNull(), F.col(t) - F.col(f"_b_{t}")).when(F.col(LAST[0]).isNotNull(), F.col(n)).otherwise(F.col(t)) for t, n in zip(TOTAL, LAST, strict=True)]
-    i, c, o, r = added
-    parts = (F.greatest(F.lit(0), i - c), F.greatest(F.lit(0), o - r), c, r)
-    names = [p.split()[0] for p in COUNTED.split(", ")]
-    rising = seen.where(~F.col("_fell")).select(F.col("rollout").cast(kind), F.col("ts").cast(ts), "ord", *(p.cast("long").alias(n) for p, n in zip(parts, names, strict=True)))
-    rising = rising.where(" + ".join(names) + " > 0")
-    return rising.unionByName(fold(seen.where("_fell").select("rollout", "ts", "ord", *TOTAL, *LAST), ["rollout"], ["ts", "ord"], counter_step, f"rollout {kind}, ts {ts}, ord long, {COUNTED}"))
+    seen = snapshots.where(F.col(TOTAL[0]).isNotNull()).select(F.col("rollout").cast(kind).alias("rollout"), F.col("ts").cast(ts).alias("ts"), F.col("ord").cast("long").alias("ord"), *(c.alias(n) for n, c in whole.items()))
+    schema = f"rollout {kind}, ts {ts}, ord long, {COUNTED}"
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 1), np.int64)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            values = lambda names: np.array([batch.column(n).fill_null(0).to_numpy() for n in names])  # noqa: B023, E731
+            totals, lasts = np.hstack([held, values(TOTAL)]), np.hstack([0 * held, values(LAST)])
+            known, begins = np.append(False, batch.column(LAST[0]).is_valid().to_numpy(zero_copy_only=False)), np.append(True, batch.column("_at").to_numpy() == 1)
+            small = max(totals.max(), lasts.max()) < EXACT and min(totals.min(), lasts.min()) > -EXACT
+            if not (small and (found := advances(totals, lasts, known, begins))):
+                found = _steps(totals, lasts, known, begins)
+            added, stood = found
+            held = totals[:, stood : stood + 1]
+            i, c, o, r = added[:, 1:]
+            parts = np.array([np.maximum(0, i - c), np.maximum(0, o - r), c, r])
+            adds = pa.array(parts.sum(0) > 0)
+            columns = [*(batch.column(n) for n in ("rollout", "ts", "ord")), *map(pa.array, parts)]
+            yield pa.RecordBatch.from_arrays([x.filter(adds).cast(f.type) for x, f in zip(columns, out_schema, strict=True)], schema=out_schema)
+
+    return in_order(seen, ["rollout"], ["ts", "ord"]).mapInArrow(run, schema)
+
+
+def _steps(totals: np.ndarray, lasts: np.ndarray, known: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, int]:
+    """advances() by the plain step."""
+    base, stood, added = None, 0, []
+    for k, (total, last, told, begin) in enumerate(zip(totals.T.tolist(), lasts.T.tolist(), known.tolist(), begins.tolist(), strict=True)):
+        was = None if begin else base
+        base, adds = advance(was, Counts(*total), Counts(*last) if told else None)
+        stood = stood if base is was else k
+        added.append(adds)
+    return np.array(added, np.int64).T, stood
 
 
 @dataclass(frozen=True)

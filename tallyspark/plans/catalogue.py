@@ -498,9 +498,10 @@ def counter_fold_late(spark, sf_dir):
     kind = F.col("rollout").cast("long") % 3
     real = _running(spark, sf_dir).withColumns({"total": F.col("t_input") * 1000, "step": F.col("q") * 1000, "place": F.col("ord") * 2})
     fallen = F.when(kind == 0, F.expr("total div 100 * 99")).when(kind == 1, F.greatest(F.col("total") - 2 * F.col("step"), F.lit(1))).otherwise(F.expr("total div 10 * 9"))
-    smaller = real.withColumns({"total": fallen, "step": F.when(kind == 2, 1).otherwise(F.col("step")), "place": F.col("place") + 1})
+    report = lambda place, total, step: F.struct(place.alias("place"), total.cast("long").alias("total"), step.cast("long").alias("step"))
+    both = F.array(report(F.col("place"), F.col("total"), F.col("step")), report(F.col("place") + 1, fallen, F.when(kind == 2, 1).otherwise(F.col("step"))))
     columns = {"ord": "place", "t_input": "total", "t_output": "total", "l_input": "step", "l_output": "step"}
-    return folds.counter_events(real.unionByName(smaller).withColumns({name: F.col(of) for name, of in columns.items()}))
+    return folds.counter_events(real.withColumn("one", F.explode(both)).withColumns({name: F.col(f"one.{of}") for name, of in columns.items()}))
 
 
 @query(f"SELECT rollout, ts, ord, t AS t_input, CAST(sum(q) OVER (PARTITION BY rollout ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t_output FROM (SELECT *, CAST(sum(q) OVER (PARTITION BY rollout ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM ({_FOLD})) QUALIFY ord > 2 AND t > CAST(sum(CASE WHEN ord <= 2 THEN q ELSE 0 END) OVER (PARTITION BY rollout) AS BIGINT)")

@@ -130,3 +130,33 @@ def test_forks_whose_entries_lie_apart_are_folded_whole(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {30: 8_000, 40: 8_000}
+
+
+def test_reports_advanced_in_whole_batches_equal_the_plain_fold(spark):
+    """Totals small enough for whole batches, of few rows each, so that rollouts go on from one to the next."""
+    rows = [(r[0], r[1], r[2], *(None if v is None else v - (2**53 + 1) * (v > 2**52) for v in r[3:])) for s in (7, 8) for r in rollouts(s, 40) if s == 7 or r[0] < "r5"]
+    rows = list({(r[0], r[2]): r for r in rows}.values())
+    want, state = [], {}
+    row_of = collections.namedtuple("R", ["rollout", "ts", "ord", *folds.TOTAL, *folds.LAST])
+    for r in sorted(rows, key=lambda r: r[:3]):
+        state[r[0]], out = folds.counter_step(state.get(r[0]), row_of(*r))
+        want += out
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = [tuple(r) for r in folds.counter_events(spark.createDataFrame(rows, SNAPSHOT)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_advances_take_late_reports_of_late_ones():
+    draw = random.Random(3)
+    for _ in range(300):
+        n = draw.randint(1, 30)
+        totals = np.array([[draw.choice([0, 97, 98, 99, 100, 101, 300]) for _ in range(n)] for _ in range(4)])
+        lasts, known = np.array([[draw.choice([0, 1, 50]) for _ in range(n)] for _ in range(4)]), np.array([draw.random() < 0.8 for _ in range(n)])
+        begins = np.array([i == 0 or draw.random() < 0.1 for i in range(n)])
+        added, stood = folds.advances(totals, lasts * known, known, begins)
+        want, base = folds._steps(totals, lasts, known, begins)
+        assert (added == want).all() and (totals[:, stood] == totals[:, base]).all()
