@@ -458,10 +458,16 @@ def header_forward_fill(spark, sf_dir):
 
 # Folds
 
+#: Reports that a task holds and sorts, so that what it needs does not grow with the table.
+REPORTS_A_TASK = 250_000
+
+
 def _running(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("rollout"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").cast("long").alias("ord"), F.floor("l_quantity").cast("long").alias("q"))
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // REPORTS_A_TASK))
+    rows = lines.select(F.col("l_orderkey").cast("string").alias("rollout"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").cast("long").alias("ord"), F.floor("l_quantity").cast("long").alias("q")).repartition(tasks, "rollout")
     w = Window.partitionBy("rollout").orderBy("ts", "ord", "q").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"total": F.sum("q").over(w), "ord": F.row_number().over(Window.partitionBy("rollout").orderBy("ts", "ord", "q")).cast("long")})
     zero = F.lit(0).cast("long")

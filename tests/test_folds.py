@@ -160,3 +160,12 @@ def test_advances_take_late_reports_of_late_ones():
         added, stood = folds.advances(totals, lasts * known, known, begins)
         want, base = folds._steps(totals, lasts, known, begins)
         assert (added == want).all() and (totals[:, stood] == totals[:, base]).all()
+
+
+def test_running_totals_are_shuffled_once_in_tasks_of_bounded_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalogue, "REPORTS_A_TASK", 100, raising=False)
+    n = -(-catalogue.table(spark, sf, "lineitem").count() // 100)
+    for name in ("counter_fold", "counter_fold_resets", "counter_fold_late", "replay_suppression"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and f", {n})" in plan and plan.count("Sort [") <= 3, name
