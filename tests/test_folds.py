@@ -166,6 +166,6 @@ def test_running_totals_are_shuffled_once_in_tasks_of_bounded_rows(spark, monkey
     sf = "/root/testdata/sf0.001"
     monkeypatch.setattr(catalogue, "REPORTS_A_TASK", 100, raising=False)
     n = -(-catalogue.table(spark, sf, "lineitem").count() // 100)
-    for name in ("counter_fold", "counter_fold_resets", "counter_fold_late", "replay_suppression"):
+    for name in ("counter_fold", "counter_fold_resets", "counter_fold_late", "replay_suppression", "delta_ledger"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and f", {n})" in plan and plan.count("Sort [") <= 3, name
