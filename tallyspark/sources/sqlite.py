@@ -7,16 +7,18 @@ import os
 import sqlite3
 import uuid
 from collections.abc import Iterator
-from contextlib import closing
-from itertools import islice
+from contextlib import closing, contextmanager
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 #: Fixed value: how long a read waits for a writer.
 BUSY_S = 2.0
+#: What Python holds at a time of the texts that it reads, and rows of those that it writes.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 1_000
 KINDS = (("INT", LongType()), ("REAL", DoubleType()), ("FLOA", DoubleType()), ("DOUB", DoubleType()), ("BLOB", BinaryType()))
 SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
@@ -97,9 +99,8 @@ class FileWriter(DataSourceWriter):
         marks = ", ".join("?" for _ in self.schema.fields)
         with closing(sqlite3.connect(part)) as db:
             db.execute(f'CREATE TABLE "{self.table}" ({columns})')
-            while some := list(islice(rows, 5000)):
-                db.executemany(f'INSERT INTO "{self.table}" VALUES ({marks})', [tuple(r) for r in some])
-                db.commit()
+            db.executemany(f'INSERT INTO "{self.table}" VALUES ({marks})', map(tuple, rows))
+            db.commit()
         return Written(part)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -157,7 +158,19 @@ class TextsReader(DataSourceReader):
                         out.append(Stretch(path, len(out), table, columns, a, min(high + 1, a + self.rows)))
         return out
 
-    def read(self, x: Stretch) -> Iterator[tuple]:
+    def read(self, x: Stretch) -> Iterator[pa.RecordBatch]:
+        """Rows in batches of a bounded number of characters, however long the texts and the stretch are."""
+        rows, held = [], 0
+        for row in self._read(x):
+            rows.append(row)
+            held += len(row[6] or "")
+            if held >= BATCH_CHARS or len(rows) >= BATCH_ROWS:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _read(self, x: Stretch) -> Iterator[tuple]:
         if x.error:
             yield x.path, x.part, None, None, None, None, None, x.error
             return
@@ -176,6 +189,13 @@ class TextsReader(DataSourceReader):
             yield x.path, x.part, x.table, None, None, None, None, str(e)
 
 
+TEXTS = pa.schema([("path", pa.string()), ("part", pa.int32()), ("tbl", pa.string()), ("row_id", pa.int64()), ("col_no", pa.int32()), ("col", pa.string()), ("text", pa.string()), ("error", pa.string())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TEXTS, strict=True)], schema=TEXTS)
+
+
 def _text(v) -> str | None:
     """A value as text: numbers as they are written, bytes if they are UTF-8; null and empty ones are none."""
     if isinstance(v, bytes):
@@ -215,10 +235,23 @@ def read_texts(spark: SparkSession, paths: list[str], tables: dict[str, tuple[st
     return spark.read.format("sqlite_texts").options(paths=json.dumps(paths), tables=json.dumps(tables or {}), rows=str(rows)).load()
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python by BATCH_ROWS: by default 10,000 are taken apart at once, whatever their length."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_files(df: DataFrame, folder: str, table: str) -> None:
     """df as a table of database files, one a partition."""
     df.sparkSession.dataSource.register(SqliteSource)
-    df.write.format("sqlite_file").options(path=folder, table=table).mode("append").save()
+    with _small_batches(df.sparkSession):
+        df.write.format("sqlite_file").options(path=folder, table=table).mode("append").save()
 
 
 class SqliteSource(DataSource):

@@ -1,6 +1,7 @@
 """Files of the audit: discovery by metadata, databases as lines, and the stream of appended lines."""
 
 import datetime as dt
+import json
 import os
 import sqlite3
 from collections import Counter
@@ -206,3 +207,23 @@ def test_a_lost_mark_means_a_full_read(log):
         (log.tmp / "marks" / name).unlink()
     log.put("a.jsonl", "one\ntwo\n")
     assert ("a.jsonl", "reset", None) in log.run()[1]
+
+
+def test_texts_of_databases_pass_in_bounded_batches(spark, tmp_path):
+    """Long and short texts, a stretch of many rows: no batch holds more than the bound and one text, and nothing is left out."""
+    path = str(tmp_path / "a.db")
+    texts = [("x" * 300_000 if i % 400 == 0 else "é" * 3000 if i < 1000 else str(i)) for i in range(5000)]
+    with closing(sqlite3.connect(path)) as db:
+        db.execute("CREATE TABLE t (a TEXT)")
+        db.executemany("INSERT INTO t VALUES (?)", [(t,) for t in texts])
+        db.commit()
+    reader = sqlite.TextsReader({"paths": json.dumps([path])})
+    (stretch,) = reader.partitions()
+    batches = list(reader.read(stretch))
+    assert [t for b in batches for t in b.column("text").to_pylist()] == texts
+    assert all(b.num_rows <= 1000 and sum(map(len, b.column("text").to_pylist())) <= (1 << 20) + 300_000 for b in batches)
+    assert [r.text for r in sqlite.read_texts(spark, [path]).orderBy("row_id").collect()] == texts
+    name, folder = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "out")
+    before = spark.conf.get(name)
+    sqlite.write_files(spark.range(7000).selectExpr("id", "repeat('y', 500) AS v").coalesce(1), folder, "t")
+    assert spark.conf.get(name) == before and sqlite.read_texts(spark, [f"{folder}/{f}" for f in os.listdir(folder)]).count() == 14_000
