@@ -458,16 +458,21 @@ def header_forward_fill(spark, sf_dir):
 
 # Folds
 
-#: Reports that a task holds and sorts, so that what it needs does not grow with the table.
-REPORTS_A_TASK = 250_000
+#: Reports that a task holds and sorts, so that what it needs does not grow with the table, and the most where that would make too many tasks.
+REPORTS_A_TASK, MOST_A_TASK = 250_000, 1_250_000
+
+
+def _tasks(spark, reports):
+    """To more tasks than Spark's bypassMergeThreshold a shuffle sorts what it writes, in memory and by whole splits; to fewer it writes row by row."""
+    unsorted = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(spark.sparkContext.defaultParallelism, min(-(-reports // REPORTS_A_TASK), unsorted), -(-reports // MOST_A_TASK))
 
 
 def _running(spark, sf_dir):
     from pyspark.sql import Window
 
     lines = table(spark, sf_dir, "lineitem")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // REPORTS_A_TASK))
-    rows = lines.select(F.col("l_orderkey").cast("string").alias("rollout"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").cast("long").alias("ord"), F.floor("l_quantity").cast("long").alias("q")).repartition(tasks, "rollout")
+    rows = lines.select(F.col("l_orderkey").cast("string").alias("rollout"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").cast("long").alias("ord"), F.floor("l_quantity").cast("long").alias("q")).repartition(_tasks(spark, lines.count()), "rollout")
     w = Window.partitionBy("rollout").orderBy("ts", "ord", "q").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"total": F.sum("q").over(w), "ord": F.row_number().over(Window.partitionBy("rollout").orderBy("ts", "ord", "q")).cast("long")})
     zero = F.lit(0).cast("long")

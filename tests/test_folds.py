@@ -169,3 +169,16 @@ def test_running_totals_are_shuffled_once_in_tasks_of_bounded_rows(spark, monkey
     for name in ("counter_fold", "counter_fold_resets", "counter_fold_late", "replay_suppression", "delta_ledger"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and f", {n})" in plan and plan.count("Sort [") <= 3, name
+
+
+def test_tasks_of_the_ledger_neither_grow_nor_become_too_many_to_write_unsorted(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "REPORTS_A_TASK", 500, raising=False)
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        tasks = catalogue.delta_ledger(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in tasks) < 1_000, sf
+    reports = catalogue.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    for few, most, n in ((10, reports, 200), (10, 20, -(-reports // 20)), (reports, reports, spark.sparkContext.defaultParallelism)):
+        monkeypatch.setattr(catalogue, "REPORTS_A_TASK", few, raising=False)
+        monkeypatch.setattr(catalogue, "MOST_A_TASK", most, raising=False)
+        plan = catalogue.delta_ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and f", {n})" in plan, (few, most, n)
